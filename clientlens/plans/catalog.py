@@ -155,9 +155,18 @@ def _(t):
     return state.read_state(t.spark, folder, declared)
 
 
+def _a_year_ago(t, day: str) -> SampleTables:
+    """The tables with the activity that was known on an earlier day."""
+    before = SampleTables(t.spark, t.directory)
+    activity = t["client_activity"]
+    before.update(t)
+    before["client_activity"] = activity.filter(F.col(day) <= F.lit(STATE_DAY))
+    return before
+
+
 def _tracked(t) -> DataFrame:
     """What a run one year earlier has left behind."""
-    return reports.inactive_clients(t, STATE_DAY).select(
+    return reports.inactive_clients(_a_year_ago(t, "job_date"), STATE_DAY).select(
         "debtor_no", "division_id", "last_job_date"
     )
 
@@ -673,10 +682,7 @@ def _idle_snapshot(t, w) -> DataFrame:
 @query("r10_idle_improvements")
 def _(t):
     """Idle as seen from the activity up to a year ago, and not idle by now."""
-    before = SampleTables(t.spark, t.directory)
-    before.update(t)
-    activity = t["client_activity"]
-    before["client_activity"] = activity.filter(F.col("enquiry_date") <= F.lit(STATE_DAY))
+    before = _a_year_ago(t, "enquiry_date")
     return reports.idle_improvements(
         _idle_snapshot(before, W), _idle_snapshot(t, W)
     ).select("division_id", "client_ref", "client_name")

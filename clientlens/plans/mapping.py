@@ -1,40 +1,173 @@
 """The sample tables (orders, line items, customers...) seen as the library's logical tables.
 
 Every frame is lazy and covers its whole source. `bench.py`, the registered queries and the
-tests run on these; the oracle SQL states the same mapping in SQL.
+tests run on these; the oracle SQL states the same mapping on its own.
+
+Money in the sample is DOUBLE with two decimals. It is taken to whole cents by `rint`, which is
+exact here and stays in long arithmetic, and becomes DECIMAL once per order.
 """
 
 from __future__ import annotations
 
 from datetime import date
-from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from clientlens.model import Windows
-from clientlens.operators.conform import client_directory, client_ref
 
 AS_OF = date(2001, 11, 4)
 FLOOR = date(1995, 1, 1)
 WINDOWS = Windows(as_of=AS_OF, floor=FLOOR)
-PAYMENTS_UNTIL = date(2000, 8, 1)
+
+# Declared, so that opening a table starts no job to infer its schema.
+SOURCES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": """p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,
+        p_retailprice DOUBLE""",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
+        l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,
+        l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
+}
+
+
+def _values(rows: dict[int, str], name: str) -> str:
+    listed = ", ".join(f"({k}, '{v}')" for k, v in rows.items())
+    return f"SELECT * FROM VALUES {listed} AS t(id, {name})"
+
 
 # The small tables that the sample data does not hold.
 DIVISIONS = {225: "I&M", 3: "ONE", 10: "DIV_10", 11: "DIV_11", 12: "DIV_12"}
+DIMENSIONS = {
+    **DIVISIONS,
+    **{i: f"SUB_{i}" for i in range(100, 197)},
+    **{i: f"CO_{i}" for i in range(200, 205)},
+}
 SECTOR_NAMES = {
     1: "industrial", 2: "marine", 3: "oilgas", 5: "excluded", 6: "offshore",
     10: "petrochemical", 12: "renewable",
 }
-DIVISION_ORDER = (225, 3, 10, 11, 12)
-
-
-def _pick(index: Column, values: tuple[int, ...], first: int) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index - first + 1).cast("int"))
 
-
-def _mod(col: str, n: int) -> Column:
-    return (F.col(col) % n).cast("int")
+# Each logical table as a query over source tables and other logical tables, named in braces.
+MAPPING = {
+    "client": """
+        SELECT c_custkey + 1 AS debtor_no, c_name AS name, c_nationkey + 1 AS country,
+               CASE c_mktsegment
+                    WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2
+                    WHEN 'BUILDING' THEN IF(c_custkey % 2 = 0, 3, 6)
+                    WHEN 'AUTOMOBILE' THEN IF(c_custkey % 2 = 0, 10, 12)
+                    WHEN 'HOUSEHOLD' THEN 5 END AS client_type,
+               INT(c_custkey % 13) AS client_status,
+               IF(c_acctbal < 0, 1, 0) AS inactive
+        FROM {customer}""",
+    "temp_client": """
+        SELECT s_suppkey + 1 AS temp_clients_id, s_name AS client_name,
+               IF(s_suppkey % 8 = 0, '', STRING(s_nationkey + 1)) AS country,
+               element_at(array('', '1', '2', '3', '6', '10', '12'), INT(s_suppkey % 7 + 1))
+                   AS temp_client_type
+        FROM {supplier}""",
+    "country": """
+        SELECT n_nationkey + 1 AS id, n_name AS name, n_regionkey + 1 AS region_id,
+               concat('#', n_nationkey) AS colour_code
+        FROM {nation}""",
+    "region": "SELECT r_regionkey + 1 AS id, r_name AS name FROM {sample_region}",
+    "dimension": _values(DIMENSIONS, "name"),
+    "client_type": _values(SECTOR_NAMES, "client_type"),
+    "client_status": f"""
+        SELECT id, client_status, id % 4 AS category
+        FROM ({_values({i: f"STATUS_{i}" for i in range(13)}, "client_status")})""",
+    "sample_orders": """
+        SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderstatus AS order_status,
+               BIGINT(rint(o_totalprice * 100)) AS price_cents,
+               DATE(o_orderdate) AS order_date,
+               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 225 WHEN '2' THEN 3
+                    WHEN '3' THEN 10 WHEN '4' THEN 11 WHEN '5' THEN 12 END AS division,
+               INT(100 + o_orderkey % 97) AS subdivision, INT(200 + o_orderkey % 5) AS company,
+               CAST(1 + (o_orderkey % 3) * 0.5BD AS DECIMAL(12,6)) AS rate
+        FROM {orders}""",
+    # enquiries without the two columns that are copied from their client
+    "enquiry_facts": """
+        SELECT order_key AS client_enquiry_id,
+               IF(order_key % 10 = 0, 0, cust_key + 1) AS debtor_no,
+               IF(order_key % 10 = 0, 0, 1) AS branch_code,
+               IF(order_key % 10 = 0,
+                  (order_key DIV 10) % (SELECT count(*) FROM {supplier}) + 1, 0) AS enquiry_temp_id,
+               order_date AS enquiry_date, company, division, subdivision,
+               CASE WHEN order_key % 11 = 0 THEN 3 WHEN order_key % 11 = 1 THEN 4
+                    WHEN order_status = 'O' THEN 0 WHEN order_status = 'P' THEN 1
+                    WHEN order_status = 'F' THEN 2 END AS enq_status,
+               INT(order_key % 6 + 1) AS enq_type,
+               CAST(CAST(price_cents AS DECIMAL(18,0)) * 0.01BD AS DECIMAL(18,4)) AS aprox_amount, rate,
+               IF(order_key % 9 = 0, order_key, 0) AS parent_id,
+               IF(order_key % 20 = 1, 0, 1) AS is_active, concat('B', order_key) AS book_no
+        FROM {sample_orders}""",
+    "enquiry": """
+        SELECT e.*, coalesce(c.client_type, try_cast(nullif(t.temp_client_type, '') AS INT))
+                   AS client_type,
+               coalesce(c.country, try_cast(nullif(t.country, '') AS INT)) AS location_country
+        FROM {enquiry_facts} e LEFT JOIN {client} c ON e.debtor_no = c.debtor_no
+        LEFT JOIN {temp_client} t ON e.enquiry_temp_id = t.temp_clients_id""",
+    "sample_lines": """
+        SELECT l_orderkey AS order_key, l_partkey AS part_key, DATE(l_shipdate) AS ship_date,
+               l_linestatus = 'F' AS paid,
+               BIGINT(rint(l_extendedprice * 100)) * (100 - BIGINT(rint(l_discount * 100))) AS net,
+               BIGINT(rint(l_extendedprice * 100)) * BIGINT(rint(l_tax * 100)) AS tax
+        FROM {lineitem}""",
+    "invoice": """
+        SELECT b.order_key AS trans_no, 10 AS trans_type, o.cust_key + 1 AS debtor_no, b.tran_date,
+               CAST(CAST(b.net AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS ov_amount,
+               CAST(CAST(b.paid AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS alloc,
+               CAST(CAST(b.tax AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS total_expense_aed,
+               o.rate, o.company AS dimension_id, o.division AS dimension2_id,
+               o.subdivision AS dimension3_id
+        FROM (SELECT order_key, max(ship_date) AS tran_date, sum(net) AS net,
+                     sum(IF(paid, net, 0)) AS paid, sum(tax) AS tax
+              FROM {sample_lines} GROUP BY order_key) b
+        JOIN {sample_orders} o ON b.order_key = o.order_key""",
+    "payment_allocation": """
+        SELECT order_key AS trans_no_to, 10 AS trans_type_to, 12 AS trans_type_from,
+               ship_date AS date_alloc,
+               CAST(CAST(net AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS alloc_amount
+        FROM {sample_lines} WHERE paid""",
+    "client_activity": """
+        SELECT a.debtor_no, a.temp_client_id, a.division, a.sub_division, p.country_id,
+               c.region_id, p.client_type, a.enquiry_date, a.job_date
+        FROM (SELECT nullif(e.debtor_no, 0) AS debtor_no, e.enquiry_temp_id AS temp_client_id,
+                     e.division, e.subdivision AS sub_division,
+                     max(e.enquiry_date) AS enquiry_date,
+                     max(IF(e.debtor_no > 0, j.job_date, NULL)) AS job_date
+              FROM {enquiry_facts} e
+              LEFT JOIN (SELECT order_key, max(ship_date) AS job_date FROM {sample_lines}
+                         GROUP BY order_key) j ON e.client_enquiry_id = j.order_key
+              GROUP BY ALL) a
+        LEFT JOIN (SELECT debtor_no AS ref, country AS country_id, client_type FROM {client}
+                   UNION ALL
+                   SELECT -temp_clients_id, try_cast(nullif(country, '') AS INT),
+                          try_cast(nullif(temp_client_type, '') AS INT) FROM {temp_client}) p
+            ON coalesce(a.debtor_no, -a.temp_client_id) = p.ref
+        LEFT JOIN {country} c ON p.country_id = c.id""",
+    "activity_code_activity": """
+        SELECT STRING(l.part_key) AS activity_code, o.cust_key + 1 AS debtor_no, o.division,
+               o.subdivision AS sub_division, c.country AS country_id, c.client_type,
+               o.order_date AS enquiry_date, l.ship_date AS job_date
+        FROM {sample_lines} l JOIN {sample_orders} o ON l.order_key = o.order_key
+        LEFT JOIN {client} c ON c.debtor_no = o.cust_key + 1""",
+    "job_activity": """
+        SELECT p_partkey AS id, p_name AS name, STRING(p_partkey) AS activity_code,
+               element_at(array(225, 3, 10, 11, 12), p_size % 5 + 1) AS division_id,
+               INT(100 + p_partkey % 97) AS sub_division_id,
+               IF(p_partkey % 10 = 0, 0, 1) AS status
+        FROM {part}""",
+    "credit_period": """
+        SELECT o.cust_key + 1 AS debtor_no, INT(o.cust_key % 90) AS current_credit_period,
+               max(l.ship_date) AS date_of_curr_pmnt
+        FROM {sample_lines} l JOIN {sample_orders} o ON l.order_key = o.order_key
+        WHERE l.paid AND l.ship_date < DATE'2000-08-01' GROUP BY o.cust_key""",
+}
 
 
 class SampleTables(dict):
@@ -44,255 +177,14 @@ class SampleTables(dict):
         super().__init__()
         self.spark, self.directory = spark, directory
 
-    def __missing__(self, name: str) -> DataFrame:
-        self[name] = getattr(self, f"_{name}")()
-        return self[name]
-
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
-
-    # ---- dimensions -----------------------------------------------------------------
-
-    def _client(self) -> DataFrame:
-        key, segment = F.col("c_custkey"), F.col("c_mktsegment")
-        even = key % 2 == 0
-        sector = (
-            F.when(segment == "MACHINERY", 1)
-            .when(segment == "FURNITURE", 2)
-            .when(segment == "BUILDING", F.when(even, 3).otherwise(6))
-            .when(segment == "AUTOMOBILE", F.when(even, 10).otherwise(12))
-            .when(segment == "HOUSEHOLD", 5)
-        )
-        return self.source("customer").select(
-            (key + 1).alias("debtor_no"),
-            F.col("c_name").alias("name"),
-            (F.col("c_nationkey") + 1).alias("country"),
-            sector.alias("client_type"),
-            _mod("c_custkey", 13).alias("client_status"),
-            F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("inactive"),
-        )
-
-    def _temp_client(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        kind = F.element_at(
-            F.array(*map(F.lit, ("", "1", "2", "3", "6", "10", "12"))), (key % 7 + 1).cast("int")
-        )
-        country = F.when(key % 8 == 0, "").otherwise((F.col("s_nationkey") + 1).cast("string"))
-        return self.source("supplier").select(
-            (key + 1).alias("temp_clients_id"),
-            F.col("s_name").alias("client_name"),
-            country.alias("country"),
-            kind.alias("temp_client_type"),
-        )
-
-    def _country(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        return self.source("nation").select(
-            (key + 1).alias("id"),
-            F.col("n_name").alias("name"),
-            (F.col("n_regionkey") + 1).alias("region_id"),
-            F.concat(F.lit("#"), key.cast("string")).alias("colour_code"),
-        )
+        return self.spark.read.schema(SOURCES[name]).parquet(f"{self.directory}/{name}.parquet")
 
-    def _region(self) -> DataFrame:
-        return self.source("region").select(
-            (F.col("r_regionkey") + 1).alias("id"), F.col("r_name").alias("name")
-        )
-
-    def _values(self, rows: dict[int, str], name: str) -> DataFrame:
-        listed = ", ".join(f"({k}, '{v}')" for k, v in rows.items())
-        return self.spark.sql(f"SELECT * FROM VALUES {listed} AS t(id, {name})")
-
-    def _dimension(self) -> DataFrame:
-        rows = dict(DIVISIONS)
-        rows.update({i: f"SUB_{i}" for i in range(100, 197)})
-        rows.update({i: f"CO_{i}" for i in range(200, 205)})
-        return self._values(rows, "name")
-
-    def _client_type(self) -> DataFrame:
-        return self._values(SECTOR_NAMES, "client_type")
-
-    def _client_status(self) -> DataFrame:
-        return self._values({i: f"STATUS_{i}" for i in range(13)}, "client_status").withColumn(
-            "category", F.col("id") % 4
-        )
-
-    # ---- facts ----------------------------------------------------------------------
-
-    @cached_property
-    def _orders(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        digit = F.substring("o_orderpriority", 1, 1).cast("int")
-        return self.source("orders").select(
-            key.alias("order_key"),
-            F.col("o_custkey").alias("cust_key"),
-            F.col("o_orderstatus").alias("order_status"),
-            F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            _pick(digit, DIVISION_ORDER, 1).alias("division"),
-            (100 + key % 97).cast("int").alias("subdivision"),
-            (200 + key % 5).cast("int").alias("company"),
-            (1 + (key % 3) * F.expr("0.5BD")).cast("decimal(12,6)").alias("rate"),
-        )
-
-    def _enquiry_facts(self) -> DataFrame:
-        """Enquiries without the two columns that are copied from their client."""
-        key = F.col("order_key")
-        temporary = key % 10 == 0
-        suppliers = self.source("supplier").agg(F.count("*")).scalar()
-        state = F.col("order_status")
-        status = (
-            F.when(key % 11 == 0, 3)
-            .when(key % 11 == 1, 4)
-            .when(state == "O", 0)
-            .when(state == "P", 1)
-            .when(state == "F", 2)
-        )
-        return self._orders.select(
-            key.alias("client_enquiry_id"),
-            F.when(temporary, F.lit(0)).otherwise(F.col("cust_key") + 1).alias("debtor_no"),
-            F.when(temporary, 0).otherwise(1).alias("branch_code"),
-            F.when(temporary, F.floor(key / 10) % suppliers + 1)
-            .otherwise(F.lit(0))
-            .cast("bigint")
-            .alias("enquiry_temp_id"),
-            F.col("order_date").alias("enquiry_date"),
-            "company",
-            "division",
-            "subdivision",
-            status.alias("enq_status"),
-            (key % 6 + 1).cast("int").alias("enq_type"),
-            F.col("price").alias("aprox_amount"),
-            "rate",
-            F.when(key % 9 == 0, key).otherwise(F.lit(0)).alias("parent_id"),
-            F.when(key % 20 == 1, 0).otherwise(1).alias("is_active"),
-            F.concat(F.lit("B"), key.cast("string")).alias("book_no"),
-        )
-
-    def _enquiry(self) -> DataFrame:
-        own = client_directory(self["client"], self["temp_client"]).select(
-            "client_ref", "client_type", F.col("country_id").alias("location_country")
-        )
-        ref = client_ref(F.col("debtor_no"), F.col("enquiry_temp_id"))
-        return (
-            self["enquiry_facts"]
-            .withColumn("client_ref", ref)
-            .join(own, "client_ref", "left")
-            .drop("client_ref")
-        )
-
-    @cached_property
-    def _lines(self) -> DataFrame:
-        price = F.col("l_extendedprice").cast("decimal(18,2)")
-        return self.source("lineitem").select(
-            F.col("l_orderkey").alias("order_key"),
-            F.col("l_partkey").alias("part_key"),
-            F.col("l_shipdate").cast("date").alias("ship_date"),
-            (F.col("l_linestatus") == "F").alias("paid"),
-            (price * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("net"),
-            (price * F.col("l_tax").cast("decimal(4,2)")).alias("tax"),
-        )
-
-    def _invoice(self) -> DataFrame:
-        billed = self._lines.groupBy("order_key").agg(
-            F.max("ship_date").alias("tran_date"),
-            F.sum("net").cast("decimal(18,4)").alias("ov_amount"),
-            F.coalesce(F.sum(F.when(F.col("paid"), F.col("net"))), F.lit(0))
-            .cast("decimal(18,4)")
-            .alias("alloc"),
-            F.sum("tax").cast("decimal(18,4)").alias("total_expense_aed"),
-        )
-        return billed.join(self._orders, "order_key").select(
-            F.col("order_key").alias("trans_no"),
-            F.lit(10).alias("trans_type"),
-            (F.col("cust_key") + 1).alias("debtor_no"),
-            "tran_date",
-            "ov_amount",
-            "alloc",
-            "total_expense_aed",
-            "rate",
-            F.col("company").alias("dimension_id"),
-            F.col("division").alias("dimension2_id"),
-            F.col("subdivision").alias("dimension3_id"),
-        )
-
-    def _payment_allocation(self) -> DataFrame:
-        return self._lines.filter("paid").select(
-            F.col("order_key").alias("trans_no_to"),
-            F.lit(10).alias("trans_type_to"),
-            F.lit(12).alias("trans_type_from"),
-            F.col("ship_date").alias("date_alloc"),
-            F.col("net").cast("decimal(18,4)").alias("alloc_amount"),
-        )
-
-    def _client_activity(self) -> DataFrame:
-        directory = client_directory(self["client"], self["temp_client"]).select(
-            "client_ref", "country_id", "client_type"
-        )
-        regions = self["country"].select(F.col("id").alias("country_id"), "region_id")
-        jobs = self._lines.groupBy(F.col("order_key").alias("client_enquiry_id")).agg(
-            F.max("ship_date").alias("job_date")
-        )
-        ref = F.col("client_ref")
-        return (
-            self["enquiry_facts"]
-            .join(jobs, "client_enquiry_id", "left")
-            .withColumn("client_ref", client_ref(F.col("debtor_no"), F.col("enquiry_temp_id")))
-            .groupBy("client_ref", "division", F.col("subdivision").alias("sub_division"))
-            .agg(
-                F.max("enquiry_date").alias("enquiry_date"),
-                F.max(F.when(ref > 0, F.col("job_date"))).alias("job_date"),
-            )
-            .join(directory, "client_ref", "left")
-            .join(regions, "country_id", "left")
-            .select(
-                F.when(ref > 0, ref).alias("debtor_no"),
-                F.when(ref < 0, -ref).otherwise(F.lit(0)).cast("bigint").alias("temp_client_id"),
-                "division", "sub_division", "country_id", "region_id", "client_type",
-                "enquiry_date", "job_date",
-            )
-        )
-
-    def _activity_code_activity(self) -> DataFrame:
-        own = self["client"].select(
-            "debtor_no", F.col("country").alias("country_id"), "client_type"
-        )
-        return (
-            self._lines.join(self._orders, "order_key")
-            .withColumn("debtor_no", F.col("cust_key") + 1)
-            .join(own, "debtor_no", "left")
-            .select(
-                F.col("part_key").cast("string").alias("activity_code"),
-                "debtor_no",
-                "division",
-                F.col("subdivision").alias("sub_division"),
-                "country_id",
-                "client_type",
-                F.col("order_date").alias("enquiry_date"),
-                F.col("ship_date").alias("job_date"),
-            )
-        )
-
-    def _job_activity(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.source("part").select(
-            key.alias("id"),
-            F.col("p_name").alias("name"),
-            key.cast("string").alias("activity_code"),
-            _pick(F.col("p_size") % 5, DIVISION_ORDER, 0).alias("division_id"),
-            (100 + key % 97).cast("int").alias("sub_division_id"),
-            F.when(key % 10 == 0, 0).otherwise(1).alias("status"),
-        )
-
-    def _credit_period(self) -> DataFrame:
-        paid = self._lines.filter(F.col("paid") & (F.col("ship_date") < F.lit(PAYMENTS_UNTIL)))
-        return (
-            paid.join(self._orders.select("order_key", "cust_key"), "order_key")
-            .groupBy("cust_key")
-            .agg(F.max("ship_date").alias("date_of_curr_pmnt"))
-            .select(
-                (F.col("cust_key") + 1).alias("debtor_no"),
-                _mod("cust_key", 90).alias("current_credit_period"),
-                "date_of_curr_pmnt",
-            )
-        )
+    def __missing__(self, name: str) -> DataFrame:
+        if name in MAPPING:
+            text = MAPPING[name]
+            inputs = {k: self[k] for k in (*SOURCES, *MAPPING, "sample_region") if f"{{{k}}}" in text}
+            self[name] = self.spark.sql(text, **inputs)
+        else:
+            self[name] = self.source(name.removeprefix("sample_"))
+        return self[name]

@@ -583,10 +583,14 @@ BY_CLIENT = f"""
           GROUP BY debtor_no) m ON a.debtor_no = m.debtor_no
     WHERE a.exact_6m > 0"""
 
-LAST = """
-    SELECT debtor_no, division, MAX(job_date) AS last_job_date,
-           MAX(enquiry_date) AS last_enquiry_date
-    FROM g_activity WHERE debtor_no > 0 GROUP BY debtor_no, division"""
+def last_by_division(where: str) -> str:
+    return f"""
+        SELECT debtor_no, division, MAX(job_date) AS last_job_date,
+               MAX(enquiry_date) AS last_enquiry_date
+        FROM g_activity WHERE debtor_no > 0 AND {where} GROUP BY debtor_no, division"""
+
+
+LAST = last_by_division("TRUE")
 LATENCY = f"""
     SELECT * FROM (
         SELECT l.debtor_no, m.name AS client_name, d.name AS division_name,
@@ -607,7 +611,7 @@ def weekly(source: str, where: str) -> str:
         FROM {source} WHERE {where} GROUP BY 1"""
 
 
-def inactive(day: str) -> str:
+def inactive(day: str, known: str = "TRUE") -> str:
     return f"""
         SELECT l.debtor_no, m.name AS client_name, m.client_status AS status_id,
                l.division AS division_id, d.name AS division_name, l.last_job_date,
@@ -616,7 +620,7 @@ def inactive(day: str) -> str:
                    AS total_business,
                {money(f"(SELECT SUM({DUE}) FROM g_invoice i WHERE i.debtor_no = m.debtor_no)")}
                    AS total_outstanding
-        FROM ({LAST}) l JOIN g_client m ON l.debtor_no = m.debtor_no
+        FROM ({last_by_division(known)}) l JOIN g_client m ON l.debtor_no = m.debtor_no
         JOIN g_credit p ON l.debtor_no = p.debtor_no JOIN g_dimension d ON l.division = d.id
         WHERE m.client_type <> 5
         AND l.last_job_date BETWEEN {day} - INTERVAL 36 MONTH AND {day} - INTERVAL 12 MONTH"""
@@ -625,7 +629,7 @@ def inactive(day: str) -> str:
 RECOVERED = f"""
     SELECT t.debtor_no, m.name AS client_name, d.name AS division_name, t.division_id,
            MAX(a.job_date) AS recovered_date
-    FROM ({inactive(ACTIVE_FROM)}) t JOIN g_client m ON t.debtor_no = m.debtor_no
+    FROM ({inactive(ACTIVE_FROM, f"job_date <= {ACTIVE_FROM}")}) t JOIN g_client m ON t.debtor_no = m.debtor_no
     JOIN g_dimension d ON t.division_id = d.id
     JOIN g_activity a ON a.debtor_no = t.debtor_no AND a.division = t.division_id
     WHERE a.job_date > t.last_job_date AND a.job_date > {AS_OF} - INTERVAL 11 MONTH
@@ -700,7 +704,7 @@ QUERIES = {
         GROUP BY r_name""",
     "s6_state_round_trip": JULY,
     "s7_update_tracking": f"""
-        WITH tracked AS (SELECT debtor_no, division_id, last_job_date FROM ({inactive(ACTIVE_FROM)})),
+        WITH tracked AS (SELECT debtor_no, division_id, last_job_date FROM ({inactive(ACTIVE_FROM, f"job_date <= {ACTIVE_FROM}")})),
         kept AS (SELECT * FROM tracked t WHERE NOT EXISTS (SELECT 1 FROM ({RECOVERED}) r
             WHERE r.debtor_no = t.debtor_no AND r.division_id = t.division_id))
         SELECT * FROM kept UNION ALL
