@@ -197,6 +197,19 @@ def client_activity(
     part: Slice = NO_SLICE,
 ) -> DataFrame:
     """One row per client inside the slice, with its last enquiry and job."""
+    described = client_activity_at_home(activity, client, temp_client, client_type, w, part)
+    return described.drop("home_country", "home_sector")
+
+
+def client_activity_at_home(
+    activity: DataFrame,
+    client: DataFrame,
+    temp_client: DataFrame,
+    client_type: DataFrame,
+    w: Windows,
+    part: Slice = NO_SLICE,
+) -> DataFrame:
+    """C5 with the client's own country and sector, which listings go by."""
     last = (
         slice_by(_live(activity), part)
         .filter(F.col("enquiry_date") >= F.lit(w.floor))
@@ -217,10 +230,10 @@ def client_activity(
 def describe_clients(
     df: DataFrame, client: DataFrame, temp_client: DataFrame, client_type: DataFrame
 ) -> DataFrame:
-    """Name, status, sector name and readable ids for rows keyed by `client_ref`."""
+    """Name, status, home, sector name and readable ids for rows keyed by `client_ref`."""
     ref = F.col("client_ref")
-    directory = client_directory(client, temp_client).select(
-        "client_ref", "client_name", "status_id"
+    directory = client_directory(client, temp_client).withColumnsRenamed(
+        {"country_id": "home_country", "client_type": "home_sector"}
     )
     sectors = client_type.select(F.col("id").alias("sector_id"), F.col("client_type"))
     return (

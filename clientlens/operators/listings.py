@@ -1,8 +1,8 @@
 """Country and client listings, active and idle, with their metric roll-ups.
 
 The roll-ups reduce the facts to one row per client before any name, country or sector is
-joined: the fact table is scanned once with its own filters pushed down, aggregated map-side,
-and only those small rows meet the client directory.
+joined: the fact tables are scanned once with their own filters pushed down, aggregated
+map-side, and only those small rows meet the client directory, once per listing.
 """
 
 from __future__ import annotations
@@ -52,28 +52,24 @@ CLIENT_COLUMNS = (
 )
 
 
-def _enquiry_measures(where: Column | None = None, suffix: str = "") -> list[Column]:
+def _enquiry_measures() -> list[Column]:
     """Counts and exact amounts of enquiries: all, cancelled and lost ones."""
     status, value = F.col("enq_status"), F.col("amount")
     groups = {"total": F.lit(True), "cancel": status == CANCELLED, "lost": status == LOST}
     out = []
     for name, test in groups.items():
-        keep = test if where is None else test & where
-        out.append(F.count_if(keep).alias(f"{name}_enquiry_count{suffix}"))
-        amount = F.sum(F.when(keep, value))
-        zero = F.lit(0).cast("decimal(38,10)")
-        out.append(F.coalesce(amount, zero).alias(f"{name}_enquiry_amount{suffix}"))
+        amount = F.coalesce(F.sum(F.when(test, value)), F.lit(0).cast("decimal(38,10)"))
+        out += [
+            F.count_if(test).alias(f"{name}_enquiry_count"),
+            amount.alias(f"{name}_enquiry_amount"),
+        ]
     return out
 
 
-def _invoice_measures(where: Column | None = None, suffix: str = "") -> list[Column]:
-    keep = F.lit(True) if where is None else where
-    zero = F.lit(0).cast("decimal(38,10)")
+def _invoice_measures() -> list[Column]:
     return [
-        F.count_if(keep).alias(f"total_invoice_count{suffix}"),
-        F.coalesce(F.sum(F.when(keep, F.col("net_amount"))), zero).alias(
-            f"total_invoice_amount{suffix}"
-        ),
+        F.count("*").alias("total_invoice_count"),
+        F.sum("net_amount").alias("total_invoice_amount"),
     ]
 
 
@@ -172,6 +168,114 @@ def invoice_rollup(
     return _finish(_add_up(placed, INVOICE_METRICS, "country_id"), INVOICE_METRICS)
 
 
+def _business_facts(
+    tables: Mapping[str, DataFrame], part: Slice, start: date | None, end: date | None, other: bool
+) -> DataFrame:
+    """Enquiries and invoices as one stream of (client, division, status, amount, net).
+
+    Grouped by client, the union costs one shuffle where two facts would cost two.
+    """
+    enquiries = between_dates(
+        _own_or_other(tables["enquiry"], part, ENQUIRY_COLUMNS, other), "enquiry_date", start, end
+    )
+    invoices = between_dates(
+        _own_or_other(tables["invoice"], part, INVOICE_COLUMNS, other), "tran_date", start, end
+    )
+    asked = enquiry_facts(enquiries).select(
+        "client_ref", F.col("division").cast("int"), "enq_status", "amount",
+        F.lit(None).cast("decimal(32,10)").alias("net_amount"),
+        F.lit(False).alias("is_invoice"),
+    )
+    billed = conform.gross_net_amounts(invoices).select(
+        conform.client_ref(F.col("debtor_no"), F.lit(None).cast("bigint")).alias("client_ref"),
+        F.col("dimension2_id").cast("int").alias("division"),
+        F.lit(None).cast("int").alias("enq_status"),
+        F.lit(None).cast("decimal(31,10)").alias("amount"),
+        F.col("net_amount").cast("decimal(32,10)").alias("net_amount"),
+        F.lit(True).alias("is_invoice"),
+    )
+    return asked.unionByName(billed).filter(F.col("client_ref").isNotNull())
+
+
+def _business_measures(where: Column | None = None, suffix: str = "") -> list[Column]:
+    """All metrics over `_business_facts`; null where a client has no row of that kind."""
+    within = F.lit(True) if where is None else where
+    status, invoice = F.col("enq_status"), F.col("is_invoice")
+    groups = {
+        "total_enquiry": (~invoice, F.lit(True), "amount"),
+        "cancel_enquiry": (~invoice, status == CANCELLED, "amount"),
+        "lost_enquiry": (~invoice, status == LOST, "amount"),
+        "total_invoice": (invoice, F.lit(True), "net_amount"),
+    }
+    out = []
+    for name, (kind, test, value) in groups.items():
+        kind = kind & within
+        number = F.when(kind & test, 1).when(kind, 0)
+        money = F.when(kind & test, F.col(value)).when(kind, F.lit(0).cast("decimal(31,10)"))
+        out += [
+            F.sum(number).alias(f"{name}_count{suffix}"),
+            F.sum(money).alias(f"{name}_amount{suffix}"),
+        ]
+    return out
+
+
+def client_business(
+    tables: Mapping[str, DataFrame],
+    part: Slice = NO_SLICE,
+    start: date | None = None,
+    end: date | None = None,
+    other: bool = False,
+) -> DataFrame:
+    """Exact enquiry and invoice metrics per client, in one pass; nothing joined yet."""
+    facts = _business_facts(tables, part, start, end, other)
+    return facts.groupBy("client_ref").agg(*_business_measures())
+
+
+def _country_business(
+    tables: Mapping[str, DataFrame],
+    part: Slice,
+    start: date | None,
+    end: date | None,
+    other: bool = False,
+) -> DataFrame:
+    """The same metrics added up per country: L5 and L6 together, one directory join."""
+    t = tables
+    directory = conform.client_directory(t["client"], t["temp_client"]).select(
+        "client_ref", "country_id", "client_type"
+    )
+    per_client = client_business(t, part, start, end, other)
+    placed = _in_place(per_client, directory, "client_ref", t["country"], t["region"], part)
+    known = placed.filter(F.col("country_id").isNotNull())
+    return _finish(_add_up(known, METRICS, "country_id"), METRICS)
+
+
+def _with_business(
+    clients: DataFrame, business: DataFrame, tables: Mapping[str, DataFrame], part: Slice, *keys: str
+) -> DataFrame:
+    """Clients with their metrics, where the client's home is inside the slice.
+
+    The home country and sector came along with the client's name, so the directory is joined
+    once per listing. Clients of the excluded sector have no metrics, and invoices also need
+    a known country.
+    """
+    joined = clients.join(business, ["client_ref", *keys], "left")
+    counted = F.col("home_sector") != EXCLUDED_SECTOR
+    if part.sector is not None:
+        counted = counted & (F.col("home_sector") == part.sector)
+    if part.country is not None:
+        counted = counted & (F.col("home_country") == part.country)
+    if part.region is not None:
+        regions = tables["country"].select(
+            F.col("id").alias("home_country"), F.col("region_id").alias("home_region")
+        )
+        joined = joined.join(regions, "home_country", "left")
+        counted = counted & (F.col("home_region") == part.region)
+    placed = counted & F.col("home_country").isNotNull()
+    masked = {m: F.when(counted, F.col(m)) for m in ENQUIRY_METRICS}
+    masked.update({m: F.when(placed, F.col(m)) for m in INVOICE_METRICS})
+    return _finish(joined.withColumns(masked), METRICS)
+
+
 def sort_by_name(
     df: DataFrame,
     name: str | None,
@@ -209,11 +313,7 @@ def country_listing(
         kind,
         w,
     )
-    enquiries = enquiry_status_rollup(t, "country", part, start, end).drop(
-        "country_name", "region_name"
-    )
-    invoices = invoice_rollup(t, "country", part, start, end)
-    listing = countries.join(enquiries, "country_id", "left").join(invoices, "country_id", "left")
+    listing = countries.join(_country_business(t, part, start, end), "country_id", "left")
     ordered = sort_by_name(listing, order_by, descending, default=_default_sort(kind))
     return zero_fill(ordered.select("country_id", "country_name", "region_name", *METRICS))
 
@@ -238,11 +338,8 @@ def idle_country_listing(
     )
     idle = last.filter(is_idle("job" if kind == "idle_job" else "enquiry", w)).select("country_id")
     named = conform.attach_country(idle, t["country"], t["region"])
-    enquiries = enquiry_status_rollup(t, "country", part, start, end, other=True).drop(
-        "country_name", "region_name"
-    )
-    invoices = invoice_rollup(t, "country", part, start, end, other=True)
-    listing = named.join(enquiries, "country_id", "left").join(invoices, "country_id", "left")
+    elsewhere = _country_business(t, part, start, end, other=True)
+    listing = named.join(elsewhere, "country_id", "left")
     ordered = sort_by_name(listing, order_by, descending, default=_default_sort(kind))
     return zero_fill(ordered.select("country_id", "country_name", "region_name", *METRICS))
 
@@ -260,15 +357,13 @@ def client_listing(
     """L3: clients of a lifecycle segment with their enquiry and invoice metrics."""
     t = tables
     clients = lifecycle_filter(
-        conform.client_activity(
+        conform.client_activity_at_home(
             t["client_activity"], t["client"], t["temp_client"], t["client_type"], w, part
         ),
         kind,
         w,
     )
-    enquiries = enquiry_status_rollup(t, "client", part, start, end)
-    invoices = invoice_rollup(t, "client", part, start, end)
-    listing = clients.join(enquiries, "client_ref", "left").join(invoices, "client_ref", "left")
+    listing = _with_business(clients, client_business(t, part, start, end), t, part)
     ordered = sort_by_name(listing, order_by, descending, tie="client_ref")
     return zero_fill(ordered.select(*CLIENT_COLUMNS, *METRICS))
 
@@ -296,9 +391,7 @@ def idle_client_listing(
     named = conform.describe_clients(
         idle_clients(t, w, kind, part), t["client"], t["temp_client"], t["client_type"]
     )
-    enquiries = enquiry_status_rollup(t, "client", part, other=True)
-    invoices = invoice_rollup(t, "client", part, other=True)
-    listing = named.join(enquiries, "client_ref", "left").join(invoices, "client_ref", "left")
+    listing = _with_business(named, client_business(t, part, other=True), t, part)
     ordered = sort_by_name(listing, order_by, descending, tie="client_ref")
     return zero_fill(ordered.select(*CLIENT_COLUMNS, *METRICS))
 
@@ -321,20 +414,19 @@ def _per_division(divisions: tuple[int, ...], *fields: str) -> Column:
     )
 
 
-def idle_snapshot_all_divisions(
+def idle_in_divisions(
     tables: Mapping[str, DataFrame],
     w: Windows,
     divisions: tuple[int, ...],
     kind: str = "idle_enq",
 ) -> DataFrame:
-    """The idle listing of several divisions, tagged with the division.
+    """Rows (client_ref, sector_id, division_id): who is idle in which of the divisions.
 
-    Equal to one L4 per division put together, but each fact table is scanned once:
-    every division has its own conditional aggregate, and rows fan out after that.
+    The activity is scanned once: every division has its own conditional aggregate, and the
+    rows fan out after the aggregation.
     """
-    t = tables
     day = "job_date" if kind == "idle_job" else "enquiry_date"
-    recent = t["client_activity"].filter(
+    recent = tables["client_activity"].filter(
         (F.col("country_id") > 0)
         & (F.col("client_type") != EXCLUDED_SECTOR)
         & (F.col("enquiry_date") >= F.lit(w.floor))
@@ -345,39 +437,34 @@ def idle_snapshot_all_divisions(
         F.max(day).alias("last_all"),
         *[F.max(F.when(F.col("division") == d, F.col(day))).alias(f"last_{d}") for d in divisions],
     )
-    idle = (
+    return (
         last.filter(F.col("last_all") > F.lit(w.floor))
         .select("client_ref", "sector_id", F.inline(_per_division(divisions, "last")))
         .filter(~F.coalesce(F.col("last") > F.lit(w.floor), F.lit(False)))
         .drop("last")
     )
-    enquiries = (
-        enquiry_facts(t["enquiry"])
+
+
+def idle_snapshot_all_divisions(
+    tables: Mapping[str, DataFrame],
+    w: Windows,
+    divisions: tuple[int, ...],
+    kind: str = "idle_enq",
+) -> DataFrame:
+    """The idle listing of several divisions, tagged with the division.
+
+    Equal to one L4 per division put together, with each fact table scanned once.
+    """
+    t = tables
+    named = conform.describe_clients(
+        idle_in_divisions(t, w, divisions, kind), t["client"], t["temp_client"], t["client_type"]
+    )
+    business = (
+        _business_facts(t, NO_SLICE, None, None, other=False)
         .filter(F.col("client_ref") > 0)
         .groupBy("client_ref")
-        .agg(*[m for d in divisions for m in _enquiry_measures(F.col("division") != d, f"_{d}")])
-        .select("client_ref", F.inline(_per_division(divisions, *ENQUIRY_METRICS)))
-    )
-    invoices = (
-        conform.gross_net_amounts(t["invoice"])
-        .groupBy(F.col("debtor_no").cast("bigint").alias("client_ref"))
-        .agg(
-            *[m for d in divisions for m in _invoice_measures(F.col("dimension2_id") != d, f"_{d}")]
-        )
-        .select("client_ref", F.inline(_per_division(divisions, *INVOICE_METRICS)))
-    )
-    named = conform.describe_clients(idle, t["client"], t["temp_client"], t["client_type"])
-    directory = conform.client_directory(t["client"], t["temp_client"]).select(
-        "client_ref", "country_id", F.col("client_type").alias("own_sector")
-    )
-    counted = F.col("own_sector") != EXCLUDED_SECTOR
-    placed = F.col("country_id").isNotNull()
-    keys = ["client_ref", "division_id"]
-    joined = (
-        named.join(_finish(enquiries, ENQUIRY_METRICS), keys, "left")
-        .join(_finish(invoices, INVOICE_METRICS), keys, "left")
-        .join(directory, "client_ref", "left")
-        .withColumns({m: F.when(counted, F.col(m)) for m in ENQUIRY_METRICS})
-        .withColumns({m: F.when(counted & placed, F.col(m)) for m in INVOICE_METRICS})
+        .agg(*[m for d in divisions for m in _business_measures(F.col("division") != d, f"_{d}")])
+        .select("client_ref", F.inline(_per_division(divisions, *METRICS)))
     )
-    return zero_fill(joined.select("division_id", *CLIENT_COLUMNS, *METRICS))
+    listing = _with_business(named, business, t, NO_SLICE, "division_id")
+    return zero_fill(listing.select("division_id", *CLIENT_COLUMNS, *METRICS))

@@ -525,23 +525,27 @@ def loss_trend_pivot(
 # ---- revenue ----------------------------------------------------------------------------
 
 
-def monthly_revenue(
-    tables: Tables, month: date, payment_type: int = CUSTOMER_PAYMENT
+def _month(day: date) -> tuple[date, date]:
+    first = day.replace(day=1)
+    return first, months_before(first, -1) - timedelta(days=1)
+
+
+def _revenue(
+    tables: Tables, start: date, end: date, payment_type: int, sums: Mapping[str, Column]
 ) -> DataFrame:
-    """Payments allocated in one calendar month, by division and client.
+    """Named sums of allocated payments x rate, by division and client.
 
-    Allocations are added up per invoice before they meet the invoices.
+    Allocations are added up per invoice before they meet the invoices, so the join carries
+    one row per paid invoice and is already partitioned by its key.
     """
     t = tables
-    first = month.replace(day=1)
-    last = months_before(first, -1) - timedelta(days=1)
     paid = (
-        between_dates(t["payment_allocation"], "date_alloc", first, last)
+        between_dates(t["payment_allocation"], "date_alloc", start, end)
         .filter(F.col("trans_type_from") == payment_type)
         .groupBy(
             F.col("trans_no_to").alias("trans_no"), F.col("trans_type_to").alias("trans_type")
         )
-        .agg(F.sum(conform.exact_money(F.col("alloc_amount"))).alias("paid"))
+        .agg(*[F.sum(value).cast("decimal(24,4)").alias(name) for name, value in sums.items()])
     )
     invoices = t["invoice"].select(
         "trans_no", "trans_type", "debtor_no", F.col("dimension2_id").alias("division_id"),
@@ -550,40 +554,78 @@ def monthly_revenue(
     per_client = (
         paid.join(invoices, ["trans_no", "trans_type"])
         .groupBy("division_id", "debtor_no")
-        .agg(F.sum(F.col("paid").cast("decimal(24,4)") * F.col("rate")).alias("revenue"))
+        .agg(*[report_money(F.sum(F.col(name) * F.col("rate"))).alias(name) for name in sums])
     )
     return (
         per_client.join(_registered(t["client"]), "debtor_no")
         .join(_names(t["dimension"], "division_id", "division"), "division_id")
-        .select(
-            "division", "division_id", "debtor_no", "client_name",
-            report_money(F.col("revenue")).alias("revenue"),
-        )
+        .select("division", "division_id", "debtor_no", "client_name", *sums)
     )
 
 
+def monthly_revenue(
+    tables: Tables, month: date, payment_type: int = CUSTOMER_PAYMENT
+) -> DataFrame:
+    """Payments allocated in one calendar month, by division and client."""
+    paid = conform.exact_money(F.col("alloc_amount"))
+    return _revenue(tables, *_month(month), payment_type, {"revenue": paid})
+
+
 def revenue_drop(
     previous: DataFrame,
     current: DataFrame,
     min_drop: float = 1.0,
     names: Mapping[int, str] = DIVISION_NAMES,
 ) -> DataFrame:
-    """Clients whose revenue in a division fell by more than `min_drop`."""
+    """Clients whose revenue in a division fell by more than `min_drop`.
+
+    `previous` is usually the state that the last run has left.
+    """
     keys = ["division_id", "debtor_no"]
+    both = previous.withColumnRenamed("revenue", "last_month_revenue").join(
+        current.select(*keys, F.col("revenue").alias("current_month_revenue")), keys, "left"
+    )
+    return _drops(both, min_drop, names)
+
+
+def revenue_drop_from_payments(
+    tables: Tables,
+    month: date,
+    min_drop: float = 1.0,
+    names: Mapping[int, str] = DIVISION_NAMES,
+    payment_type: int = CUSTOMER_PAYMENT,
+) -> DataFrame:
+    """R20 without a state: both months from one pass over payments and invoices."""
+    first, last = _month(month)
+    day, paid = F.col("date_alloc"), conform.exact_money(F.col("alloc_amount"))
+    both = _revenue(
+        tables,
+        months_before(first, 1),
+        last,
+        payment_type,
+        {
+            "last_month_revenue": F.when(day < F.lit(first), paid),
+            "current_month_revenue": F.when(day >= F.lit(first), paid),
+        },
+    )
+    return _drops(both.filter(F.col("last_month_revenue").isNotNull()), min_drop, names)
+
+
+def _drops(both: DataFrame, min_drop: float, names: Mapping[int, str]) -> DataFrame:
     now = F.coalesce("current_month_revenue", F.lit(0.0))
     drop = report_money(
         F.col("last_month_revenue").cast("decimal(28,4)") - now.cast("decimal(28,4)")
     )
     return (
-        previous.withColumnRenamed("revenue", "last_month_revenue")
-        .join(
-            current.select(*keys, F.col("revenue").alias("current_month_revenue")), keys, "left"
-        )
-        .withColumns({"current_month_revenue": now, "revenue_drop": drop})
+        both.withColumns({"current_month_revenue": now, "revenue_drop": drop})
         .filter(F.col("revenue_drop") > min_drop)
-        .withColumn("div_group", division_group(F.col("division_id"), names))
-        .withColumn(
-            "drop_percent", safe_percent(F.col("revenue_drop"), F.col("last_month_revenue"))
+        .withColumns(
+            {
+                "div_group": division_group(F.col("division_id"), names),
+                "drop_percent": safe_percent(
+                    F.col("revenue_drop"), F.col("last_month_revenue")
+                ),
+            }
         )
     )
 

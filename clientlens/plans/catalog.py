@@ -675,22 +675,23 @@ def _(t):
     return reports.fill_calendar_gaps(series, *SERIES, GROUPS)
 
 
-def _idle_snapshot(t, w) -> DataFrame:
-    return listings.idle_snapshot_all_divisions(t, w, tuple(DIVISION_NAMES))
-
-
 @query("r10_idle_improvements")
 def _(t):
     """Idle as seen from the activity up to a year ago, and not idle by now."""
-    before = _a_year_ago(t, "enquiry_date")
-    return reports.idle_improvements(
-        _idle_snapshot(before, W), _idle_snapshot(t, W)
-    ).select("division_id", "client_ref", "client_name")
+    divisions = tuple(DIVISION_NAMES)
+    before = conform.describe_clients(
+        listings.idle_in_divisions(_a_year_ago(t, "enquiry_date"), W, divisions),
+        t["client"], t["temp_client"], t["client_type"],
+    )
+    now = listings.idle_in_divisions(t, W, divisions)
+    return reports.idle_improvements(before, now).select(
+        "division_id", "client_ref", "client_name"
+    )
 
 
 @query("r11_idle_snapshot_all_divisions")
 def _(t):
-    return _idle_snapshot(t, W)
+    return listings.idle_snapshot_all_divisions(t, W, tuple(DIVISION_NAMES))
 
 
 @query("r12_inactive_clients")
@@ -751,6 +752,11 @@ def _(t):
     )
 
 
+@query("r20_revenue_drop_in_one_pass")
+def _(t):
+    return reports.revenue_drop_from_payments(t, THIS_MONTH)
+
+
 @query("r21_high_value_enquiries")
 def _(t):
     return reports.high_value_enquiries(t)

@@ -1019,4 +1019,6 @@ def _complete(sql: str) -> str:
     return f"{head}, {tail}" if head else sql
 
 
+QUERIES["r20_revenue_drop_in_one_pass"] = QUERIES["r20_revenue_drop"]
+
 ORACLE = {name: _complete(sql) for name, sql in QUERIES.items()}
