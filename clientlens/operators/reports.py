@@ -71,33 +71,18 @@ def _registered(client: DataFrame, *more: str) -> DataFrame:
 # ---- outstanding balances ---------------------------------------------------------------
 
 
-def outstanding_lines(
-    tables: Tables, as_of: date, category: int = CRITICAL_CATEGORY
-) -> DataFrame:
-    """Balance of every invoice of the critical clients, in all and of recent months.
+BALANCES = ("bal_6m", "bal_3m", "bal_total")
 
-    The critical clients are found first; only their invoices are joined further.
-    """
-    t = tables
-    statuses = (
-        t["client_status"]
-        .filter(F.col("category") == category)
-        .select(F.col("id").alias("status_id"), F.col("client_status").alias("status"))
-    )
-    critical = (
-        t["client"]
-        .select("debtor_no", F.col("name").alias("client_name"),
-                F.col("client_status").alias("status_id"))
-        .join(statuses, "status_id")
-        .join(credit_by_client(t["credit_period"]), "debtor_no")
-    )
+
+def _balances(invoice: DataFrame, as_of: date) -> DataFrame:
+    """Balance of every invoice, in all and of the last six and three months."""
     balance = F.col("outstanding")
 
     def since(months: int) -> Column:
         recent = F.col("tran_date") >= F.lit(months_before(as_of, months))
         return F.when(recent, balance).otherwise(F.lit(0).cast("decimal(31,10)"))
 
-    invoices = conform.gross_net_amounts(t["invoice"]).select(
+    return conform.gross_net_amounts(invoice).select(
         "debtor_no",
         "trans_no",
         F.col("dimension_id").alias("company_id"),
@@ -107,36 +92,65 @@ def outstanding_lines(
         since(3).alias("bal_3m"),
         balance.alias("bal_total"),
     )
+
+
+def _of_critical_clients(balances: DataFrame, tables: Tables, category: int) -> DataFrame:
+    """Balances of the clients in a status category, with all names."""
+    t = tables
+    statuses = (
+        t["client_status"]
+        .filter(F.col("category") == category)
+        .select(F.col("id").alias("status_id"), F.col("client_status").alias("status"))
+    )
+    critical = (
+        _registered(t["client"], F.col("client_status").alias("status_id"))
+        .join(statuses, "status_id")
+        .join(credit_by_client(t["credit_period"]), "debtor_no")
+        .withColumnRenamed("current_credit_period", "credit_period")
+        .drop("status_id", "last_payment_date")
+    )
     d = t["dimension"]
     return (
-        invoices.join(critical, "debtor_no")
+        balances.join(critical, "debtor_no")
         .join(_names(d, "company_id", "company"), "company_id", "left")
         .join(_names(d, "division_id", "division"), "division_id", "left")
         .join(_names(d, "subdivision_id", "subdivision"), "subdivision_id", "left")
-        .select(
-            "debtor_no", "trans_no", "client_name", "status", "company", "division",
-            "subdivision", F.col("current_credit_period").alias("credit_period"),
-            "bal_6m", "bal_3m", "bal_total",
-        )
+        .drop("company_id", "division_id", "subdivision_id")
     )
 
 
-BALANCES = ("bal_6m", "bal_3m", "bal_total")
+def outstanding_lines(
+    tables: Tables, as_of: date, category: int = CRITICAL_CATEGORY
+) -> DataFrame:
+    """Every invoice of the critical clients with its balances and names."""
+    return _of_critical_clients(_balances(tables["invoice"], as_of), tables, category)
 
 
-def outstanding_by_client(lines: DataFrame) -> DataFrame:
-    """R2: balances per client with a six-month balance, and its sub-divisions by division.
+def outstanding_by_client(
+    tables: Tables, as_of: date, category: int = CRITICAL_CATEGORY
+) -> DataFrame:
+    """R2: the lines of R1 per client with a six-month balance; its sub-divisions by division.
+
+    The invoices are added up per client, company, division and sub-division before they meet
+    the clients: a client with a third of all invoices enters the join as a few rows.
 
     `divisions` is a map of names, `division_text` the same as sorted text. The sets hold
     dimension names, so their size is that of the dimension table, not of the invoices.
     """
+    sums = [F.sum(b).alias(b) for b in BALANCES]
+    reduced = (
+        _balances(tables["invoice"], as_of)
+        .groupBy("debtor_no", "company_id", "division_id", "subdivision_id")
+        .agg(*sums)
+    )
+    lines = _of_critical_clients(reduced, tables, category)
     by_division = lines.groupBy(
         "debtor_no", "client_name", F.coalesce("division", F.lit("No Division")).alias("division")
     ).agg(
         F.min("status").alias("status"),
         F.min("company").alias("company"),
         F.min("credit_period").alias("credit_period"),
-        *[F.sum(b).alias(b) for b in BALANCES],
+        *sums,
         F.collect_set(F.coalesce("subdivision", F.lit("No Subdiv"))).alias("subdivisions"),
     )
     entry = F.struct("division", F.sort_array("subdivisions").alias("subdivisions"))
@@ -154,7 +168,7 @@ def outstanding_by_client(lines: DataFrame) -> DataFrame:
             F.min("status").alias("status"),
             F.min("company").alias("company"),
             F.coalesce(F.min("credit_period"), F.lit(0)).alias("credit_period"),
-            *[F.sum(b).alias(b) for b in BALANCES],
+            *sums,
             entries.alias("entries"),
         )
         .filter(F.col("bal_6m") > 0)

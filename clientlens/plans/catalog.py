@@ -32,6 +32,8 @@ STATE_DAY = date(2000, 11, 4)
 GROUPS = (*DIVISION_NAMES.values(), OTHER_GROUP)
 W = WINDOWS
 
+# Queries over given logical tables, and over the logical tables of a sample directory.
+BUILDERS: dict[str, Callable[[SampleTables], DataFrame]] = {}
 CATALOG: dict[str, Query] = {}
 
 
@@ -39,6 +41,7 @@ def query(name: str):
     """Register a query; it gets the logical tables."""
 
     def register(build: Callable[[SampleTables], DataFrame]) -> Callable:
+        BUILDERS[name] = build
         CATALOG[name] = lambda spark, directory: build(SampleTables(spark, directory))
         return build
 
@@ -623,14 +626,12 @@ def _(t):
 
 @query("r2_outstanding_by_client")
 def _(t):
-    return reports.outstanding_by_client(reports.outstanding_lines(t, AS_OF)).drop("divisions")
+    return reports.outstanding_by_client(t, AS_OF).drop("divisions")
 
 
 @query("r3_outstanding_with_total")
 def _(t):
-    return reports.outstanding_with_total(
-        reports.outstanding_by_client(reports.outstanding_lines(t, AS_OF))
-    )
+    return reports.outstanding_with_total(reports.outstanding_by_client(t, AS_OF))
 
 
 @query("r4_payment_job_latency")

@@ -231,15 +231,18 @@ def client_activity(where: str) -> str:
 
 def codes(where: str) -> str:
     return f"""
-        SELECT ja.activity_code, MAX(c.enquiry_date) AS enquiry_date, MAX(c.job_date) AS job_date,
-               MIN(d.name) AS country_name, MIN(r.name) AS region_name,
-               MIN(d.region_id) AS region_id, MIN(c.debtor_no) AS debtor_no,
-               MIN(c.client_type) AS client_type, MIN(c.division) AS division,
-               MIN(c.sub_division) AS sub_division
-        FROM g_job_activity ja LEFT JOIN g_code_activity c ON c.activity_code = ja.activity_code
-        LEFT JOIN g_country d ON c.country_id = d.id LEFT JOIN g_region r ON d.region_id = r.id
-        WHERE ja.activity_code <> '' AND c.client_type <> 5 AND ja.status = 1 AND {where}
-        GROUP BY ja.activity_code"""
+        SELECT x.* EXCLUDE (country_id), d.name AS country_name, d.region_id,
+               r.name AS region_name
+        FROM (SELECT ja.activity_code, MAX(c.enquiry_date) AS enquiry_date,
+                     MAX(c.job_date) AS job_date, MIN(c.country_id) AS country_id,
+                     MIN(c.debtor_no) AS debtor_no, MIN(c.client_type) AS client_type,
+                     MIN(c.division) AS division, MIN(c.sub_division) AS sub_division
+              FROM g_job_activity ja
+              LEFT JOIN g_code_activity c ON c.activity_code = ja.activity_code
+              LEFT JOIN g_country d ON c.country_id = d.id
+              WHERE ja.activity_code <> '' AND c.client_type <> 5 AND ja.status = 1 AND {where}
+              GROUP BY ja.activity_code) x
+        LEFT JOIN g_country d ON x.country_id = d.id LEFT JOIN g_region r ON d.region_id = r.id"""
 
 
 def lifecycle(where: str = "TRUE") -> str:
