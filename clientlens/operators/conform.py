@@ -188,29 +188,9 @@ def country_activity(
     )
 
 
-def client_activity(
-    activity: DataFrame,
-    client: DataFrame,
-    temp_client: DataFrame,
-    client_type: DataFrame,
-    w: Windows,
-    part: Slice = NO_SLICE,
-) -> DataFrame:
-    """One row per client inside the slice, with its last enquiry and job."""
-    described = client_activity_at_home(activity, client, temp_client, client_type, w, part)
-    return described.drop("home_country", "home_sector")
-
-
-def client_activity_at_home(
-    activity: DataFrame,
-    client: DataFrame,
-    temp_client: DataFrame,
-    client_type: DataFrame,
-    w: Windows,
-    part: Slice = NO_SLICE,
-) -> DataFrame:
-    """C5 with the client's own country and sector, which listings go by."""
-    last = (
+def client_last(activity: DataFrame, w: Windows, part: Slice = NO_SLICE) -> DataFrame:
+    """Last enquiry and job per client inside the slice, keyed by `client_ref`."""
+    return (
         slice_by(_live(activity), part)
         .filter(F.col("enquiry_date") >= F.lit(w.floor))
         .withColumn("client_ref", client_ref(F.col("debtor_no"), F.col("temp_client_id")))
@@ -224,32 +204,42 @@ def client_activity_at_home(
             F.min("client_type").alias("sector_id"),
         )
     )
-    return describe_clients(last, client, temp_client, client_type)
 
 
-def describe_clients(
-    df: DataFrame, client: DataFrame, temp_client: DataFrame, client_type: DataFrame
+def client_activity(
+    activity: DataFrame,
+    client: DataFrame,
+    temp_client: DataFrame,
+    client_type: DataFrame,
+    w: Windows,
+    part: Slice = NO_SLICE,
 ) -> DataFrame:
-    """Name, status, home, sector name and readable ids for rows keyed by `client_ref`."""
+    """One row per client inside the slice, with its last enquiry and job."""
+    named = with_directory(client_last(activity, w, part), client, temp_client)
+    return with_sector_names(named, client_type).drop("home_country", "home_sector")
+
+
+def with_directory(df: DataFrame, client: DataFrame, temp_client: DataFrame) -> DataFrame:
+    """Name, status, home country and sector, and readable ids for rows keyed by `client_ref`."""
     ref = F.col("client_ref")
     directory = client_directory(client, temp_client).withColumnsRenamed(
         {"country_id": "home_country", "client_type": "home_sector"}
     )
-    sectors = client_type.select(F.col("id").alias("sector_id"), F.col("client_type"))
-    return (
-        df.join(directory, "client_ref", "left")
-        .join(sectors, "sector_id", "left")
-        .withColumns(
-            {
-                "debtor_no": F.when(ref > 0, ref),
-                "temp_client_id": F.when(ref < 0, -ref).otherwise(F.lit(0).cast("bigint")),
-                "client_id": F.abs(ref).cast("string"),
-                "client_status": F.when(ref < 0, client_key(ref)).otherwise(F.lit("")),
-            }
-        )
+    return df.join(directory, "client_ref", "left").withColumns(
+        {
+            "debtor_no": F.when(ref > 0, ref),
+            "temp_client_id": F.when(ref < 0, -ref).otherwise(F.lit(0).cast("bigint")),
+            "client_id": F.abs(ref).cast("string"),
+            "client_status": F.when(ref < 0, client_key(ref)).otherwise(F.lit("")),
+        }
     )
 
 
+def with_sector_names(df: DataFrame, client_type: DataFrame) -> DataFrame:
+    sectors = client_type.select(F.col("id").alias("sector_id"), F.col("client_type"))
+    return df.join(sectors, "sector_id", "left")
+
+
 def activity_code_summary(
     code_activity: DataFrame,
     job_activity: DataFrame,

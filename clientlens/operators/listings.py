@@ -273,7 +273,8 @@ def _with_business(
     placed = counted & F.col("home_country").isNotNull()
     masked = {m: F.when(counted, F.col(m)) for m in ENQUIRY_METRICS}
     masked.update({m: F.when(placed, F.col(m)) for m in INVOICE_METRICS})
-    return _finish(joined.withColumns(masked), METRICS)
+    finished = _finish(joined.withColumns(masked), METRICS)
+    return conform.with_sector_names(finished, tables["client_type"])
 
 
 def sort_by_name(
@@ -356,13 +357,8 @@ def client_listing(
 ) -> DataFrame:
     """L3: clients of a lifecycle segment with their enquiry and invoice metrics."""
     t = tables
-    clients = lifecycle_filter(
-        conform.client_activity_at_home(
-            t["client_activity"], t["client"], t["temp_client"], t["client_type"], w, part
-        ),
-        kind,
-        w,
-    )
+    last = conform.client_last(t["client_activity"], w, part)
+    clients = lifecycle_filter(conform.with_directory(last, t["client"], t["temp_client"]), kind, w)
     listing = _with_business(clients, client_business(t, part, start, end), t, part)
     ordered = sort_by_name(listing, order_by, descending, tie="client_ref")
     return zero_fill(ordered.select(*CLIENT_COLUMNS, *METRICS))
@@ -388,9 +384,8 @@ def idle_client_listing(
 ) -> DataFrame:
     """L4: registered clients idle in the slice, and their business with other divisions."""
     t = tables
-    named = conform.describe_clients(
-        idle_clients(t, w, kind, part), t["client"], t["temp_client"], t["client_type"]
-    )
+    idle = idle_clients(t, w, kind, part)
+    named = conform.with_directory(idle, t["client"], t["temp_client"])
     listing = _with_business(named, client_business(t, part, other=True), t, part)
     ordered = sort_by_name(listing, order_by, descending, tie="client_ref")
     return zero_fill(ordered.select(*CLIENT_COLUMNS, *METRICS))
@@ -456,9 +451,8 @@ def idle_snapshot_all_divisions(
     Equal to one L4 per division put together, with each fact table scanned once.
     """
     t = tables
-    named = conform.describe_clients(
-        idle_in_divisions(t, w, divisions, kind), t["client"], t["temp_client"], t["client_type"]
-    )
+    idle = idle_in_divisions(t, w, divisions, kind)
+    named = conform.with_directory(idle, t["client"], t["temp_client"])
     business = (
         _business_facts(t, NO_SLICE, None, None, other=False)
         .filter(F.col("client_ref") > 0)

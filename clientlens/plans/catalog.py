@@ -680,9 +680,9 @@ def _(t):
 def _(t):
     """Idle as seen from the activity up to a year ago, and not idle by now."""
     divisions = tuple(DIVISION_NAMES)
-    before = conform.describe_clients(
+    before = conform.with_directory(
         listings.idle_in_divisions(_a_year_ago(t, "enquiry_date"), W, divisions),
-        t["client"], t["temp_client"], t["client_type"],
+        t["client"], t["temp_client"],
     )
     now = listings.idle_in_divisions(t, W, divisions)
     return reports.idle_improvements(before, now).select(
