@@ -66,7 +66,7 @@ def zero_if_unusable(col: Column) -> Column:
 
 
 def compact_amount(col: Column) -> Column:
-    """1234567 -> 1.23M, 1234 -> 1.2K, 999.5 -> 999.50, and null or 0 -> 0."""
+    """1234567 -> 1.23M, 1234 -> 1.2K, 999.5 -> 999.50, and null or 0 -> 0; halves round up."""
     value = col.cast("decimal(20,4)")
     size = F.abs(value)
     millions = (value * F.expr("0.000001BD")).cast("decimal(30,2)").cast("string")
@@ -75,5 +75,5 @@ def compact_amount(col: Column) -> Column:
         F.when(value.isNull() | (value == 0), "0")
         .when(size >= 1_000_000, F.concat(millions, F.lit("M")))
         .when(size >= 1_000, F.concat(thousands, F.lit("K")))
-        .otherwise(F.format_number(value, 2))
+        .otherwise(F.format_number(value.cast("decimal(20,2)"), 2))
     )

@@ -71,9 +71,9 @@ def test_percent_of_nothing_is_zero(frame):
 
 
 def test_compact_amounts(frame):
-    df = frame("v DOUBLE", (None,), (0.0,), (999.5,), (-1500.0,), (1234567.0,), (1000.0,), (1e6,))
+    df = frame("v DOUBLE", (None,), (0.0,), (999.5,), (-1500.0,), (1234567.0,), (1000.0,), (1e6,), (347.905,))
     assert column(df.select(compact_amount(F.col("v")).alias("t")), "t") == [
-        "0", "0", "999.50", "-1.5K", "1.23M", "1.0K", "1.00M",
+        "0", "0", "999.50", "-1.5K", "1.23M", "1.0K", "1.00M", "347.91",
     ]
 
 
