@@ -61,18 +61,20 @@ def client_directory(client: DataFrame, temp_client: DataFrame) -> DataFrame:
     return registered.unionByName(temporary)
 
 
-def country_names(country: DataFrame, region: DataFrame) -> DataFrame:
-    regions = region.select(F.col("id").alias("region_id"), F.col("name").alias("region_name"))
-    return country.select(
+def attach_country(df: DataFrame, country: DataFrame, region: DataFrame) -> DataFrame:
+    """Country name, colour and region of rows with a `country_id`.
+
+    Two joins to base tables, not one to their join: Spark knows the size of a table, but can
+    only guess that of a join, and the guess may be too big to broadcast.
+    """
+    countries = country.select(
         F.col("id").alias("country_id"),
         F.col("name").alias("country_name"),
-        F.col("colour_code"),
+        "colour_code",
         "region_id",
-    ).join(regions, "region_id", "left")
-
-
-def attach_country(df: DataFrame, country: DataFrame, region: DataFrame) -> DataFrame:
-    return df.join(country_names(country, region), "country_id", "left")
+    )
+    regions = region.select(F.col("id").alias("region_id"), F.col("name").alias("region_name"))
+    return df.join(countries, "country_id", "left").join(regions, "region_id", "left")
 
 
 def resolve_client(facts: DataFrame, client: DataFrame, temp_client: DataFrame) -> DataFrame:

@@ -297,6 +297,24 @@ def _default_sort(kind: str | None) -> str:
     return "total_invoice_amount" if kind and "job" in kind else "total_enquiry_amount"
 
 
+def listed_countries(
+    tables: Mapping[str, DataFrame], w: Windows, kind: str | None = None, part: Slice = NO_SLICE
+) -> DataFrame:
+    """The countries of L1, without metrics."""
+    t = tables
+    found = conform.country_activity(t["client_activity"], t["country"], t["region"], part)
+    return lifecycle_filter(found, kind, w)
+
+
+def listed_clients(
+    tables: Mapping[str, DataFrame], w: Windows, kind: str | None = None, part: Slice = NO_SLICE
+) -> DataFrame:
+    """The clients of L3, without metrics."""
+    last = conform.client_last(tables["client_activity"], w, part)
+    named = conform.with_directory(last, tables["client"], tables["temp_client"])
+    return lifecycle_filter(named, kind, w)
+
+
 def country_listing(
     tables: Mapping[str, DataFrame],
     w: Windows,
@@ -308,13 +326,9 @@ def country_listing(
     descending: bool = True,
 ) -> DataFrame:
     """L1: countries of a lifecycle segment with their enquiry and invoice metrics."""
-    t = tables
-    countries = lifecycle_filter(
-        conform.country_activity(t["client_activity"], t["country"], t["region"], part),
-        kind,
-        w,
+    listing = listed_countries(tables, w, kind, part).join(
+        _country_business(tables, part, start, end), "country_id", "left"
     )
-    listing = countries.join(_country_business(t, part, start, end), "country_id", "left")
     ordered = sort_by_name(listing, order_by, descending, default=_default_sort(kind))
     return zero_fill(ordered.select("country_id", "country_name", "region_name", *METRICS))
 
@@ -356,10 +370,9 @@ def client_listing(
     descending: bool = True,
 ) -> DataFrame:
     """L3: clients of a lifecycle segment with their enquiry and invoice metrics."""
-    t = tables
-    last = conform.client_last(t["client_activity"], w, part)
-    clients = lifecycle_filter(conform.with_directory(last, t["client"], t["temp_client"]), kind, w)
-    listing = _with_business(clients, client_business(t, part, start, end), t, part)
+    clients = listed_clients(tables, w, kind, part)
+    business = client_business(tables, part, start, end)
+    listing = _with_business(clients, business, tables, part)
     ordered = sort_by_name(listing, order_by, descending, tie="client_ref")
     return zero_fill(ordered.select(*CLIENT_COLUMNS, *METRICS))
 
@@ -392,7 +405,10 @@ def idle_client_listing(
 
 
 def listing_count(listing: DataFrame) -> DataFrame:
-    """Number of entities: distinct countries, or registered plus temporary clients."""
+    """Number of entities: distinct countries, or registered plus temporary clients.
+
+    Give it the listed entities: there is no need to compute the metrics to count them.
+    """
     key = "client_ref" if "client_ref" in listing.columns else "country_id"
     return listing.agg(F.count_distinct(key).alias("entities"))
 

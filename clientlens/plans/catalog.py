@@ -560,8 +560,8 @@ def _(t):
 
 @query("l8_listing_count")
 def _(t):
-    clients = listings.listing_count(listings.client_listing(t, W, "active_enq"))
-    countries = listings.listing_count(listings.country_listing(t, W, "active_enq"))
+    clients = listings.listing_count(listings.listed_clients(t, W, "active_enq"))
+    countries = listings.listing_count(listings.listed_countries(t, W, "active_enq"))
     return clients.select(F.lit("clients").alias("listing"), "entities").unionByName(
         countries.select(F.lit("countries").alias("listing"), "entities")
     )
