@@ -363,17 +363,10 @@ def invoice_share_figures(
 def _share_rows(totals: DataFrame, figures: Figures, prefix: str) -> DataFrame:
     """Rows (division_group, amount, percent) of a share group."""
     groups = [n[len(prefix) + 1 : -len("_amount")] for n in figures[1] if n.endswith("_amount")]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(group).alias("division_group"),
-                F.col(f"`{prefix}_{group}_amount`").alias("amount"),
-                F.col(f"`{prefix}_{group}_percent`").alias("percent"),
-            )
-            for group in groups
-        ]
+    rows = ", ".join(f"'{g}', `{prefix}_{g}_amount`, `{prefix}_{g}_percent`" for g in groups)
+    return figures_row(totals, figures).selectExpr(
+        f"stack({len(groups)}, {rows}) AS (division_group, amount, percent)"
     )
-    return figures_row(totals, figures).select(F.inline(rows))
 
 
 def enquiry_share_by_division(

@@ -14,16 +14,8 @@ from clientlens.operators import conform, kpis
 
 def _metrics(row: DataFrame, prefix: str) -> DataFrame:
     """One-row frame -> rows (metric, value)."""
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(f"{prefix}_{name}").alias("metric"),
-                F.col(f"`{name}`").cast("double").alias("value"),
-            )
-            for name in row.columns
-        ]
-    )
-    return row.select(F.inline(pairs))
+    pairs = ", ".join(f"'{prefix}_{name}', DOUBLE(`{name}`)" for name in row.columns)
+    return row.selectExpr(f"stack({len(row.columns)}, {pairs}) AS (metric, value)")
 
 
 def kpi_metrics(

@@ -20,20 +20,7 @@ AS_OF = date(2001, 11, 4)
 FLOOR = date(1995, 1, 1)
 WINDOWS = Windows(as_of=AS_OF, floor=FLOOR)
 
-# Declared, so that opening a table starts no job to infer its schema.
-SOURCES = {
-    "region": "r_regionkey INT, r_name STRING",
-    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
-    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
-    "part": """p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,
-        p_retailprice DOUBLE""",
-    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
-        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
-    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
-        l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,
-        l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
-}
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
 def _values(rows: dict[int, str], name: str) -> str:
@@ -159,7 +146,7 @@ MAPPING = {
         LEFT JOIN {client} c ON c.debtor_no = o.cust_key + 1""",
     "job_activity": """
         SELECT p_partkey AS id, p_name AS name, STRING(p_partkey) AS activity_code,
-               element_at(array(225, 3, 10, 11, 12), p_size % 5 + 1) AS division_id,
+               element_at(array(225, 3, 10, 11, 12), INT(p_size % 5 + 1)) AS division_id,
                INT(100 + p_partkey % 97) AS sub_division_id,
                IF(p_partkey % 10 = 0, 0, 1) AS status
         FROM {part}""",
@@ -187,7 +174,7 @@ class SampleTables(dict):
         self.spark, self.directory = spark, directory
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SOURCES[name]).parquet(f"{self.directory}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
     def __missing__(self, name: str) -> DataFrame:
         if name in MAPPING:
