@@ -17,5 +17,6 @@ def shared_folder(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
         named = tempfile.mkdtemp(prefix="clientlens-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

@@ -73,6 +73,21 @@ def test_year_folders_are_pruned_and_nothing_is_lost(spark, sample):
     assert rows(window.select("trans_no", "tran_date")) == rows(expected)
 
 
+def test_year_folders_load_with_the_declared_schema(spark, frame):
+    where = folder(spark)
+    names = schemas.schema("payment_allocation").fieldNames()
+    source = frame(
+        ", ".join(f"{n} STRING" for n in names),
+        *[tuple({"id": str(i), "date_alloc": f"{2000 + i}-05-01"}.get(n) for n in names) for i in range(4)],
+    )
+    extracted = snapshots.extract_table(source, "payment_allocation")
+    snapshots.write_snapshots({"payment_allocation": extracted}, where)
+    loaded = snapshots.load_tables(spark, where, ["payment_allocation"])["payment_allocation"]
+    assert loaded.select(*names).schema == schemas.schema("payment_allocation")
+    recent = between_dates(loaded, "date_alloc", date(2002, 1, 1))
+    assert rows(recent.select("id", "date_alloc_year")) == [(2, 2002), (3, 2003)]
+
+
 def test_state_starts_empty_or_seeded(spark, frame):
     where, ddl = folder(spark), "k INT, v STRING"
     assert rows(state.read_state(spark, where, ddl)) == []
