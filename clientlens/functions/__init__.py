@@ -1,3 +1,4 @@
+from clientlens.functions import sql
 from clientlens.functions.columns import (
     coerce_number,
     compact_amount,
@@ -23,5 +24,6 @@ __all__ = [
     "report_money",
     "safe_divide",
     "safe_percent",
+    "sql",
     "zero_if_unusable",
 ]

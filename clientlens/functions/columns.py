@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clientlens.functions.sql import name
+
 
 def exact_money(col: Column) -> Column:
     return col.cast("decimal(18,4)")
@@ -59,10 +61,11 @@ def midnight_date(col: Column) -> Column:
     return F.when(col == F.date_trunc("day", col), col.cast("date"))
 
 
-def zero_if_unusable(col: Column) -> Column:
-    """Null, NaN and infinities of a DOUBLE column become 0."""
-    usable = col.isNotNull() & ~F.isnan(col) & (F.abs(col) != F.lit(float("inf")))
-    return F.when(usable, col).otherwise(F.lit(0.0))
+def zero_if_unusable(column: str) -> Column:
+    """Null, NaN and infinities of a floating column become 0."""
+    c = name(column)
+    usable = f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) != DOUBLE('Infinity')"
+    return F.expr(f"CASE WHEN {usable} THEN {c} ELSE 0D END")
 
 
 def compact_amount(col: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientlens.functions import coerce_number, key_text, midnight_date, zero_if_unusable
+from clientlens.functions import coerce_number, key_text, midnight_date, sql, zero_if_unusable
 
 DATE_SUFFIXES = ("date", "date_")
 
@@ -50,7 +50,7 @@ def zero_fill(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     filled = {}
     for f in fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            filled[f.name] = zero_if_unusable(F.col(f.name))
+            filled[f.name] = zero_if_unusable(f.name)
         elif isinstance(f.dataType, T.NumericType):
-            filled[f.name] = F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType))
+            filled[f.name] = F.expr(f"coalesce({sql.name(f.name)}, CAST(0 AS {f.dataType.simpleString()}))")
     return df.withColumns(filled) if filled else df

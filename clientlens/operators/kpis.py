@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.functions import report_money, safe_percent
+from clientlens.functions import report_money, safe_percent, sql
 from clientlens.model import (
     BLACKLISTED_STATUS,
     CLOSED_STATUS,
@@ -40,18 +40,18 @@ from clientlens.operators.slices import (
 )
 
 
-def _sum_if(condition: Column, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0).cast("decimal(38,4)"))
+def _sum_if(condition: str, value: str, name: str) -> Column:
+    """An exact conditional sum; 0 and not null where no row qualifies."""
+    return F.expr(f"coalesce(sum(CASE WHEN {condition} THEN {value} END), 0)").alias(name)
 
 
-def _lifecycle(day: str, w: Windows, prefix: str, where: Column | None = None) -> list[Column]:
-    col = F.col(day) if where is None else F.when(where, F.col(day))
-    return [
-        F.count_if(has_history(col, w)).alias(f"{prefix}_total"),
-        F.count_if(is_active(col, w)).alias(f"{prefix}_active"),
-        F.count_if(is_inactive(col, w)).alias(f"{prefix}_inactive"),
-        F.count_if(is_lost(col, w)).alias(f"{prefix}_lost"),
-    ]
+def _counts(**predicates: str) -> list[Column]:
+    return [F.expr(f"count_if({test})").alias(name) for name, test in predicates.items()]
+
+
+def _lifecycle(day: str, w: Windows, prefix: str, where: str = "true") -> list[Column]:
+    tests = {"total": has_history, "active": is_active, "inactive": is_inactive, "lost": is_lost}
+    return _counts(**{f"{prefix}_{n}": f"{where} AND {test(day, w)}" for n, test in tests.items()})
 
 
 # ---- counts -----------------------------------------------------------------------------
@@ -68,7 +68,7 @@ def country_lifecycle_counts(countries: DataFrame, w: Windows) -> DataFrame:
 
 def client_lifecycle_counts(clients: DataFrame, w: Windows) -> DataFrame:
     """K2, from `client_activity`: registered and temporary clients are counted alike."""
-    return clients.filter(has_history(F.col("enquiry_date"), w)).agg(
+    return clients.filter(has_history("enquiry_date", w)).agg(
         *_lifecycle("enquiry_date", w, "enquiry"),
         *_lifecycle("job_date", w, "job"),
     )
@@ -85,15 +85,16 @@ def activity_code_lifecycle_counts(codes: DataFrame, w: Windows) -> DataFrame:
 def _status_counts(
     enquiry: str, job: str, w: Windows, blacklisted: Iterable[int], closed: Iterable[int]
 ) -> list[Column]:
-    with_enquiry = has_history(F.col(enquiry), w)
-    with_job = with_enquiry & has_history(F.col(job), w)
-    is_black, is_closed = F.col("status_id").isin(*blacklisted), F.col("status_id").isin(*closed)
-    return [
-        F.count_if(is_black & with_enquiry).alias("enquiry_blacklisted"),
-        F.count_if(is_closed & with_enquiry).alias("enquiry_closed"),
-        F.count_if(is_black & with_job).alias("job_blacklisted"),
-        F.count_if(is_closed & with_job).alias("job_closed"),
-    ]
+    with_enquiry = has_history(enquiry, w)
+    with_job = f"{with_enquiry} AND {has_history(job, w)}"
+    black = f"status_id IN ({sql.ids(blacklisted)})"
+    shut = f"status_id IN ({sql.ids(closed)})"
+    return _counts(
+        enquiry_blacklisted=f"{black} AND {with_enquiry}",
+        enquiry_closed=f"{shut} AND {with_enquiry}",
+        job_blacklisted=f"{black} AND {with_job}",
+        job_closed=f"{shut} AND {with_job}",
+    )
 
 
 def client_status_counts(
@@ -116,14 +117,13 @@ def last_activity(activity: DataFrame, key: str, within: Slice, here: Slice) ->
         activity.filter((F.col("country_id") > 0) & (F.col("client_type") != EXCLUDED_SECTOR)),
         within,
     ).filter(F.col(key).isNotNull())
-    here = inside(here)
-    enquiry, job = F.col("enquiry_date"), F.col("job_date")
+    seen = inside(here)
     return history.groupBy(key).agg(
-        F.max(enquiry).alias("enquiry_all"),
-        F.max(F.when(here, enquiry)).alias("enquiry_here"),
-        F.max(job).alias("job_all"),
-        F.max(F.when(here, job)).alias("job_here"),
-        F.max(here).alias("seen_here"),
+        F.max("enquiry_date").alias("enquiry_all"),
+        F.expr(f"max(IF({seen}, enquiry_date, NULL))").alias("enquiry_here"),
+        F.max("job_date").alias("job_all"),
+        F.expr(f"max(IF({seen}, job_date, NULL))").alias("job_here"),
+        F.expr(f"max({seen})").alias("seen_here"),
         F.min("client_type").alias("sector_id"),
     )
 
@@ -133,11 +133,10 @@ def _around(part: Slice) -> tuple[Slice, Slice]:
     return part.only("country", "region", "sector"), part.only("division", "subdivision")
 
 
-def is_idle(kind: str, w: Windows) -> Column:
+def is_idle(kind: str, w: Windows) -> str:
     """On a row of `last_activity`: history since the floor, but none of it in the slice."""
-    anywhere = F.coalesce(has_history(F.col(f"{kind}_all"), w), F.lit(False))
-    present = F.coalesce(has_history(F.col(f"{kind}_here"), w), F.lit(False))
-    return anywhere & ~present
+    anywhere, present = has_history(f"{kind}_all", w), has_history(f"{kind}_here", w)
+    return f"(coalesce({anywhere}, false) AND NOT coalesce({present}, false))"
 
 
 def client_last_activity(
@@ -152,10 +151,7 @@ def client_last_activity(
 
 def idle_counts(activity: DataFrame, w: Windows, part: Slice) -> DataFrame:
     """Idle countries and idle registered clients, as rows (entity, enquiry, job)."""
-    counts = [
-        F.count_if(is_idle("enquiry", w)).alias("idle_enquiry"),
-        F.count_if(is_idle("job", w)).alias("idle_job"),
-    ]
+    counts = _counts(idle_enquiry=is_idle("enquiry", w), idle_job=is_idle("job", w))
     countries = last_activity(activity, "country_id", *_around(part)).agg(*counts)
     clients = client_last_activity(activity, w, *_around(part)).filter("client_ref > 0").agg(*counts)
     return countries.select(F.lit("countries").alias("entity"), "*").unionByName(
@@ -166,11 +162,10 @@ def idle_counts(activity: DataFrame, w: Windows, part: Slice) -> DataFrame:
 def country_board(activity: DataFrame, w: Windows, part: Slice = NO_SLICE) -> DataFrame:
     """K1 and the country half of K11 as one row, from one scan of the activity."""
     return last_activity(activity, "country_id", *_around(part)).agg(
-        F.count_if("seen_here").alias("countries"),
+        *_counts(countries="seen_here"),
         *_lifecycle("enquiry_here", w, "enquiry"),
         *_lifecycle("job_here", w, "job"),
-        F.count_if(is_idle("enquiry", w)).alias("idle_enquiry"),
-        F.count_if(is_idle("job", w)).alias("idle_job"),
+        *_counts(idle_enquiry=is_idle("enquiry", w), idle_job=is_idle("job", w)),
     )
 
 
@@ -182,8 +177,7 @@ def client_board(
         F.col("debtor_no").cast("bigint").alias("client_ref"),
         F.col("client_status").cast("int").alias("status_id"),
     )
-    since = has_history(F.col("enquiry_here"), w)
-    registered = F.col("client_ref") > 0
+    since = has_history("enquiry_here", w)
     return (
         client_last_activity(activity, w, *_around(part))
         .join(statuses, "client_ref", "left")
@@ -191,8 +185,10 @@ def client_board(
             *_lifecycle("enquiry_here", w, "enquiry", since),
             *_lifecycle("job_here", w, "job", since),
             *_status_counts("enquiry_here", "job_here", w, BLACKLISTED_STATUS, CLOSED_STATUS),
-            F.count_if(registered & is_idle("enquiry", w)).alias("idle_enquiry"),
-            F.count_if(registered & is_idle("job", w)).alias("idle_job"),
+            *_counts(
+                idle_enquiry=f"client_ref > 0 AND {is_idle('enquiry', w)}",
+                idle_job=f"client_ref > 0 AND {is_idle('job', w)}",
+            ),
         )
     )
 
@@ -241,7 +237,7 @@ def enquiry_totals(
     sums = facts.groupBy(*keys).agg(
         F.sum(F.when(previous & kept, value)).alias("previous"),
         F.sum(F.when(current & kept, value)).alias("current"),
-        F.sum(F.when(is_active(day, w), value)).alias("active"),
+        F.sum(F.when(F.expr(is_active("enquiry_date", w)), value)).alias("active"),
     )
     if not located:
         return sums
@@ -261,7 +257,7 @@ def invoice_totals(
     """Net and gross invoice amounts per division and sector, previous and current period."""
     day = F.col("tran_date")
     previous = day.between(F.lit(w.previous_from), F.lit(w.previous_to))
-    current = is_active(day, w)
+    current = F.expr(is_active("tran_date", w))
     facts = slice_by(invoice, part.only("division", "subdivision"), INVOICE_COLUMNS)
     facts = gross_net_amounts(between_dates(facts, "tran_date", w.previous_from, w.active_to))
     net, gross = F.col("net_amount"), F.col("gross_amount")
@@ -295,8 +291,8 @@ def figures_row(totals: DataFrame, *groups: Figures) -> DataFrame:
 
 def _growth(name: str, previous: str, current: str, precision: int) -> Figures:
     sums = [
-        _sum_if(F.lit(True), F.col(previous)).alias(f"{name}_sum_previous"),
-        _sum_if(F.lit(True), F.col(current)).alias(f"{name}_sum_current"),
+        _sum_if("true", previous, f"{name}_sum_previous"),
+        _sum_if("true", current, f"{name}_sum_current"),
     ]
     before, now = F.col(f"{name}_sum_previous"), F.col(f"{name}_sum_current")
     return sums, {
@@ -329,12 +325,12 @@ def invoice_growth(totals: DataFrame, precision: int = 2) -> DataFrame:
     return figures_row(totals, invoice_growth_figures(precision))
 
 
-def _shares(prefix: str, value: Column, total: str, groups: Mapping[str, Column]) -> Figures:
-    sums = [_sum_if(F.lit(True), F.col(total)).alias(f"{prefix}_sum_total")]
+def _shares(prefix: str, value: str, total: str, groups: Mapping[str, str]) -> Figures:
+    sums = [_sum_if("true", total, f"{prefix}_sum_total")]
     named = {}
     for group, test in groups.items():
-        sums.append(_sum_if(test, value).alias(f"{prefix}_sum_{group}"))
-        part = report_money(F.col(f"`{prefix}_sum_{group}`"))
+        sums.append(_sum_if(test, value, f"{prefix}_sum_{group}"))
+        part = report_money(F.col(sql.name(f"{prefix}_sum_{group}")))
         whole = report_money(F.col(f"{prefix}_sum_total"))
         named[f"{prefix}_{group}_amount"] = part
         named[f"{prefix}_{group}_percent"] = safe_percent(part, whole)
@@ -344,26 +340,32 @@ def _shares(prefix: str, value: Column, total: str, groups: Mapping[str, Column]
 def enquiry_share_figures(
     divisions: Mapping[int, str] = DIVISION_NAMES, include_transfers: bool = True
 ) -> Figures:
-    source = F.col("active" if include_transfers else "current")
-    value = F.when(F.col("client_type") != EXCLUDED_SECTOR, source)
-    groups = {name: F.col("division") == number for number, name in divisions.items()}
-    return _shares("enquiry", value, "current", groups)
+    source = "active" if include_transfers else "current"
+    groups = {
+        name: f"division = {sql.ids([number])} AND client_type != {EXCLUDED_SECTOR}"
+        for number, name in divisions.items()
+    }
+    return _shares("enquiry", source, "current", groups)
 
 
 def invoice_share_figures(
     divisions: Mapping[int, str] = DIVISION_NAMES, non_marine: Iterable[int] | None = None
 ) -> Figures:
-    division = F.col("division")
-    groups = {name: division == number for number, name in divisions.items()}
-    outside = ~division.isin(*divisions) if non_marine is None else division.isin(*non_marine)
-    groups[NON_MARINE_GROUP] = outside
-    return _shares("invoice", F.col("current_net"), "current_net", groups)
+    groups = {name: f"division = {sql.ids([number])}" for number, name in divisions.items()}
+    if non_marine is None:
+        groups[NON_MARINE_GROUP] = f"division NOT IN ({sql.ids(divisions)})"
+    else:
+        groups[NON_MARINE_GROUP] = f"division IN ({sql.ids(non_marine)})"
+    return _shares("invoice", "current_net", "current_net", groups)
 
 
 def _share_rows(totals: DataFrame, figures: Figures, prefix: str) -> DataFrame:
     """Rows (division_group, amount, percent) of a share group."""
     groups = [n[len(prefix) + 1 : -len("_amount")] for n in figures[1] if n.endswith("_amount")]
-    rows = ", ".join(f"'{g}', `{prefix}_{g}_amount`, `{prefix}_{g}_percent`" for g in groups)
+    rows = ", ".join(
+        f"{sql.text(g)}, {sql.name(f'{prefix}_{g}_amount')}, {sql.name(f'{prefix}_{g}_percent')}"
+        for g in groups
+    )
     return figures_row(totals, figures).selectExpr(
         f"stack({len(groups)}, {rows}) AS (division_group, amount, percent)"
     )
@@ -395,7 +397,7 @@ def sector_figures(
 ) -> Figures:
     """One amount per sector as columns, 0 where there is none."""
     sums = [
-        _sum_if(F.col("client_type") == number, F.col(value)).alias(f"{prefix}_sum_{name}")
+        _sum_if(f"client_type = {sql.ids([number])}", value, f"{prefix}_sum_{name}")
         for number, name in sectors.items()
     ]
     return sums, {

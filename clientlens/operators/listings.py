@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientlens.functions import report_money
+from clientlens.functions import report_money, sql
 from clientlens.model import CANCELLED, EXCLUDED_SECTOR, LOST, NO_SLICE, Slice, Windows
 from clientlens.operators import conform
 from clientlens.operators.clean import zero_fill
@@ -197,25 +197,19 @@ def _business_facts(
     return asked.unionByName(billed).filter(F.col("client_ref").isNotNull())
 
 
-def _business_measures(where: Column | None = None, suffix: str = "") -> list[Column]:
+def _business_measures(where: str = "true", suffix: str = "") -> list[Column]:
     """All metrics over `_business_facts`; null where a client has no row of that kind."""
-    within = F.lit(True) if where is None else where
-    status, invoice = F.col("enq_status"), F.col("is_invoice")
     groups = {
-        "total_enquiry": (~invoice, F.lit(True), "amount"),
-        "cancel_enquiry": (~invoice, status == CANCELLED, "amount"),
-        "lost_enquiry": (~invoice, status == LOST, "amount"),
-        "total_invoice": (invoice, F.lit(True), "net_amount"),
+        "total_enquiry": ("NOT is_invoice", "true", "amount"),
+        "cancel_enquiry": ("NOT is_invoice", f"enq_status = {CANCELLED}", "amount"),
+        "lost_enquiry": ("NOT is_invoice", f"enq_status = {LOST}", "amount"),
+        "total_invoice": ("is_invoice", "true", "net_amount"),
     }
     out = []
     for name, (kind, test, value) in groups.items():
-        kind = kind & within
-        number = F.when(kind & test, 1).when(kind, 0)
-        money = F.when(kind & test, F.col(value)).when(kind, F.lit(0).cast("decimal(31,10)"))
-        out += [
-            F.sum(number).alias(f"{name}_count{suffix}"),
-            F.sum(money).alias(f"{name}_amount{suffix}"),
-        ]
+        for metric, shown in (("count", "1"), ("amount", value)):
+            cases = f"WHEN {kind} AND {where} AND {test} THEN {shown} WHEN {kind} AND {where} THEN 0"
+            out.append(F.expr(f"sum(CASE {cases} END)").alias(f"{name}_{metric}{suffix}"))
     return out
 
 
@@ -249,6 +243,14 @@ def _country_business(
     return _finish(_add_up(known, METRICS, "country_id"), METRICS)
 
 
+def _masked(metric: str, where: str) -> str:
+    """A metric where a condition holds, money as reports show it."""
+    value = f"CASE WHEN {where} THEN {metric} END"
+    if metric.endswith("_amount"):
+        return f"CAST(CAST({value} AS DECIMAL(38,4)) AS DOUBLE)"
+    return value
+
+
 def _with_business(
     clients: DataFrame, business: DataFrame, tables: Mapping[str, DataFrame], part: Slice, *keys: str
 ) -> DataFrame:
@@ -271,9 +273,12 @@ def _with_business(
         joined = joined.join(regions, "home_country", "left")
         counted = counted & (F.col("home_region") == part.region)
     placed = counted & F.col("home_country").isNotNull()
-    masked = {m: F.when(counted, F.col(m)) for m in ENQUIRY_METRICS}
-    masked.update({m: F.when(placed, F.col(m)) for m in INVOICE_METRICS})
-    finished = _finish(joined.withColumns(masked), METRICS)
+    finished = joined.withColumns({"_counted": counted, "_placed": placed}).withColumns(
+        {
+            m: F.expr(_masked(m, "_counted" if m in ENQUIRY_METRICS else "_placed"))
+            for m in METRICS
+        }
+    )
     return conform.with_sector_names(finished, tables["client_type"])
 
 
@@ -473,7 +478,7 @@ def idle_snapshot_all_divisions(
         _business_facts(t, NO_SLICE, None, None, other=False)
         .filter(F.col("client_ref") > 0)
         .groupBy("client_ref")
-        .agg(*[m for d in divisions for m in _business_measures(F.col("division") != d, f"_{d}")])
+        .agg(*[m for d in divisions for m in _business_measures(f"division != {sql.ids([d])}", f"_{d}")])
         .select("client_ref", F.inline(_per_division(divisions, *METRICS)))
     )
     listing = _with_business(named, business, t, NO_SLICE, "division_id")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientlens.functions import in_window
+from clientlens.functions import in_window, sql
 from clientlens.model import (
     BLACKLISTED_STATUS,
     CLOSED_STATUS,
@@ -76,30 +76,34 @@ def exclude_other_slice(
     return df
 
 
-def inside(part: Slice, columns: Mapping[str, str] = VIEW_COLUMNS) -> Column:
+# Predicates below are SQL text over column names: they compose, and each becomes one
+# expression in a single call to the JVM.
+
+
+def inside(part: Slice, columns: Mapping[str, str] = VIEW_COLUMNS) -> str:
     """The slice as one predicate, for conditional aggregates over a shared scan."""
-    keep = F.lit(True)
-    for dimension, name in columns.items():
-        wanted = getattr(part, dimension)
-        if wanted is not None:
-            keep = keep & (F.col(name) == F.lit(wanted))
-    return F.coalesce(keep, F.lit(False))
+    tests = [
+        f"{sql.name(name)} = {sql.ids([getattr(part, dimension)])}"
+        for dimension, name in columns.items()
+        if getattr(part, dimension) is not None
+    ]
+    return f"coalesce({' AND '.join(tests)}, false)" if tests else "true"
 
 
-def is_active(day: Column, w: Windows) -> Column:
-    return day.between(F.lit(w.active_from), F.lit(w.active_to))
+def is_active(day: str, w: Windows) -> str:
+    return f"{day} BETWEEN DATE'{w.active_from}' AND DATE'{w.active_to}'"
 
 
-def is_inactive(day: Column, w: Windows) -> Column:
-    return day.between(F.lit(w.inactive_from), F.lit(w.inactive_to))
+def is_inactive(day: str, w: Windows) -> str:
+    return f"{day} BETWEEN DATE'{w.inactive_from}' AND DATE'{w.inactive_to}'"
 
 
-def is_lost(day: Column, w: Windows) -> Column:
-    return (day > F.lit(w.floor)) & (day <= F.lit(w.lost_to))
+def is_lost(day: str, w: Windows) -> str:
+    return f"({has_history(day, w)} AND {day} <= DATE'{w.lost_to}')"
 
 
-def has_history(day: Column, w: Windows) -> Column:
-    return day > F.lit(w.floor)
+def has_history(day: str, w: Windows) -> str:
+    return f"{day} > DATE'{w.floor}'"
 
 
 def segment(
@@ -108,30 +112,30 @@ def segment(
     enquiry: str = "enquiry_date",
     job: str = "job_date",
     status: str = "status_id",
-) -> Column:
+) -> str:
     """Predicate of one lifecycle segment. The segments may overlap, so they are not a CASE."""
-    enq, done, state = F.col(enquiry), F.col(job), F.col(status)
-    blacklisted, closed = state.isin(*BLACKLISTED_STATUS), state.isin(*CLOSED_STATUS)
-    until_now = done <= F.lit(w.active_to)
+    blacklisted = f"{status} IN ({sql.ids(BLACKLISTED_STATUS)})"
+    closed = f"{status} IN ({sql.ids(CLOSED_STATUS)})"
+    done_by_now = f"{has_history(job, w)} AND {job} <= DATE'{w.active_to}'"
     predicates = {
-        "active_enq": lambda: is_active(enq, w),
-        "inactive_enq": lambda: is_inactive(enq, w),
-        "lost_enq": lambda: is_lost(enq, w),
-        "total_job": lambda: has_history(done, w) & until_now,
-        "job_active": lambda: is_active(done, w),
-        "job_inactive": lambda: is_inactive(done, w),
-        "job_lost": lambda: is_lost(done, w),
-        "job_blacklisted": lambda: blacklisted & has_history(done, w),
-        "job_nonexisting": lambda: closed & has_history(done, w),
-        "blacklisted_enq": lambda: blacklisted & has_history(enq, w),
-        "nonexisting_enq": lambda: closed & has_history(enq, w),
-        "idle_enq": lambda: has_history(enq, w),
-        "idle_job": lambda: has_history(done, w) & until_now,
-        None: lambda: enq >= F.lit(w.floor),
+        "active_enq": is_active(enquiry, w),
+        "inactive_enq": is_inactive(enquiry, w),
+        "lost_enq": is_lost(enquiry, w),
+        "total_job": done_by_now,
+        "job_active": is_active(job, w),
+        "job_inactive": is_inactive(job, w),
+        "job_lost": is_lost(job, w),
+        "job_blacklisted": f"{blacklisted} AND {has_history(job, w)}",
+        "job_nonexisting": f"{closed} AND {has_history(job, w)}",
+        "blacklisted_enq": f"{blacklisted} AND {has_history(enquiry, w)}",
+        "nonexisting_enq": f"{closed} AND {has_history(enquiry, w)}",
+        "idle_enq": has_history(enquiry, w),
+        "idle_job": done_by_now,
+        None: f"{enquiry} >= DATE'{w.floor}'",
     }
     if kind not in predicates:
         raise ValueError(f"unknown lifecycle segment: {kind!r}")
-    return predicates[kind]()
+    return predicates[kind]
 
 
 def lifecycle_filter(df: DataFrame, kind: str | None, w: Windows, **columns: str) -> DataFrame:

@@ -8,13 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientlens.functions import sql
 from clientlens.model import DIVISION_NAMES, NO_SLICE, SECTORS, Slice, Windows
 from clientlens.operators import conform, kpis
 
 
 def _metrics(row: DataFrame, prefix: str) -> DataFrame:
     """One-row frame -> rows (metric, value)."""
-    pairs = ", ".join(f"'{prefix}_{name}', DOUBLE(`{name}`)" for name in row.columns)
+    pairs = ", ".join(
+        f"{sql.text(f'{prefix}_{column}')}, DOUBLE({sql.name(column)})" for column in row.columns
+    )
     return row.selectExpr(f"stack({len(row.columns)}, {pairs}) AS (metric, value)")
 
 

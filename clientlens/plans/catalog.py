@@ -322,7 +322,7 @@ def _(t):
 def _(t):
     kinds = [*slices.ENQUIRY_KINDS, *slices.JOB_KINDS]
     row = _client_activity(t).agg(
-        *[F.count_if(slices.segment(k, W)).alias(k) for k in kinds]
+        *[F.expr(f"count_if({slices.segment(k, W)})").alias(k) for k in kinds]
     )
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("clients")) for k in kinds])
     return row.select(F.inline(pairs))

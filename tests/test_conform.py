@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,15 @@ def test_missing_expense_counts_as_zero(frame):
         )
     ).first()
     assert (row["gross_amount"], row["net_amount"], row["outstanding"]) == (15, 15, 9)
+
+
+def test_names_with_quotes_and_ids_that_are_no_numbers(frame):
+    totals = frame(
+        "division INT, client_type INT, current_net DECIMAL(20,4)", (7, 1, Decimal(3)), (8, 1, Decimal(1))
+    )
+    shares = kpis.invoice_share_by_division(totals, {7: "O'Neil `x`"}).collect()
+    assert [(r["division_group"], r["percent"]) for r in shares] == [
+        ("O'Neil `x`", 75.0), ("Non Marine", 25.0),
+    ]
+    with pytest.raises(ValueError):
+        kpis.invoice_share_by_division(totals, {"7 OR true": "x"})

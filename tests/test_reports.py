@@ -152,10 +152,10 @@ def test_divisions_add_up_to_the_whole(sample):
 def test_idle_and_present_clients_are_disjoint_and_complete(sample):
     part = Slice(division=3)
     last = client_last_activity(sample["client_activity"], WINDOWS, NO_SLICE, part).filter("client_ref > 0")
-    present = last.filter(has_history(F.col("enquiry_here"), WINDOWS)).select("client_ref")
+    present = last.filter(has_history("enquiry_here", WINDOWS)).select("client_ref")
     idle = listings.idle_clients(sample, WINDOWS, "idle_enq", part).select("client_ref")
     assert idle.join(present, "client_ref", "left_semi").count() == 0
-    with_history = last.filter(has_history(F.col("enquiry_all"), WINDOWS)).count()
+    with_history = last.filter(has_history("enquiry_all", WINDOWS)).count()
     assert idle.count() + present.count() == with_history
     assert idle.count() > 0
 
