@@ -294,14 +294,15 @@ def _growth(name: str, previous: str, current: str, precision: int) -> Figures:
         _sum_if("true", previous, f"{name}_sum_previous"),
         _sum_if("true", current, f"{name}_sum_current"),
     ]
-    before, now = F.col(f"{name}_sum_previous"), F.col(f"{name}_sum_current")
+    # the growth is that of the amounts as shown, to four decimals
+    before = F.col(f"{name}_sum_previous").cast("decimal(30,4)")
+    now = F.col(f"{name}_sum_current").cast("decimal(30,4)")
+    growth = report_money(now - before)
     return sums, {
         f"{name}_previous": report_money(before),
         f"{name}_current": report_money(now),
-        f"{name}_growth": report_money(now - before),
-        f"{name}_growth_percent": safe_percent(
-            report_money(now - before), report_money(before), precision
-        ),
+        f"{name}_growth": growth,
+        f"{name}_growth_percent": safe_percent(growth, report_money(before), precision),
     }
 
 
