@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import Scan, stored
+from .rows import Scan, partition_sizes, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,7 +94,7 @@ def _suspects(rows, lists):
 
 
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and its part, place and mark.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays; a null id counts as the smallest, and of rows with one id and text a single one stays. Other
@@ -121,10 +121,10 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answered = sent.groupBy("owner").applyInPandas(_bitmaps, lists + ", shared binary")
     suspects = by_part.cogroup(answered.groupBy("part")).applyInPandas(_suspects, "part int, place long, mark long")
 
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    sizes = partition_sizes(rows)
     alike = (
         spark.createDataFrame(
-            scan.attach(suspects, sizes).filter(lambda pair: pair[1] is not None).map(lambda pair: pair[0]), scan.df.schema
+            scan.attach(suspects, sizes).filter(lambda pair: pair[1] is not None).map(lambda pair: pair[0]), scan.df.schema, verifySchema=False
         )
         # grouping by the text compares its bytes
         .groupBy("sha", "text")
@@ -142,5 +142,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-        "row",
+        "part",
+        "place",
+        "mark",
     )

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark import RDD
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,15 @@ class Scan:
 
         placed = sent.partitionBy(max(1, rows.getNumPartitions()), int).mapPartitions(in_order)
         return rows.zip(placed).map(checked)
+
+
+def without(docs: DataFrame, mark: Column, dropped: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The documents but those at the dropped places (part, place, mark), with all their columns, unmoved."""
+    width = len(docs.columns)
+    scan = Scan(docs.select("*", mark.alias("row_mark")), "row_mark")
+    left = scan.attach(dropped.withColumn("drop", F.lit(True)), sizes).filter(lambda pair: pair[1] is None)
+    return docs.sparkSession.createDataFrame(left.map(lambda pair: pair[0][:width]), docs.schema, verifySchema=False)
+
+
+def partition_sizes(places: DataFrame) -> DataFrame:
+    return places.groupBy("part").agg(F.count("*").alias("n"))
