@@ -154,13 +154,13 @@ def cuts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "tex
     )
     cut = F.when(~F.col("has"), F.lit(ALL)).otherwise(F.coalesce("last", "bucket", F.lit(NONE)))
     return slim, stored(
-        leaves.join(ends, list(LEAF), "left").join(inside, list(LEAF), "left").select(*LEAF, "epochs", cut.alias("cut")), "cuts"
+        leaves.join(ends, list(LEAF), "left").join(inside, list(LEAF), "left").select(*LEAF, F.col("epochs").alias("mix_epochs"), cut.alias("mix_cut")), "cuts"
     )
 
 
 def copies(mix: Mix, doc_id: Column) -> Column:
     """How often a document is taken, beside its leaf's epochs and cut."""
-    return (F.col("epochs") + (key(mix, F.col("epochs"), doc_id) <= F.col("cut")).cast("long")).alias("copies")
+    return (F.col("mix_epochs") + (key(mix, F.col("mix_epochs"), doc_id) <= F.col("mix_cut")).cast("long")).alias("copies")
 
 
 def mix_counts(docs: DataFrame, mix: Mix = Mix(), **columns: str) -> DataFrame:

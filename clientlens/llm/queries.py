@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii
+from . import cross_polytope, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii, rlz
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,6 +60,10 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.remove_repeats(table(spark, sf_dir, "documents")).drop("factors")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES = {
         op7_best_fit_packing,
         op8_source_mixing,
         op9_cross_polytope,
+        op10_substring_dedup,
     )
 }
 
@@ -101,4 +106,13 @@ ORACLE = {
           UNION ALL SELECT doc_id, doc_id, 0, 1 FROM words WHERE len(w) = 0)
       SELECT doc_id, class_id, n_links, n_copies, doc_id = class_id AS kept FROM placed""",
     "op8_source_mixing": mixing.mix_sql(),
+    "op10_substring_dedup": f"""
+      WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\t\\n\\x0B\\f\\r ]+'), lambda x: x <> '') AS w FROM documents),
+        words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j, w FROM t),
+        windows AS (SELECT doc_id, n, word, j, CASE WHEN j + {rlz.WINDOW} - 1 <= n THEN array_to_string(w[j : j + {rlz.WINDOW} - 1], ' ') END AS key FROM words),
+        judged AS (SELECT *, CASE WHEN key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, j) > 1 THEN 1 ELSE 0 END AS again FROM windows),
+        covered AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN {rlz.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM judged),
+        done AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS kept FROM covered GROUP BY doc_id)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+      FROM t LEFT JOIN done USING (doc_id)""",
 }

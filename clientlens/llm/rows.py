@@ -98,7 +98,9 @@ class Scan:
 def without(docs: DataFrame, mark: Column, dropped: DataFrame, sizes: DataFrame) -> DataFrame:
     """The documents but those at the dropped places (part, place, mark), with all their columns, unmoved."""
     width = len(docs.columns)
-    scan = Scan(docs.select("*", mark.alias("row_mark")), "row_mark")
+    # Numbered names, as a document's own columns may have any.
+    renamed = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    scan = Scan(docs.select(*renamed, mark.alias("mark")))
     left = scan.attach(dropped.withColumn("drop", F.lit(True)), sizes).filter(lambda pair: pair[1] is None)
     return docs.sparkSession.createDataFrame(left.map(lambda pair: pair[0][:width]), docs.schema, verifySchema=False)
 
