@@ -92,6 +92,8 @@ class Scan:
             return row, answer[1:]
 
         placed = sent.partitionBy(max(1, rows.getNumPartitions()), int).mapPartitions(in_order)
+        if more := placed.getNumPartitions() - rows.getNumPartitions():  # the session deals to more: they stay empty
+            rows = rows.union(rows.context.parallelize([], more))
         return rows.zip(placed).map(checked)
 
 
