@@ -183,7 +183,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: s
     with_leaf = docs.select("*", *names)
     on = [F.col(f"{c}_of") == F.col(c) for c in LEAF]
     repeated = F.explode(F.array_repeat(F.lit(1), copies(mix, F.col(id_col).cast("long")).cast("int"))).alias("mix_copy")
-    return with_leaf.join(by_leaf, on).select(*(docs[c] for c in docs.columns), repeated).drop("mix_copy")
+    return with_leaf.join(by_leaf, on).select(*(docs[f"`{c}`"] for c in docs.columns), repeated).drop("mix_copy")
 
 
 def mix_sql(mix: Mix = Mix()) -> str:

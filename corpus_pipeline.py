@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: without a letter, or with no language that holds LEAST_SHARE of a text, it goes."""
     found = mixture_language.identify(docs, as_col="found_language")
     known = (F.col("found_language.lang_pred") != mixture_language.UNKNOWN) & (F.col("found_language.score") >= LEAST_SHARE)
-    return found.where(known).select(*docs.columns)
+    return found.where(known).select(*(found[f"`{c}`"] for c in docs.columns))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
