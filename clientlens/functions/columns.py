@@ -69,8 +69,11 @@ def zero_if_unusable(column: str) -> Column:
 
 
 def compact_amount(col: Column) -> Column:
-    """1234567 -> 1.23M, 1234 -> 1.2K, 999.5 -> 999.50, and null or 0 -> 0; halves round up."""
-    value = col.cast("decimal(20,4)")
+    """1234567 -> 1.23M, 1234 -> 1.2K, 999.5 -> 999.50, and null or 0 -> 0; halves round up.
+
+    Amounts have up to 27 digits before the point: with the six digits of a millionth, products are still exact.
+    """
+    value = col.cast("decimal(31,4)")
     size = F.abs(value)
     millions = (value * F.expr("0.000001BD")).cast("decimal(30,2)").cast("string")
     thousands = (value * F.expr("0.001BD")).cast("decimal(30,1)").cast("string")

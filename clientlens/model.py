@@ -47,6 +47,9 @@ class Windows:
     active_months: int = 12
     inactive_months: int = 36
     floor: date = LIFECYCLE_FLOOR
+    # the window of invoice figures, where it is not the active one
+    job_day: date | None = None
+    job_months: int | None = None
 
     @property
     def active_from(self) -> date:
@@ -76,6 +79,22 @@ class Windows:
     def previous_to(self) -> date:
         return self.active_from
 
+    @property
+    def job_from(self) -> date:
+        return months_before(self.job_to, self.job_months or self.active_months)
+
+    @property
+    def job_to(self) -> date:
+        return self.job_day or self.as_of
+
+    @property
+    def previous_job_from(self) -> date:
+        return months_before(self.job_to, 2 * (self.job_months or self.active_months))
+
+    @property
+    def previous_job_to(self) -> date:
+        return self.job_from
+
 
 @dataclass(frozen=True)
 class Slice:

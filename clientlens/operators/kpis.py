@@ -256,10 +256,10 @@ def invoice_totals(
 ) -> DataFrame:
     """Net and gross invoice amounts per division and sector, previous and current period."""
     day = F.col("tran_date")
-    previous = day.between(F.lit(w.previous_from), F.lit(w.previous_to))
-    current = F.expr(is_active("tran_date", w))
+    previous = day.between(F.lit(w.previous_job_from), F.lit(w.previous_job_to))
+    current = day.between(F.lit(w.job_from), F.lit(w.job_to))
     facts = slice_by(invoice, part.only("division", "subdivision"), INVOICE_COLUMNS)
-    facts = gross_net_amounts(between_dates(facts, "tran_date", w.previous_from, w.active_to))
+    facts = gross_net_amounts(between_dates(facts, "tran_date", w.previous_job_from, w.job_to))
     net, gross = F.col("net_amount"), F.col("gross_amount")
     sums = facts.groupBy("debtor_no", F.col("dimension2_id").alias("division")).agg(
         F.sum(F.when(previous, net)).alias("previous_net"),

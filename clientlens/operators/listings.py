@@ -290,12 +290,23 @@ def sort_by_name(
     default: str = "total_enquiry_amount",
 ) -> DataFrame:
     """Order by a whitelisted name, nulls last, with an ascending tie-breaker."""
+    return df.orderBy(*sort_keys(df, name, descending, tie, default))
+
+
+def sort_keys(
+    df: DataFrame,
+    name: str | None,
+    descending: bool = True,
+    tie: str = "country_id",
+    default: str = "total_enquiry_amount",
+) -> list[Column]:
+    """The keys of `sort_by_name`, as `numbered` needs them to number the rows in this order."""
     column = SORT_COLUMNS.get(name or "", default)
     if column not in df.columns:
         column = default
     value = F.col(column)
     order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    return df.orderBy(order, F.col(tie).asc_nulls_last())
+    return [order, F.col(tie).asc_nulls_last()]
 
 
 def _default_sort(kind: str | None) -> str:

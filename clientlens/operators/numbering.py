@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,43 +10,44 @@ from pyspark.sql import functions as F
 
 from clientlens.sources.workdir import shared_folder
 
+_PLACE_BITS = 33  # monotonically_increasing_id() is the partition's number and 33 bits of place
+
 
 def numbered(
     df: DataFrame, order: Sequence[Column], section: Sequence[str] = (), name: str = "no"
 ) -> DataFrame:
     """1, 2, 3... within each section, in the given order; the order should be total.
 
-    A plain row_number would sort a whole section in one task, and one section may hold a
-    third of all rows. Instead the rows are range-partitioned by section and order, so every
-    section spans as many partitions as it needs; each row gets its number inside its
-    partition plus the count of its section's rows in earlier partitions. The partitioned
-    rows are checkpointed to the shared folder, since the counts and the rows must agree on
-    the partition of every row even if an executor is lost in between.
+    A plain row_number would sort a whole section in one task, and one section may hold a third of all rows. Instead
+    the rows are range-partitioned by section and order and sorted inside their partitions, so every section spans as
+    many partitions as it needs and lies in one piece in each. A row's number is its place in its partition, less that
+    of the section's first row there, plus the section's rows in earlier partitions. The rows move once; they are
+    written to the shared folder, since counts and rows must agree on the place of every row even if an executor is lost.
     """
-    shared_folder(df.sparkSession)
-    section = list(section)
-    part = "_part"
-    ranged = (
-        df.repartitionByRange(*[F.col(s) for s in section], *order)
-        .withColumn(part, F.spark_partition_id())
-        .checkpoint()
+    spark, section = df.sparkSession, list(section)
+    folder = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    keys = [F.col(s) for s in section]
+    (
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_place", F.monotonically_increasing_id())
+        .write.parquet(f"{folder}/rows")
     )
+    rows = spark.read.parquet(f"{folder}/rows").withColumn("_part", F.shiftright("_place", _PLACE_BITS))
     # one row per section and partition it touches: at most sections + partitions rows
-    counts = ranged.groupBy(*section, part).agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*section).orderBy(part).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.select(
+    pieces = rows.groupBy(*section, "_part").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*section).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces.select(
         *[F.col(s).alias(f"_{s}") for s in section],
-        F.col(part).alias("_offset_part"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-    )
-    same = F.col(part) == F.col("_offset_part")
+        F.col("_part").alias("_offset_part"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_offset"),
+    ).write.parquet(f"{folder}/offsets")
+    offsets = spark.read.parquet(f"{folder}/offsets")
+    same = F.col("_part") == F.col("_offset_part")
     for s in section:
         same = same & F.col(s).eqNullSafe(F.col(f"_{s}"))
-    within = Window.partitionBy(*section, part).orderBy(*order)
     return (
-        ranged.join(offsets, same)
-        .withColumn(name, F.col("_before") + F.row_number().over(within))
-        .drop(part, "_offset_part", "_before", *[f"_{s}" for s in section])
+        rows.join(offsets, same)
+        .withColumn(name, F.col("_place") + F.col("_offset"))
+        .drop("_part", "_place", "_offset_part", "_offset", *[f"_{s}" for s in section])
     )

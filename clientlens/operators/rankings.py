@@ -56,7 +56,7 @@ def enquiry_amounts(tables: Mapping[str, DataFrame], w: Windows, part: Slice) ->
 def invoice_amounts(tables: Mapping[str, DataFrame], w: Windows, part: Slice) -> DataFrame:
     """One row per registered client: net amount and expense of its positive invoices."""
     facts = slice_by(tables["invoice"], part.only("division", "subdivision"), INVOICE_COLUMNS)
-    facts = between_dates(facts, "tran_date", w.active_from, w.active_to)
+    facts = between_dates(facts, "tran_date", w.job_from, w.job_to)
     sums = (
         conform.gross_net_amounts(facts.filter(F.col("ov_amount") > 0))
         .groupBy(F.col("debtor_no").cast("bigint").alias("client_ref"))

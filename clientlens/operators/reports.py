@@ -129,7 +129,7 @@ def outstanding_lines(
 def outstanding_by_client(
     tables: Tables, as_of: date, category: int = CRITICAL_CATEGORY
 ) -> DataFrame:
-    """R2: the lines of R1 per client with a six-month balance; its sub-divisions by division.
+    """R2: the lines of R1 per client with a six-month balance, largest first; its sub-divisions by division.
 
     The invoices are added up per client, company, division and sub-division before they meet
     the clients: a client with a third of all invoices enters the join as a few rows.
@@ -175,6 +175,7 @@ def outstanding_by_client(
         .withColumns({"divisions": F.map_from_entries("entries"), "division_text": text})
         .drop("entries")
         .withColumns({b: report_money(F.col(b)) for b in BALANCES})
+        .orderBy(F.col("bal_6m").desc(), "debtor_no")
     )
 
 
@@ -209,7 +210,7 @@ def _month_number(day: Column) -> Column:
 
 
 def payment_job_latency(tables: Tables, min_months: int = 3) -> DataFrame:
-    """Calendar months from a client's last payment to its last job in each division."""
+    """Calendar months from a client's last payment to its last job in each division, most first."""
     t = tables
     months = _month_number(F.col("last_job_date")) - _month_number(F.col("last_payment_date"))
     return (
@@ -226,6 +227,7 @@ def payment_job_latency(tables: Tables, min_months: int = 3) -> DataFrame:
             "debtor_no", "client_name", "division_name", "last_payment_date", "last_job_date",
             "months_diff",
         )
+        .orderBy(F.col("months_diff").desc(), "debtor_no", "division_name")
     )
 
 
@@ -321,11 +323,12 @@ def daily_enquiry_series(
     location: int | None = 1,
     names: Mapping[int, str] = DIVISION_NAMES,
 ) -> DataFrame:
-    """Enquiries per day and division group."""
+    """Enquiries per day and division group, by day."""
     return (
         _local(enquiry, start, end, location, names)
         .groupBy("enquiry_date", "div_group")
         .agg(F.count("*").alias("daily_count"))
+        .orderBy("enquiry_date", "div_group")
     )
 
 
@@ -449,7 +452,7 @@ def lost_cancelled_enquiries(
     end: date,
     divisions: Iterable[int] = tuple(DIVISION_NAMES),
 ) -> DataFrame:
-    """Cancelled and lost enquiries of registered clients, in detail."""
+    """Cancelled and lost enquiries of registered clients, in detail, by sub-division and day."""
     t = tables
     facts = between_dates(
         t["enquiry"].filter(
@@ -483,6 +486,7 @@ def lost_cancelled_enquiries(
             "client_enquiry_id", "client_name", "division_id", "division_name",
             "subdivision_name", "enquiry_date", "sector", "status", "exact_amount",
         )
+        .orderBy("subdivision_name", "enquiry_date", "client_enquiry_id")
     )
 
 
@@ -506,19 +510,18 @@ def monthly_loss_trend(
     months: int = 6,
     divisions: Iterable[int] = tuple(DIVISION_NAMES),
 ) -> DataFrame:
-    """Lost and cancelled enquiries by month and division."""
+    """Lost and cancelled enquiries by month and division, by month."""
     recent = between_dates(
         enquiry.filter(F.col("division").isin(*divisions)),
         "enquiry_date",
         months_before(as_of, months),
     )
     status = F.col("enq_status")
-    return recent.groupBy(
-        F.date_format("enquiry_date", "yyyy-MM").alias("month"), "division"
-    ).agg(
+    by_month = recent.groupBy(F.date_format("enquiry_date", "yyyy-MM").alias("month"), "division")
+    return by_month.agg(
         F.count_if(status == LOST).alias("lost_count"),
         F.count_if(status == CANCELLED).alias("cancel_count"),
-    )
+    ).orderBy("month", "division")
 
 
 def loss_trend_pivot(

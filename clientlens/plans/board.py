@@ -21,18 +21,17 @@ def _metrics(row: DataFrame, prefix: str) -> DataFrame:
     return row.selectExpr(f"stack({len(row.columns)}, {pairs}) AS (metric, value)")
 
 
-def kpi_metrics(
+def kpi_pieces(
     tables: Mapping[str, DataFrame],
     w: Windows,
     part: Slice = NO_SLICE,
     divisions: Mapping[int, str] = DIVISION_NAMES,
     sectors: Mapping[int, str] = SECTORS,
-) -> DataFrame:
-    """The board in long form: rows (metric, value).
+) -> list[tuple[str, DataFrame]]:
+    """The board in pieces: a prefix and one row of figures each.
 
     Two passes over the client activity (by country, by client) and one over each other fact
-    table; every figure of a pass comes out of the same aggregate. The five one-row results
-    are put together by UNION, never by a cross join.
+    table; every figure of a pass comes out of the same aggregate.
 
     Sector amounts count transfers; division amounts do so on a company-wide board only.
     """
@@ -43,30 +42,45 @@ def kpi_metrics(
     codes = conform.activity_code_summary(
         t["activity_code_activity"], t["job_activity"], t["country"], t["region"], part
     )
-    pieces = [
-        _metrics(kpis.country_board(t["client_activity"], w, part), "country"),
-        _metrics(kpis.client_board(t["client_activity"], t["client"], w, part), "client"),
-        _metrics(kpis.activity_code_lifecycle_counts(codes, w), "activity"),
-        _metrics(
-            kpis.figures_row(
-                enquiries,
-                kpis.enquiry_growth_figures(),
-                kpis.enquiry_share_figures(divisions, transfers),
-                kpis.sector_figures("enquiry", "active", sectors),
-            ),
-            "amount",
-        ),
-        _metrics(
-            kpis.figures_row(
-                invoices,
-                kpis.invoice_growth_figures(),
-                kpis.invoice_share_figures(divisions),
-                kpis.sector_figures("invoice", "current_net", sectors),
-            ),
-            "amount",
-        ),
+    enquiry_row = kpis.figures_row(
+        enquiries,
+        kpis.enquiry_growth_figures(),
+        kpis.enquiry_share_figures(divisions, transfers),
+        kpis.sector_figures("enquiry", "active", sectors),
+    )
+    invoice_row = kpis.figures_row(
+        invoices,
+        kpis.invoice_growth_figures(),
+        kpis.invoice_share_figures(divisions),
+        kpis.sector_figures("invoice", "current_net", sectors),
+    )
+    return [
+        ("country", kpis.country_board(t["client_activity"], w, part)),
+        ("client", kpis.client_board(t["client_activity"], t["client"], w, part)),
+        ("activity", kpis.activity_code_lifecycle_counts(codes, w)),
+        ("amount", enquiry_row),
+        ("amount", invoice_row),
     ]
-    return reduce(DataFrame.unionByName, pieces)
+
+
+def kpi_metrics(
+    tables: Mapping[str, DataFrame], w: Windows, part: Slice = NO_SLICE, **names: Mapping[int, str]
+) -> DataFrame:
+    """The board in long form: rows (metric, value).
+
+    The one-row pieces are put together by UNION, never by a cross join.
+    """
+    pieces = kpi_pieces(tables, w, part, **names)
+    return reduce(DataFrame.unionByName, [_metrics(row, prefix) for prefix, row in pieces])
+
+
+def whole_board(
+    tables: Mapping[str, DataFrame], w: Windows, part: Slice = NO_SLICE, **names: Mapping[int, str]
+) -> DataFrame:
+    """All figures of the board as one row."""
+    pieces = kpi_pieces(tables, w, part, **names)
+    metrics = reduce(DataFrame.unionByName, [_metrics(row, prefix) for prefix, row in pieces])
+    return kpi_board(metrics, [f"{prefix}_{column}" for prefix, row in pieces for column in row.columns])
 
 
 def kpi_board(metrics: DataFrame, names: Sequence[str]) -> DataFrame:

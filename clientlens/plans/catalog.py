@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clientlens import schemas
 from clientlens.functions import compact_amount, report_money, safe_divide, safe_percent
-from clientlens.model import DIVISION_NAMES, GCC_COUNTRIES, NO_SLICE, OTHER_GROUP, Slice
+from clientlens.model import DIVISION_NAMES, GCC_COUNTRIES, NO_SLICE, OTHER_GROUP, Slice, Windows
 from clientlens.operators import clean, conform, kpis, listings, rankings, reports, slices
 from clientlens.operators.numbering import numbered
-from clientlens.plans.board import kpi_board, kpi_metrics
+from clientlens.plans.board import kpi_metrics, whole_board
 from clientlens.plans.mapping import AS_OF, FLOOR, WINDOWS, SampleTables
 from clientlens.sources import snapshots, state
 from clientlens.sources.workdir import shared_folder
@@ -28,7 +29,12 @@ REGION = Slice(region=2)
 THIS_MONTH, LAST_MONTH = date(2001, 7, 1), date(2001, 6, 1)
 SERIES = (date(2001, 7, 18), date(2001, 8, 1))
 LOSSES = (date(2001, 1, 1), date(2001, 8, 1))
+WEEK_DAY = date(2001, 7, 20)
 STATE_DAY = date(2000, 11, 4)
+LOGGED_AT = "2001-11-04 06:00:00"
+CHANGED_YEAR = 1996
+FLOOR_DAY = date(1900, 1, 1)
+JOB_WINDOWS = Windows(as_of=AS_OF, floor=WINDOWS.floor, job_day=date(2000, 6, 30), job_months=6)
 GROUPS = (*DIVISION_NAMES.values(), OTHER_GROUP)
 W = WINDOWS
 
@@ -89,10 +95,54 @@ def _(t):
     folder = f"{_run_folder(t.spark)}/invoice"
     kept = ["trans_no", "debtor_no", "tran_date", "dimension2_id"]
     snapshots.write_snapshot(t["invoice"].select(*kept), folder, "tran_date")
-    stored = t.spark.read.parquet(folder)
+    stored = snapshots.read_snapshot(t.spark, folder, year_of="tran_date")
     return slices.between_dates(stored, "tran_date", W.active_from, W.active_to).select(*kept)
 
 
+@query("s1_changed_years")
+def _(t):
+    """Invoices of all years, and then one year written again with new amounts."""
+    folder = f"{_run_folder(t.spark)}/invoice"
+    rows = t["invoice"].select("trans_no", "tran_date", "ov_amount")
+    snapshots.write_snapshot(rows, folder, "tran_date")
+    doubled = rows.withColumn("ov_amount", (F.col("ov_amount") * 2).cast("decimal(18,4)"))
+    snapshots.write_snapshot(doubled, folder, "tran_date", years=[CHANGED_YEAR])
+    return (
+        snapshots.read_snapshot(t.spark, folder, year_of="tran_date")
+        .groupBy(F.year("tran_date").alias("year"))
+        .agg(F.count("*").alias("invoices"), report_money(F.sum("ov_amount")).alias("amount"))
+    )
+
+
+def _source_form(df: DataFrame, table: str) -> DataFrame:
+    """A logical table as its source would give it: its names, texts, times of day and junk dates."""
+    names = schemas.schema(table).fieldNames()
+    df = df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast("string").alias(n) for n in names])
+    for name, source in schemas.SOURCE_NAME.get(table, {}).items():
+        df = df.withColumnRenamed(name, source)
+    for name in schemas.KEEP_DAY.get(table, ()):
+        df = df.withColumn(name, F.lit("2001-02-03 10:11:12").cast("timestamp"))
+    floor = schemas.FLOOR_COLUMN.get(table)
+    if floor is not None:
+        junk = F.when(F.substring(floor, 10, 1) < "5", F.lit("0000-00-00")).otherwise(F.lit("junk"))
+        df = df.unionByName(df.withColumn(floor, junk))
+    return df.withColumns({"inactive": F.lit(0), "active": F.lit(1)})
+
+
+@query("s1_extract_declared")
+def _(t):
+    """The whole chain: source form, declared extract, snapshots, declared load, country listing.
+
+    The junk rows are added to try the extract; none of them is on or after the floor.
+    """
+    folder = _run_folder(t.spark)
+    wanted = ("client", "temp_client", "country", "region", "client_type", "enquiry", "invoice", "client_activity")
+    extracted = {n: snapshots.extract_table(_source_form(t[n], n), n, FLOOR_DAY) for n in wanted}
+    snapshots.write_snapshots(extracted, folder)
+    loaded = snapshots.load_tables(t.spark, folder, wanted, views=False)
+    return listings.country_listing(loaded, W)
+
+
 @query("s2_normalize_dates")
 def _(t):
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -137,12 +187,13 @@ def _(t):
 @query("s5_load_tables")
 def _(t):
     snapshots.load_tables(
-        t.spark, t.directory, ("customer", "nation", "region"), suffix=".parquet", declared=False
+        t.spark, t.directory, ("customer", "nation", "region"), suffix=".parquet", declared=False,
+        prefix="s5_",
     )
     return t.spark.sql(
         """
-        SELECT r_name, count(*) AS customers FROM customer
-        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        SELECT r_name, count(*) AS customers FROM s5_customer
+        JOIN s5_nation ON c_nationkey = n_nationkey JOIN s5_region ON n_regionkey = r_regionkey
         GROUP BY r_name
         """
     )
@@ -154,8 +205,15 @@ def _(t):
     folder = f"{_run_folder(t.spark)}/monthly_revenue"
     state.replace_state(reports.monthly_revenue(t, LAST_MONTH), folder)
     state.replace_state(reports.monthly_revenue(t, THIS_MONTH), folder)
-    declared = "division STRING, division_id INT, debtor_no BIGINT, client_name STRING, revenue DOUBLE"
-    return state.read_state(t.spark, folder, declared)
+    return state.read_state(t.spark, folder, schemas.schema("monthly_revenue"))
+
+
+@query("s6_idle_state_round_trip")
+def _(t):
+    """The idle listing as the next run reads it, in its declared columns."""
+    folder = f"{_run_folder(t.spark)}/idle_clients_tracking"
+    state.replace_state(listings.idle_snapshot_all_divisions(t, W, tuple(DIVISION_NAMES)), folder)
+    return state.read_state(t.spark, folder, schemas.schema("idle_clients_tracking"))
 
 
 def _a_year_ago(t, day: str) -> SampleTables:
@@ -178,12 +236,20 @@ def _recovered(t) -> DataFrame:
     return reports.recovered_clients(_tracked(t), t, AS_OF)
 
 
+def _tracking_state(t) -> DataFrame:
+    """The tracking table of a year ago, read from its state folder."""
+    folder = f"{_run_folder(t.spark)}/inactive_tracking"
+    logged = F.lit(f"{STATE_DAY} 06:00:00").cast("timestamp")
+    state.replace_state(_tracked(t).withColumn("logged_at", logged), folder)
+    return state.read_state(t.spark, folder, schemas.schema("inactive_tracking"))
+
+
 @query("s7_update_tracking")
 def _(t):
-    current = reports.inactive_clients(t, AS_OF).select(
-        "debtor_no", "division_id", "last_job_date"
-    )
-    return state.update_tracking(_tracked(t), _recovered(t), current)
+    tracked = _tracking_state(t)
+    current = reports.inactive_clients(t, AS_OF).select("debtor_no", "division_id", "last_job_date")
+    recovered = reports.recovered_clients(tracked, t, AS_OF)
+    return state.update_tracking(tracked, recovered, current, F.lit(LOGGED_AT).cast("timestamp"))
 
 
 @query("s8_zero_fill")
@@ -370,8 +436,8 @@ def _enquiry_totals(t, part=NO_SLICE) -> DataFrame:
     return kpis.enquiry_totals(t["enquiry"], t["client"], t["country"], W, part)
 
 
-def _invoice_totals(t, part=NO_SLICE) -> DataFrame:
-    return kpis.invoice_totals(t["invoice"], t["client"], t["country"], W, part)
+def _invoice_totals(t, part=NO_SLICE, w=W) -> DataFrame:
+    return kpis.invoice_totals(t["invoice"], t["client"], t["country"], w, part)
 
 
 @query("k1_country_lifecycle_counts")
@@ -449,6 +515,21 @@ def _(t):
     return kpis.invoice_share_by_division(_invoice_totals(t))
 
 
+@query("k10_invoice_share_listed")
+def _(t):
+    return kpis.invoice_share_by_division(_invoice_totals(t), non_marine=[10, 11])
+
+
+@query("k6_invoice_growth_job_window")
+def _(t):
+    return kpis.invoice_growth(_invoice_totals(t, w=JOB_WINDOWS))
+
+
+@query("k9_invoice_by_sector_job_window")
+def _(t):
+    return kpis.invoice_by_sector(_invoice_totals(t, w=JOB_WINDOWS), t["client_type"])
+
+
 @query("k11_idle_counts")
 def _(t):
     return kpis.idle_counts(t["client_activity"], W, SLICE)
@@ -478,8 +559,12 @@ def _(t):
 
 @query("k13_kpi_board")
 def _(t):
-    names = ["country_enquiry_active", "client_job_lost", "amount_enquiry_growth", "amount_net_current"]
-    return kpi_board(kpi_metrics(t, W, PLACE), names)
+    return whole_board(t, W)
+
+
+@query("k13_kpi_board_sliced")
+def _(t):
+    return whole_board(t, W, PLACE)
 
 
 # ---- listings ---------------------------------------------------------------------------
@@ -535,6 +620,11 @@ def _(t):
 
 
 @query("l5_enquiry_status_by_client")
+def _(t):
+    return listings.enquiry_status_rollup(t, "client")
+
+
+@query("l5_enquiry_status_by_client_sliced")
 def _(t):
     return listings.enquiry_status_rollup(t, "client", Slice(sector=2))
 
@@ -545,6 +635,11 @@ def _(t):
 
 
 @query("l6_invoice_rollup_by_client")
+def _(t):
+    return listings.invoice_rollup(t, "client")
+
+
+@query("l6_invoice_rollup_by_client_sliced")
 def _(t):
     return listings.invoice_rollup(t, "client", DIVISION, W.inactive_from, W.active_to)
 
@@ -554,8 +649,9 @@ def _(t):
     rows = listings.enquiry_status_rollup(t, "country").join(
         listings.invoice_rollup(t, "country"), "country_id", "left"
     )
-    ordered = listings.sort_by_name(rows, "lost_enquiry").limit(10)
-    return ordered.select("country_id", "lost_enquiry_count", "total_invoice_count")
+    shown = rows.select("country_id", "lost_enquiry_count", "total_invoice_count")
+    placed = numbered(shown, listings.sort_keys(shown, "lost_enquiry", default="lost_enquiry_count"), name="place")
+    return listings.sort_by_name(placed, "lost_enquiry", default="lost_enquiry_count")
 
 
 @query("l8_listing_count")
@@ -601,10 +697,45 @@ def _(t):
 
 
 @query("t5_invoice_by_region")
+def _(t):
+    return rankings.invoice_by_region(t, W)
+
+
+@query("t5_invoice_by_region_sliced")
 def _(t):
     return rankings.invoice_by_region(t, W, Slice(country=6))
 
 
+@query("t5_invoice_by_region_with_amounts")
+def _(t):
+    return rankings.invoice_by_region(t, W, Slice(country=6), all_regions=False)
+
+
+@query("t2_enquiry_by_region_with_amounts")
+def _(t):
+    return rankings.enquiry_by_region(t, W, SLICE, all_regions=False)
+
+
+@query("t3_enquiry_by_country_with_amounts")
+def _(t):
+    return rankings.enquiry_by_country(t, W, None, all_countries=False)
+
+
+@query("t6_invoice_by_country_with_amounts")
+def _(t):
+    return rankings.invoice_by_country(t, W, None, all_countries=False)
+
+
+@query("t4_top_clients_by_invoice_job_window")
+def _(t):
+    return rankings.top_clients_by_invoice(t, JOB_WINDOWS)
+
+
+@query("t6_invoice_by_country_job_window")
+def _(t):
+    return rankings.invoice_by_country(t, JOB_WINDOWS)
+
+
 @query("t6_invoice_by_country")
 def _(t):
     return rankings.invoice_by_country(t, W)
@@ -658,6 +789,18 @@ def _(t):
     return reports.weekly_division_summary(t["enquiry"], *LOSSES, location=1)
 
 
+@query("r6_last_eight_days")
+def _(t):
+    return reports.weekly_division_summary(t["enquiry"], *reports.last_days(WEEK_DAY), location=1)
+
+
+@query("r7_last_eight_days")
+def _(t):
+    return reports.top_subdivision_per_group(
+        t["enquiry"], t["dimension"], *reports.last_days(WEEK_DAY), location=1
+    )
+
+
 @query("r7_top_subdivision_per_group")
 def _(t):
     return reports.top_subdivision_per_group(
@@ -769,7 +912,13 @@ def _(t):
         "client_enquiry_id", "division_id", "subdivision_name", "enquiry_date"
     )
     order = [F.col("subdivision_name"), F.col("enquiry_date"), F.col("client_enquiry_id")]
-    return numbered(rows, order, ["division_id"])
+    return numbered(rows, order, ["division_id", "subdivision_name"])
+
+
+@query("r22_numbered_outstanding")
+def _(t):
+    rows = reports.outstanding_by_client(t, AS_OF).select("debtor_no", "client_name", "bal_6m")
+    return numbered(rows, [F.col("bal_6m").desc(), F.col("debtor_no")])
 
 
 @query("r23_compact_amount")

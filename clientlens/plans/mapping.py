@@ -94,11 +94,13 @@ MAPPING = {
                IF(order_key % 20 = 1, 0, 1) AS is_active, concat('B', order_key) AS book_no
         FROM {sample_orders}""",
     "enquiry": """
-        SELECT e.*, coalesce(c.client_type, try_cast(nullif(t.temp_client_type, '') AS INT))
-                   AS client_type,
-               coalesce(c.country, try_cast(nullif(t.country, '') AS INT)) AS location_country
-        FROM {enquiry_facts} e LEFT JOIN {client} c ON e.debtor_no = c.debtor_no
-        LEFT JOIN {temp_client} t ON e.enquiry_temp_id = t.temp_clients_id""",
+        SELECT e.*, p.client_type, p.country AS location_country
+        FROM {enquiry_facts} e
+        LEFT JOIN (SELECT debtor_no AS ref, client_type, country FROM {client}
+                   UNION ALL
+                   SELECT -temp_clients_id, try_cast(nullif(temp_client_type, '') AS INT),
+                          try_cast(nullif(country, '') AS INT) FROM {temp_client}) p
+            ON IF(e.debtor_no > 0, e.debtor_no, -e.enquiry_temp_id) = p.ref""",
     "sample_lines": """
         SELECT l_orderkey AS order_key, l_partkey AS part_key, DATE(l_shipdate) AS ship_date,
                l_linestatus = 'F' AS paid,
@@ -152,9 +154,9 @@ MAPPING = {
         FROM {part}""",
     "credit_period": """
         SELECT o.cust_key + 1 AS debtor_no, INT(o.cust_key % 90) AS current_credit_period,
-               max(l.ship_date) AS date_of_curr_pmnt
+               date_sub(max(l.ship_date), INT(60 + o.cust_key % 700)) AS date_of_curr_pmnt
         FROM {sample_lines} l JOIN {sample_orders} o ON l.order_key = o.order_key
-        WHERE l.paid AND l.ship_date < DATE'2000-08-01' GROUP BY o.cust_key""",
+        WHERE l.paid GROUP BY o.cust_key""",
 }
 
 

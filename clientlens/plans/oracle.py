@@ -14,6 +14,7 @@ AS_OF, FLOOR = "DATE '2001-11-04'", "DATE '1995-01-01'"
 ACTIVE_FROM, INACTIVE_FROM = "DATE '2000-11-04'", "DATE '1998-11-04'"
 PREVIOUS_FROM = "DATE '1999-11-04'"
 LOSSES = "BETWEEN DATE '2001-01-01' AND DATE '2001-08-01'"
+WEEK = "BETWEEN DATE '2001-07-12' AND DATE '2001-07-20'"
 BIG = "500000"
 
 
@@ -148,9 +149,9 @@ CTES = {
         FROM part""",
     "g_credit": """
         SELECT o.ck + 1 AS debtor_no, CAST(o.ck % 90 AS INTEGER) AS current_credit_period,
-               MAX(l.ship_date) AS date_of_curr_pmnt
+               MAX(l.ship_date) - CAST(60 + o.ck % 700 AS INTEGER) AS date_of_curr_pmnt
         FROM g_lines l JOIN g_orders o ON l.k = o.k
-        WHERE l.paid AND l.ship_date < DATE '2000-08-01' GROUP BY o.ck""",
+        WHERE l.paid GROUP BY o.ck""",
     "v_enquiry": f"""
         SELECT e.client_enquiry_id, e.client_ref, e.client_key, e.country_id,
                c.name AS country_name, c.region_id, r.name AS region_name, e.enq_status,
@@ -448,6 +449,17 @@ def metrics(part: dict, transfers: bool) -> str:
     return " UNION ALL ".join(pieces)
 
 
+def board(long: str) -> str:
+    """All figures as columns of one row."""
+    names = re.findall(r"'(\w+)' AS metric", long) + re.findall(r"SELECT '(\w+_idle_\w+)', CAST", long)
+    groups = {"enquiry": ("I&M", "ONE"), "invoice": ("I&M", "ONE", "Non Marine")}
+    names += [f"amount_{p}_{g}_{v}" for p, own in groups.items() for g in own for v in ("amount", "percent")]
+    sectors = ("industrial", "marine", "oilgas", "offshore", "petrochemical", "renewable")
+    names += [f"amount_{p}_{s}" for p in groups for s in sectors]
+    columns = ", ".join(f"""MAX(value) FILTER (WHERE metric = '{n}') AS "{n}" """ for n in names)
+    return f"SELECT {columns} FROM ({long})"
+
+
 def status_counts(where: str) -> str:
     black, closed = "status_id = 6", "status_id IN (2,4,11,12)"
     job = f"job_date > {FLOOR}"
@@ -559,6 +571,19 @@ def by_country(source: str, where: str, name: str) -> str:
         WHERE c.id IN (1, 5, 16, 2, 3, 4) GROUP BY c.id, c.name, c.colour_code"""
 
 
+def only_found(text: str) -> str:
+    """The same for regions or countries that have amounts, and for all countries."""
+    text = text.replace("r LEFT JOIN (SELECT", "r JOIN (SELECT").replace("c LEFT JOIN (SELECT", "c JOIN (SELECT")
+    return text.replace("WHERE c.id IN (1, 5, 16, 2, 3, 4)", "")
+
+
+def in_job_window(text: str) -> str:
+    """Invoice figures of the half-year up to 30 June 2000."""
+    return text.replace(INV_NOW, "tran_date BETWEEN DATE '1999-12-30' AND DATE '2000-06-30'").replace(
+        INV_BEFORE, "tran_date BETWEEN DATE '1999-06-30' AND DATE '1999-12-30'"
+    )
+
+
 OUTSTANDING = f"""
     SELECT i.debtor_no, i.trans_no, m.name AS client_name, s.client_status AS status,
            d1.name AS company, d2.name AS division, d3.name AS subdivision,
@@ -614,6 +639,18 @@ def weekly(source: str, where: str) -> str:
         FROM {source} WHERE {where} GROUP BY 1"""
 
 
+def top_subdivision(source: str, where: str) -> str:
+    return f"""
+        SELECT x.subdivision, x.div_group, x.n AS enquiry_count, {money("x.amount")} AS sub_amt,
+               d.name AS sub_name
+        FROM (SELECT {group_name("division")} AS div_group, subdivision, COUNT(*) AS n,
+                     SUM({ENQ_VALUE}) AS amount,
+                     ROW_NUMBER() OVER (PARTITION BY {group_name("division")}
+                                        ORDER BY COUNT(*) DESC, subdivision) AS rnk
+              FROM {source} WHERE {where} GROUP BY 1, 2) x
+        JOIN g_dimension d ON x.subdivision = d.id WHERE x.rnk = 1"""
+
+
 def inactive(day: str, known: str = "TRUE") -> str:
     return f"""
         SELECT l.debtor_no, m.name AS client_name, m.client_status AS status_id,
@@ -665,7 +702,7 @@ JUNE, JULY = revenue("2001-06-01", "2001-07-01"), revenue("2001-07-01", "2001-08
 
 
 def compact(value: str) -> str:
-    v = f"CAST({value} AS DECIMAL(20,4))"
+    v = f"CAST({value} AS DECIMAL(31,4))"
     return f"""
         CASE WHEN {value} IS NULL OR {v} = 0 THEN '0'
              WHEN ABS({v}) >= 1000000
@@ -705,13 +742,18 @@ QUERIES = {
         SELECT r_name, COUNT(*) AS customers FROM customer
         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         GROUP BY r_name""",
+    "s1_changed_years": f"""
+        SELECT CAST(YEAR(tran_date) AS INTEGER) AS year, COUNT(*) AS invoices,
+               {money("SUM(CASE WHEN YEAR(tran_date) = 1996 THEN 2 ELSE 1 END * ov_amount)")} AS amount
+        FROM g_invoice GROUP BY 1""",
     "s6_state_round_trip": JULY,
     "s7_update_tracking": f"""
         WITH tracked AS (SELECT debtor_no, division_id, last_job_date FROM ({inactive(ACTIVE_FROM, f"job_date <= {ACTIVE_FROM}")})),
         kept AS (SELECT * FROM tracked t WHERE NOT EXISTS (SELECT 1 FROM ({RECOVERED}) r
             WHERE r.debtor_no = t.debtor_no AND r.division_id = t.division_id))
-        SELECT * FROM kept UNION ALL
-        SELECT debtor_no, division_id, last_job_date FROM ({inactive(AS_OF)}) c
+        SELECT *, TIMESTAMP '2000-11-04 06:00:00' AS logged_at FROM kept UNION ALL
+        SELECT debtor_no, division_id, last_job_date, TIMESTAMP '2001-11-04 06:00:00'
+        FROM ({inactive(AS_OF)}) c
         WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.debtor_no = c.debtor_no
             AND k.division_id = c.division_id)""",
     "s8_zero_fill": """
@@ -790,6 +832,9 @@ QUERIES = {
     ) + " FROM e_registered",
     "k9_invoice_by_sector": by_sector(INVOICES, "net", INV_NOW),
     "k10_invoice_share_by_division": invoice_share("TRUE"),
+    "k10_invoice_share_listed": invoice_share("TRUE").replace("division NOT IN (3, 225)", "division IN (10, 11)"),
+    "k6_invoice_growth_job_window": in_job_window(invoice_growth("TRUE")),
+    "k9_invoice_by_sector_job_window": in_job_window(by_sector(INVOICES, "net", INV_NOW)),
     "k11_idle_counts": f"""
         SELECT 'countries' AS entity,
                (SELECT COUNT(*) FROM ({idle_countries("enquiry_date", "TRUE", SLICE)})) AS idle_enquiry,
@@ -803,11 +848,8 @@ QUERIES = {
         FROM ({country_rows(country_activity("TRUE"), "country_id IS NOT NULL", "TRUE")})""",
     "k13_kpi_metrics": metrics({}, True),
     "k13_kpi_metrics_sliced": metrics({"division": 3, "subdivision": 107}, False),
-    "k13_kpi_board": "SELECT " + ", ".join(
-        f"MAX(value) FILTER (WHERE metric = '{n}') AS {n}"
-        for n in ("country_enquiry_active", "client_job_lost", "amount_enquiry_growth",
-                  "amount_net_current")
-    ) + f" FROM ({metrics({'country': 6, 'sector': 2}, False)})",
+    "k13_kpi_board": board(metrics({}, True)),
+    "k13_kpi_board_sliced": board(metrics({"country": 6, "sector": 2}, False)),
     "l1_country_listing": country_rows(country_activity("TRUE"), "country_id IS NOT NULL", "TRUE"),
     "l1_country_listing_sliced": country_rows(
         f"SELECT * FROM ({country_activity(DIVISION)}) WHERE {SEGMENTS['job_active']}",
@@ -828,16 +870,18 @@ QUERIES = {
     "l5_enquiry_status_by_country": rollup(
         "country_id, country_name, region_name", "country_id IS NOT NULL"
     ),
-    "l5_enquiry_status_by_client": rollup("client_ref", slice_sql(sector=2)),
+    "l5_enquiry_status_by_client": rollup("client_ref", "TRUE"),
+    "l5_enquiry_status_by_client_sliced": rollup("client_ref", slice_sql(sector=2)),
     "l6_invoice_rollup_by_country": billed("country_id", "TRUE"),
-    "l6_invoice_rollup_by_client": billed(
+    "l6_invoice_rollup_by_client": billed("client_ref", "TRUE"),
+    "l6_invoice_rollup_by_client_sliced": billed(
         "client_ref", f"{DIVISION} AND tran_date BETWEEN {INACTIVE_FROM} AND {AS_OF}"
     ),
     "l7_sort_by_name": f"""
-        SELECT e.country_id, e.lost_enquiry_count, i.total_invoice_count
+        SELECT e.country_id, e.lost_enquiry_count, i.total_invoice_count,
+               ROW_NUMBER() OVER (ORDER BY e.lost_enquiry_count DESC NULLS LAST, e.country_id) AS place
         FROM ({rollup("country_id", "country_id IS NOT NULL")}) e
-        LEFT JOIN ({billed("country_id", "TRUE")}) i ON e.country_id = i.country_id
-        ORDER BY e.lost_enquiry_count DESC NULLS LAST, e.country_id LIMIT 10""",
+        LEFT JOIN ({billed("country_id", "TRUE")}) i ON e.country_id = i.country_id""",
     "l8_listing_count": f"""
         SELECT 'clients' AS listing, COUNT(*) AS entities FROM ({client_activity("TRUE")})
         WHERE {SEGMENTS["active_enq"]}
@@ -855,6 +899,16 @@ QUERIES = {
         FROM {PLACED_ENQUIRIES} WHERE division = 3 AND region_id = 2
         GROUP BY client_ref, client_key, client_name, country_name, region_name
         ORDER BY SUM(amount) DESC, client_ref LIMIT 5""",
+    "t2_enquiry_by_region_with_amounts": only_found(by_region(PLACED_ENQUIRIES, SLICE, "enquiry_amount")),
+    "t3_enquiry_by_country_with_amounts": only_found(by_country(PLACED_ENQUIRIES, "TRUE", "enquiry_amount")),
+    "t4_top_clients_by_invoice_job_window": in_job_window(f"""
+        SELECT CAST(debtor_no AS VARCHAR) AS client_id, client_name, country_name, region_name,
+               {in_millions("SUM(amount)")} AS invoice_amount
+        FROM {PLACED_INVOICES} GROUP BY debtor_no, client_name, country_name, region_name
+        ORDER BY SUM(amount) DESC, debtor_no LIMIT 10"""),
+    "t5_invoice_by_region_with_amounts": only_found(by_region(PLACED_INVOICES, "country_id = 6", "invoice_amount")),
+    "t6_invoice_by_country_with_amounts": only_found(by_country(PLACED_INVOICES, "TRUE", "invoice_amount")),
+    "t6_invoice_by_country_job_window": in_job_window(by_country(PLACED_INVOICES, "TRUE", "invoice_amount")),
     "t2_enquiry_by_region": by_region(PLACED_ENQUIRIES, "TRUE", "enquiry_amount"),
     "t3_enquiry_by_country": by_country(PLACED_ENQUIRIES, "TRUE", "enquiry_amount"),
     "t3_enquiry_by_country_sliced": by_country(PLACED_ENQUIRIES, SLICE, "enquiry_amount"),
@@ -863,7 +917,8 @@ QUERIES = {
                {in_millions("SUM(amount)")} AS invoice_amount
         FROM {PLACED_INVOICES} GROUP BY debtor_no, client_name, country_name, region_name
         ORDER BY SUM(amount) DESC, debtor_no LIMIT 10""",
-    "t5_invoice_by_region": by_region(PLACED_INVOICES, "country_id = 6", "invoice_amount"),
+    "t5_invoice_by_region": by_region(PLACED_INVOICES, "TRUE", "invoice_amount"),
+    "t5_invoice_by_region_sliced": by_region(PLACED_INVOICES, "country_id = 6", "invoice_amount"),
     "t6_invoice_by_country": by_country(PLACED_INVOICES, "TRUE", "invoice_amount"),
     "t7_client_invoice_totals": f"""
         SELECT debtor_no, client_name, country_name, region_name,
@@ -893,15 +948,9 @@ QUERIES = {
     "r6_weekly_division_summary_local": weekly(
         "g_resolved", f"enquiry_date {LOSSES} AND country_id = 1"
     ),
-    "r7_top_subdivision_per_group": f"""
-        SELECT x.subdivision, x.div_group, x.n AS enquiry_count, {money("x.amount")} AS sub_amt,
-               d.name AS sub_name
-        FROM (SELECT {group_name("division")} AS div_group, subdivision, COUNT(*) AS n,
-                     SUM({ENQ_VALUE}) AS amount,
-                     ROW_NUMBER() OVER (PARTITION BY {group_name("division")}
-                                        ORDER BY COUNT(*) DESC, subdivision) AS rnk
-              FROM g_enquiry WHERE enquiry_date {LOSSES} GROUP BY 1, 2) x
-        JOIN g_dimension d ON x.subdivision = d.id WHERE x.rnk = 1""",
+    "r6_last_eight_days": weekly("g_resolved", f"enquiry_date {WEEK} AND country_id = 1"),
+    "r7_last_eight_days": top_subdivision("g_resolved", f"enquiry_date {WEEK} AND country_id = 1"),
+    "r7_top_subdivision_per_group": top_subdivision("g_enquiry", f"enquiry_date {LOSSES}"),
     "r8_daily_enquiry_series": DAILY.format(source="g_enquiry", where="TRUE"),
     "r9_fill_calendar_gaps": f"""
         SELECT CAST(c.day AS DATE) AS enquiry_date, g.div_group,
@@ -999,9 +1048,13 @@ QUERIES = {
         WHERE {ENQ_VALUE} > {BIG} AND e.parent_id = 0 AND e.is_active = 1 AND e.enq_status <= 5""",
     "r22_numbered": f"""
         SELECT client_enquiry_id, division_id, subdivision_name, enquiry_date,
-               ROW_NUMBER() OVER (PARTITION BY division_id
-                   ORDER BY subdivision_name, enquiry_date, client_enquiry_id) AS no
+               ROW_NUMBER() OVER (PARTITION BY division_id, subdivision_name
+                   ORDER BY enquiry_date, client_enquiry_id) AS no
         FROM ({LOST_ROWS})""",
+    "r22_numbered_outstanding": f"""
+        SELECT debtor_no, client_name, bal_6m,
+               ROW_NUMBER() OVER (ORDER BY bal_6m DESC, debtor_no) AS no
+        FROM ({BY_CLIENT})""",
     "r23_compact_amount": f"""
         SELECT subdivision, enq_status, {compact("amount")} AS amount_text,
                {compact("CAST(amount AS DECIMAL(28,4)) * 0.001")} AS thousands_text,
@@ -1023,5 +1076,7 @@ def _complete(sql: str) -> str:
 
 
 QUERIES["r20_revenue_drop_in_one_pass"] = QUERIES["r20_revenue_drop"]
+QUERIES["s1_extract_declared"] = QUERIES["l1_country_listing"]
+QUERIES["s6_idle_state_round_trip"] = QUERIES["r11_idle_snapshot_all_divisions"]
 
 ORACLE = {name: _complete(sql) for name, sql in QUERIES.items()}

@@ -117,7 +117,8 @@ DDL = {
         division STRING, division_id INT, debtor_no BIGINT, client_name STRING, revenue DOUBLE
     """,
     "idle_clients_tracking": """
-        division_id INT, client_ref BIGINT, client_id STRING, client_name STRING,
+        division_id INT, client_ref BIGINT, client_id STRING, debtor_no BIGINT,
+        client_name STRING,
         client_type STRING, client_status STRING, temp_client_id BIGINT,
         total_enquiry_count BIGINT, total_enquiry_amount DOUBLE,
         cancel_enquiry_count BIGINT, cancel_enquiry_amount DOUBLE,
@@ -133,6 +134,11 @@ SOURCE_TABLES = tuple(name for name in DDL if name not in STATE_TABLES)
 ROW_FILTER = {"client": "inactive = 0", "dimension": "active = 1"}
 FLOOR_COLUMN = {"enquiry": "enquiry_date", "invoice": "tran_date", "credit_note": "tran_date"}
 
+# What the source calls a column, where this differs from the declaration, and the timestamps of which the
+# day counts whatever the time; of others, a time of day makes the value junk.
+SOURCE_NAME = {"invoice": {"trans_type": "type"}}
+KEEP_DAY = {"client": ("added_date",), "dimension": ("added_date",)}
+
 # Fact snapshots are laid out by year of this column, so date windows prune whole folders.
 YEAR_OF = {**FLOOR_COLUMN, "payment_allocation": "date_alloc"}
 

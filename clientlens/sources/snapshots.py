@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from clientlens import schemas
 from clientlens.functions import midnight_date
 from clientlens.operators.slices import year_folder
+from clientlens.sources.state import complete
 
 
 def read_relational(
@@ -37,77 +39,145 @@ def read_relational(
     )
 
 
-def _typed(df: DataFrame, field: T.StructField) -> Column:
+def _typed(df: DataFrame, field: T.StructField, keep_day: bool) -> Column:
     col, kind = F.col(field.name), df.schema[field.name].dataType
     if kind == field.dataType:
         return col
     if isinstance(field.dataType, T.DateType):
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            return midnight_date(col).alias(field.name)
-        return F.try_to_date(col.cast("string"), "yyyy-MM-dd").alias(field.name)
+            return (col.cast("date") if keep_day else midnight_date(col)).alias(field.name)
+        return _text_date(col, keep_day).alias(field.name)
     if isinstance(kind, T.StringType):
         col = F.nullif(F.trim(col), F.lit(""))
     return col.try_cast(field.dataType).alias(field.name)
 
 
+def _text_date(col: Column, keep_day: bool = False) -> Column:
+    text = col.cast("string")
+    return F.try_to_date(F.substring(text, 1, 10) if keep_day else text, "yyyy-MM-dd")
+
+
 def extract(
     df: DataFrame,
     schema: T.StructType,
     where: str | None = None,
     floor_column: str | None = None,
     floor: date | None = None,
+    source_names: Mapping[str, str] | None = None,
+    keep_day: Iterable[str] = (),
 ) -> DataFrame:
     """The declared columns of a source table, typed, of the rows to keep.
 
-    Junk dates and numbers become null. The row filter and the date floor are applied to the
-    source columns, so that they reach the scan.
+    Junk dates and numbers become null. The row filter and the date floor are applied to the source columns, so that
+    they reach the scan; a floor column that is text is read as a date first, and junk is below every floor.
+    `source_names`: what the source calls a declared column, where it has no column of that name. `keep_day`: columns of
+    which the day counts whatever the time; other timestamps with a time of day are junk.
     """
     if where is not None:
         df = df.filter(where)
+    for name, source in (source_names or {}).items():
+        if name not in df.columns and source in df.columns:
+            df = df.withColumnRenamed(source, name)
     if floor_column is not None and floor is not None:
-        df = df.filter(F.col(floor_column) >= F.lit(floor))
-    return df.select(*[_typed(df, field) for field in schema])
+        day = F.col(floor_column)
+        if isinstance(df.schema[floor_column].dataType, T.StringType):
+            day = _text_date(day, floor_column in keep_day)
+        df = df.filter(day >= F.lit(floor))
+    return df.select(*[_typed(df, field, field.name in keep_day) for field in schema])
 
 
 def extract_table(df: DataFrame, table: str, floor: date | None = None) -> DataFrame:
-    """`extract` with the declared schema, row filter and floor column of a known table."""
+    """`extract` with all that is declared for a known table."""
     return extract(
         df,
         schemas.schema(table),
         schemas.ROW_FILTER.get(table),
         schemas.FLOOR_COLUMN.get(table),
         floor,
+        schemas.SOURCE_NAME.get(table),
+        schemas.KEEP_DAY.get(table, ()),
     )
 
 
-def write_snapshot(df: DataFrame, path: str, year_of: str | None = None) -> None:
-    """Replace a snapshot; with `year_of`, one folder per year of that date column.
+# A snapshot is a folder of versions: v000001 is a whole table, p000002-2023-2024 new rows for these years. A version
+# counts once it is complete, so readers never see a table half written, and a failed write changes nothing.
+_WHOLE, _YEARS = "v", "p"
+
+
+def _number(name: str) -> int:
+    return int(name[1:].split("-")[0])
 
-    The rebalance hint lets AQE split a year that holds most of the rows over many tasks and
-    files, and merge small ones. Rows are sorted by date inside each file, so that the
-    Parquet statistics prune row groups within a year.
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    names = [n for n in complete(spark, path) if n[:1] in (_WHOLE, _YEARS) and n[1:].replace("-", "").isdigit()]
+    return sorted(names, key=_number)
+
+
+def write_snapshot(
+    df: DataFrame, path: str, year_of: str | None = None, years: Iterable[int] | None = None
+) -> None:
+    """The next version of a snapshot; with `year_of`, one folder per year of that date column.
+
+    With `years`, only rows of these years are written, and they replace those of the earlier versions; all other years stay
+    as they are. The rebalance hint lets AQE split a year that holds most of the rows over many tasks and files, and merge small
+    ones. Rows are sorted by date inside each file, so that the Parquet statistics prune row groups within a year.
     """
+    known = _versions(df.sparkSession, path)
+    number = (_number(known[-1]) if known else 0) + 1
     if year_of is None:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(f"{path}/{_WHOLE}{number:06d}")
         return
-    year = year_folder(year_of)
+    year, name = year_folder(year_of), f"{_WHOLE}{number:06d}"
+    if years is not None:
+        years = sorted(set(years))
+        name = "-".join([f"{_YEARS}{number:06d}", *map(str, years)])
+        df = df.filter(F.year(year_of).isin(*years))
     (
         df.withColumn(year, F.year(year_of))
         .hint("rebalance", F.col(year))
         .sortWithinPartitions(year, year_of)
         .write.mode("overwrite")
         .partitionBy(year)
-        .parquet(path)
+        .parquet(f"{path}/{name}")
     )
 
 
+def read_snapshot(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, year_of: str | None = None
+) -> DataFrame:
+    """The newest whole version, with the years that later versions replaced."""
+    known = _versions(spark, path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    whole = [n for n in known if n[0] == _WHOLE]
+    if not known:
+        return reader.parquet(path)
+    later = [n for n in known if n[0] == _YEARS and (not whole or _number(n) > _number(whole[-1]))]
+    replaced: set[int] = set()
+    parts = []
+    for name in reversed([*whole[-1:], *later]):
+        part = reader.parquet(f"{path}/{name}")
+        if replaced and year_of is not None:
+            year = F.col(year_folder(year_of))
+            part = part.filter(year.isNull() | ~year.isin(*sorted(replaced)))
+        parts.append(part)
+        replaced |= {int(y) for y in name.split("-")[1:]}
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_snapshots(
-    tables: Mapping[str, DataFrame], directory: str, concurrent: int = 4
+    tables: Mapping[str, DataFrame],
+    directory: str,
+    concurrent: int = 4,
+    years: Iterable[int] | None = None,
 ) -> None:
-    """Write every table; a few jobs run side by side, as small ones leave a cluster idle."""
+    """Write every table; a few jobs run side by side, as small ones leave a cluster idle.
+
+    `years`: of tables in year folders, only these are written.
+    """
 
     def write(name: str) -> None:
-        write_snapshot(tables[name], f"{directory}/{name}", schemas.YEAR_OF.get(name))
+        year_of = schemas.YEAR_OF.get(name)
+        write_snapshot(tables[name], f"{directory}/{name}", year_of, years if year_of else None)
 
     with ThreadPoolExecutor(concurrent) as pool:
         list(pool.map(write, tables))
@@ -120,15 +190,21 @@ def load_tables(
     views: bool = True,
     suffix: str = "",
     declared: bool = True,
+    prefix: str = "",
 ) -> dict[str, DataFrame]:
-    """Every snapshot as a lazy DataFrame, and as a temporary view of the same name.
+    """Every snapshot as a lazy DataFrame, and as a temporary view of the same name after `prefix`.
 
-    With `declared`, the schema comes from the declaration and no file is opened to infer it.
+    With `declared`, the schema comes from the declaration and no file is opened to infer it. With a `suffix`, tables are
+    plain Parquet files.
     """
     tables = {}
     for name in names:
-        reader = spark.read.schema(schemas.schema(name)) if declared else spark.read
-        tables[name] = reader.parquet(f"{directory}/{name}{suffix}")
+        schema = schemas.schema(name) if declared else None
+        if suffix:
+            reader = spark.read.schema(schema) if declared else spark.read
+            tables[name] = reader.parquet(f"{directory}/{name}{suffix}")
+        else:
+            tables[name] = read_snapshot(spark, f"{directory}/{name}", schema, schemas.YEAR_OF.get(name))
         if views:
-            tables[name].createOrReplaceTempView(name)
+            tables[name].createOrReplaceTempView(f"{prefix}{name}")
     return tables

@@ -7,15 +7,15 @@ way leaves the previous version in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _PREFIX = "v"
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, oldest first."""
+def complete(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in `path` that were written to their end, in order."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -23,13 +23,17 @@ def versions(spark: SparkSession, path: str) -> list[int]:
         return []
     found = []
     for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(_PREFIX) and fs.exists(done):
-            found.append(int(name[len(_PREFIX):]))
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(status.getPath().getName())
     return sorted(found)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions, oldest first."""
+    names = complete(spark, path)
+    return sorted(int(n[len(_PREFIX):]) for n in names if n.startswith(_PREFIX) and n[len(_PREFIX):].isdigit())
+
+
 def read_state(
     spark: SparkSession,
     path: str,
@@ -51,16 +55,40 @@ def replace_state(df: DataFrame, path: str) -> int:
     return number
 
 
-def update_tracking(tracked: DataFrame, recovered: DataFrame, current: DataFrame) -> DataFrame:
+def update_tracking(
+    tracked: DataFrame,
+    recovered: DataFrame,
+    current: DataFrame,
+    logged_at: Column | None = None,
+) -> DataFrame:
     """Drop recovered keys, then add the current ones that are not tracked yet.
 
-    The keys are client and division. Running it again with the same input changes nothing.
+    The keys are client and division. `logged_at`, the time of the run, goes into that column of added rows only. The
+    three inputs meet in one aggregate. Running it again with the same input changes nothing but for keys that recovered and are
+    inactive again: these are added anew.
     """
     keys = ["debtor_no", "division_id"]
-    kept = tracked.join(recovered.select(*keys), keys, "left_anti")
-    added = (
-        current.join(kept.select(*keys), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(*[F.max(c).alias(c) for c in tracked.columns if c not in keys])
+    kept = [c for c in tracked.columns if c not in keys]
+
+    def tagged(df: DataFrame, tag: str) -> DataFrame:
+        nothing = {c: F.lit(None).cast(tracked.schema[c].dataType) for c in kept if c not in df.columns}
+        if tag == "current" and logged_at is not None and "logged_at" in kept:
+            nothing["logged_at"] = logged_at.cast(tracked.schema["logged_at"].dataType)
+        return df.withColumns(nothing).select(*keys, *kept, F.lit(tag).alias("_from"))
+
+    rows = tagged(tracked, "tracked").unionByName(tagged(current, "current"))
+    rows = rows.unionByName(tagged(recovered.select(*keys), "recovered"))
+
+    def latest(tag: str) -> list[Column]:
+        return [F.max(F.when(F.col("_from") == tag, F.col(c))).alias(f"_{tag}_{c}") for c in kept]
+
+    def any_of(tag: str) -> Column:
+        return F.bool_or(F.col("_from") == tag).alias(f"_{tag}")
+
+    by_key = rows.groupBy(*keys).agg(
+        *latest("tracked"), *latest("current"), *[any_of(tag) for tag in ("tracked", "recovered", "current")]
     )
-    return kept.unionByName(added)
+    stays = F.col("_tracked") & ~F.col("_recovered")
+    return by_key.filter(stays | F.col("_current")).select(
+        *keys, *[F.when(stays, F.col(f"_tracked_{c}")).otherwise(F.col(f"_current_{c}")).alias(c) for c in kept]
+    ).select(*tracked.columns)

@@ -12,7 +12,10 @@ from clientlens.operators import conform, listings
 from clientlens.plans.catalog import BUILDERS
 from clientlens.plans.mapping import WINDOWS
 
-WRITES = ("s1_write_snapshot", "s6_state_round_trip", "r22_numbered")
+WRITES = (
+    "s1_write_snapshot", "s1_changed_years", "s1_extract_declared", "s6_state_round_trip", "s6_idle_state_round_trip",
+    "s7_update_tracking", "l7_sort_by_name", "r22_numbered", "r22_numbered_outstanding",
+)
 
 
 def plan(df, mode="formatted") -> str:
@@ -23,7 +26,7 @@ def plan(df, mode="formatted") -> str:
 
 def scanned(df) -> list[str]:
     """Snapshot names that the plan scans, one entry per scan."""
-    return re.findall(r"Location: InMemoryFileIndex \[\S*/(\w+)\]", plan(df))
+    return re.findall(r"Location: InMemoryFileIndex \[\S*/(\w+)/v\d+\]", plan(df))
 
 
 @pytest.fixture

@@ -62,7 +62,7 @@ def test_year_folders_are_pruned_and_nothing_is_lost(spark, sample):
     where = folder(spark)
     invoices = sample["invoice"].select("trans_no", "tran_date")
     snapshots.write_snapshot(invoices, where, "tran_date")
-    stored = spark.read.parquet(where)
+    stored = snapshots.read_snapshot(spark, where, year_of="tran_date")
     assert rows(stored.select("trans_no", "tran_date")) == rows(invoices)
     window = between_dates(stored, "tran_date", date(1999, 3, 1), date(2000, 2, 1))
     plan = window._jdf.queryExecution().explainString(
