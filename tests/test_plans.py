@@ -8,9 +8,12 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from clientlens import schemas
 from clientlens.operators import conform, listings
+from clientlens.operators.numbering import numbered
 from clientlens.plans.catalog import BUILDERS
 from clientlens.plans.mapping import WINDOWS
+from clientlens.sources import state
 
 WRITES = (
     "s1_write_snapshot", "s1_changed_years", "s1_extract_declared", "s6_state_round_trip", "s6_idle_state_round_trip",
@@ -149,3 +152,29 @@ def test_a_hot_client_enters_no_join_of_a_listing(spark, sample, no_broadcast):
     partial = text.index("partial_")
     assert text.index("Exchange hashpartitioning(client_ref") < partial  # printed top-down
     assert WINDOWS
+
+
+def test_running_numbers_move_the_rows_once(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("section"))
+    text = plan(numbered(rows, [F.col("id")], ["section"]), "simple")
+    # what is left after the rows were written: no exchange of rows, only of the few offsets
+    assert not re.search("Exchange (hash|range)partitioning|SortMergeJoin|Window", text)
+
+
+def test_tracking_is_one_aggregate(spark, snapshots, no_broadcast):
+    tracked = spark.createDataFrame([], schemas.schema("inactive_tracking"))
+    keys = tracked.select("debtor_no", "division_id")
+    text = plan(state.update_tracking(tracked.unionByName(tracked), keys, tracked.drop("logged_at")), "simple")
+    assert "Join" not in text
+    assert text.count("Exchange") <= 1
+
+
+def test_tracking_query_has_few_joins(snapshots, no_broadcast):
+    text = plan(BUILDERS["s7_update_tracking"](snapshots), "simple")
+    assert text.count("SortMergeJoin") <= 9
+
+
+def test_enquiries_meet_their_clients_once(sample, no_broadcast):
+    """On a key of its own for every client: temporary clients do not share the number 0."""
+    text = plan(sample["enquiry"], "simple")
+    assert text.count("SortMergeJoin") == 1 and text.count("LeftOuter") == 1

@@ -5,7 +5,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from clientlens import NO_SLICE, Slice
+from clientlens import NO_SLICE, Slice, Windows
+from clientlens.functions import compact_amount
 from clientlens.operators import listings, reports
 from clientlens.operators.kpis import client_last_activity
 from clientlens.operators.numbering import numbered
@@ -188,3 +189,53 @@ def test_recovered_and_inactive_do_not_meet(sample):
     inactive = reports.inactive_clients(sample, AS_OF)
     tracked = inactive.select("debtor_no", "division_id", "last_job_date")
     assert reports.recovered_clients(tracked, sample, AS_OF).count() == 0
+
+
+# ---- order, windows and large amounts -------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "build, key",
+    [
+        (lambda t: reports.outstanding_by_client(t, AS_OF), lambda r: (-r["bal_6m"], r["debtor_no"])),
+        (reports.payment_job_latency, lambda r: (-r["months_diff"], r["debtor_no"], r["division_name"])),
+        (
+            lambda t: reports.lost_cancelled_enquiries(t, date(2001, 1, 1), date(2001, 8, 1)),
+            lambda r: (r["subdivision_name"], r["enquiry_date"], r["client_enquiry_id"]),
+        ),
+        (
+            lambda t: reports.daily_enquiry_series(t["enquiry"], date(2001, 1, 1), AS_OF, None),
+            lambda r: (r["enquiry_date"], r["div_group"]),
+        ),
+        (lambda t: reports.monthly_loss_trend(t["enquiry"], AS_OF), lambda r: (r["month"], r["division"])),
+    ],
+)
+def test_reports_come_in_order(sample, build, key):
+    found = build(sample).collect()
+    assert len(found) > 1 and found == sorted(found, key=key)
+
+
+def test_latency_has_all_buckets(sample):
+    found = reports.latency_buckets(reports.payment_job_latency(sample)).select("bucket").distinct().collect()
+    assert {r["bucket"] for r in found} == {"3-6 months", "6-12 months", "over 12 months"}
+
+
+def test_job_window_may_differ_from_the_active_one():
+    w = Windows(as_of=date(2024, 6, 30))
+    assert (w.job_from, w.job_to) == (w.active_from, w.active_to)
+    assert (w.previous_job_from, w.previous_job_to) == (w.previous_from, w.previous_to)
+    w = Windows(as_of=date(2024, 6, 30), job_day=date(2024, 3, 31), job_months=3)
+    assert (w.previous_job_from, w.job_from, w.job_to) == (date(2023, 9, 30), date(2023, 12, 31), date(2024, 3, 31))
+    assert w.active_from == date(2023, 6, 30)
+
+
+def test_compact_amount_of_grand_totals(spark):
+    texts = {
+        "123456789012345678901234567.8949": "123456789012345678901.23M",
+        "-1234567890123456789.5": "-1234567890123.46M",
+        "1234999.9999": "1.23M",
+        "999999.9999": "1000.0K",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = df.select("t", compact_amount(F.col("t").cast("decimal(38,4)")))
+    assert dict(map(tuple, shown.collect())) == texts

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, datetime
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from clientlens import schemas
+from clientlens.operators import listings, reports
 from clientlens.operators.slices import between_dates
+from clientlens.plans.mapping import AS_OF, WINDOWS
 from clientlens.sources import snapshots, state
 from clientlens.sources.workdir import shared_folder
 
@@ -122,3 +126,118 @@ def test_tracking_drops_recovered_and_adds_new(frame):
     assert rows(once) == [(1, 3, old), (3, 3, old), (4, 3, new), (4, 225, new)]
     nothing = recovered.limit(0)
     assert rows(state.update_tracking(once, nothing, current)) == rows(once)
+
+
+# ---- the extract on what sources really hold ----------------------------------------------
+
+
+@pytest.mark.parametrize("text", ["0000-00-00", "junk", "", None])
+def test_floor_on_text_dates_drops_junk(frame, text):
+    names = schemas.schema("credit_note").fieldNames()
+    ddl = ", ".join(f"{n} STRING" for n in names)
+    rows_of = [{"trans_no": "1", "tran_date": "2024-05-01"}, {"trans_no": "2", "tran_date": text}]
+    source = frame(ddl, *[tuple(r.get(n) for n in names) for r in rows_of])
+    assert [r["trans_no"] for r in snapshots.extract_table(source, "credit_note", date(2024, 1, 1)).collect()] == [1]
+    everything = snapshots.extract_table(source, "credit_note").orderBy("trans_no").collect()
+    assert [r["tran_date"] for r in everything] == [date(2024, 5, 1), None]
+
+
+def test_floor_on_dates_is_pushed_down(spark, sample):
+    path = folder(spark)
+    sample["invoice"].write.parquet(path)
+    kept = snapshots.extract(
+        spark.read.parquet(path), spark.read.parquet(path).schema, None, "tran_date", date(2000, 1, 1)
+    )
+    plan = kept._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(tran_date" in plan
+
+
+def test_days_of_timestamps(frame):
+    source = frame(
+        "debtor_no BIGINT, added_date TIMESTAMP, inactive INT", (1, datetime(2024, 5, 1, 10, 11), 0), (2, datetime(2024, 5, 2), 0)
+    )
+    wanted = schemas.schema("client")
+    wanted = type(wanted)([wanted[n] for n in ("debtor_no", "added_date")])
+    strict = snapshots.extract(source, wanted)
+    assert rows(strict) == [(1, None), (2, date(2024, 5, 2))]
+    kept = snapshots.extract(source, wanted, keep_day=schemas.KEEP_DAY["client"])
+    assert rows(kept) == [(1, date(2024, 5, 1)), (2, date(2024, 5, 2))]
+    text = source.withColumn("added_date", F.col("added_date").cast("string"))
+    assert rows(snapshots.extract(text, wanted, keep_day=("added_date",))) == rows(kept)
+
+
+def test_source_names(frame):
+    names = [schemas.SOURCE_NAME["invoice"].get(n, n) for n in schemas.schema("invoice").fieldNames()]
+    source = frame(", ".join(f"{n} STRING" for n in names), tuple({"type": "10", "trans_no": "5"}.get(n) for n in names))
+    (only,) = snapshots.extract_table(source, "invoice").collect()
+    assert (only["trans_no"], only["trans_type"]) == (5, 10)
+
+
+def test_snapshot_versions(spark, frame):
+    where, ddl = folder(spark), "id INT, day DATE"
+    old = frame(ddl, *[(i, date(2000 + i, 1, 1)) for i in range(4)], (9, None))
+    snapshots.write_snapshot(old, where, "day")
+    # a write that fails half way changes nothing
+    old.limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{where}/v000002")
+    assert rows(snapshots.read_snapshot(spark, where, year_of="day").select("id")) == [(0,), (1,), (2,), (3,), (9,)]
+    # new rows of two years, of which one has none any more
+    snapshots.write_snapshot(frame(ddl, (20, date(2002, 5, 5)), (30, date(1990, 1, 1))), where, "day", years=[2002, 2003])
+    assert rows(snapshots.read_snapshot(spark, where, year_of="day").select("id")) == [(0,), (1,), (9,), (20,)]
+    snapshots.write_snapshot(frame(ddl, (21, date(2002, 6, 6))), where, "day", years=[2002])
+    declared = type(old.schema).fromDDL(ddl)
+    assert rows(snapshots.read_snapshot(spark, where, declared, "day").select("id")) == [(0,), (1,), (9,), (21,)]
+    # a whole version replaces all of it
+    snapshots.write_snapshot(frame(ddl, (5, date(2002, 1, 1))), where, "day")
+    assert rows(snapshots.read_snapshot(spark, where, year_of="day").select("id")) == [(5,)]
+
+
+def test_tracking_fits_its_own_table(spark, frame):
+    where, declared = folder(spark), schemas.schema("inactive_tracking")
+    then, now = datetime(2023, 1, 1), datetime(2024, 1, 1)
+    state.replace_state(spark.createDataFrame([(1, 3, date(2022, 1, 1), then), (2, 3, date(2022, 1, 1), then)], declared), where)
+    tracked = state.read_state(spark, where, declared)
+    keys = "debtor_no BIGINT, division_id INT"
+    current = frame(f"{keys}, last_job_date DATE", (1, 3, date(2023, 1, 1)), (4, 3, date(2023, 1, 1)))
+    updated = state.update_tracking(tracked, frame(keys, (2, 3)), current, F.lit(now))
+    assert updated.columns == declared.fieldNames()
+    state.replace_state(updated, where)
+    assert rows(state.read_state(spark, where, declared)) == [
+        (1, 3, date(2022, 1, 1), then), (4, 3, date(2023, 1, 1), now),
+    ]
+
+
+@pytest.mark.parametrize("name", schemas.STATE_TABLES)
+def test_states_round_trip_in_declared_columns(spark, sample, name):
+    made = {
+        "monthly_revenue": lambda: reports.monthly_revenue(sample, date(2001, 7, 1)),
+        "idle_clients_tracking": lambda: listings.idle_snapshot_all_divisions(sample, WINDOWS, (225, 3)),
+        "inactive_tracking": lambda: reports.inactive_clients(sample, AS_OF).select(
+            "debtor_no", "division_id", "last_job_date", F.lit(datetime(2024, 1, 1)).alias("logged_at")
+        ),
+    }[name]()
+    where, declared = folder(spark), schemas.schema(name)
+    state.replace_state(made, where)
+    assert set(made.columns) == set(declared.fieldNames())
+    assert rows(state.read_state(spark, where, declared)) == rows(made.select(*declared.fieldNames()))
+
+
+# ---- the shared folder --------------------------------------------------------------------
+
+
+class FakeSession:
+    def __init__(self, master: str, named: str | None):
+        self.sparkContext = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        self.conf = SimpleNamespace(get=lambda key, default: named or default)
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(ValueError):
+        shared_folder(FakeSession(master, None))
+    assert shared_folder(FakeSession(master, "hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_a_local_session_is_not_changed():
+    session = FakeSession("local[2]", None)
+    assert shared_folder(session) == shared_folder(session)
+    assert session.sparkContext.getCheckpointDir() is None
