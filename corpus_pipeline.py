@@ -14,7 +14,7 @@ from clientlens.llm import exact_dedup, mixing, mixture_language, ngram_join, pa
 from clientlens.llm.queries import VOCABULARY
 from clientlens.llm.rows import partition_sizes, stored, without
 
-LEAST_SHARE = 0.4  # of the likeliest language; with less, a text has no language
+LEAST_SHARE = 0.3  # of the likeliest language; with less, a text has no language
 # Each document at most once: copies were removed on purpose.
 MIX = mixing.Mix(percent=90, epochs=1)
 
