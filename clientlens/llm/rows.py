@@ -11,36 +11,20 @@ of giving wrong rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's checkpoint folder.
-
-    Only a local session may go without one; it then gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    named = tempfile.mkdtemp(prefix="clientlens-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+from clientlens.sources.workdir import shared_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: what follows does not depend on executors living on."""
-    import uuid
-
     spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,14 +6,14 @@ import pytest
 
 from awkward_rows import AWKWARD, COLUMNS
 
-from clientlens.llm.rows import work_folder
+from clientlens.sources.workdir import shared_folder
 
 @pytest.fixture(scope="session")
 def table(spark):
     """A table read from files, as operators that read twice need it; `extra` adds columns with names of their own."""
 
     def make(ddl: str, rows: list[tuple], extra: tuple[str, ...] = ()):
-        path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         df = spark.createDataFrame(rows, ddl)
         for name in extra:
             df = df.selectExpr("*", f"cast(7 as long) as `{name}`")
