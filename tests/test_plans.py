@@ -12,7 +12,7 @@ from clientlens import schemas
 from clientlens.operators import conform, listings
 from clientlens.operators.numbering import numbered
 from clientlens.plans.catalog import BUILDERS
-from clientlens.plans.mapping import WINDOWS
+from clientlens.plans.mapping import MAPPING, WINDOWS
 from clientlens.sources import state
 
 WRITES = (
@@ -114,8 +114,9 @@ def _clients(spark):
     )
 
 
-def test_a_hot_client_is_split_in_row_level_views(spark, sample, no_broadcast):
-    """AQE splits the partition of the hot client and of the rows without client."""
+@pytest.fixture
+def small_partitions(spark, no_broadcast):
+    """AQE takes partitions of this test's size for skewed."""
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
@@ -124,19 +125,29 @@ def test_a_hot_client_is_split_in_row_level_views(spark, sample, no_broadcast):
         "spark.sql.shuffle.partitions": "16",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        view = conform.resolve_client(_skewed(spark), _clients(spark), sample["temp_client"])
-        found = view.groupBy(F.col("client_name").isNull().alias("unknown")).count()
-        assert {r["unknown"]: r["count"] for r in found.collect()} == {True: 20_000, False: 40_000}
-        view.write.format("noop").mode("overwrite").save()
-        rows = view.collect()
-        assert len(rows) == 60_000
-        assert "skew=true" in plan(view, "simple")
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_client_is_split_in_row_level_views(spark, sample, small_partitions):
+    """AQE splits the partition of the hot client and of the rows without client."""
+    view = conform.resolve_client(_skewed(spark), _clients(spark), sample["temp_client"])
+    found = view.groupBy(F.col("client_name").isNull().alias("unknown")).count()
+    assert {r["unknown"]: r["count"] for r in found.collect()} == {True: 20_000, False: 40_000}
+    view.write.format("noop").mode("overwrite").save()
+    assert len(view.collect()) == 60_000
+    assert "skew=true" in plan(view, "simple")
+
+
+def test_a_hot_client_is_split_in_the_sample_mapping(spark, sample, small_partitions):
+    inputs = {"enquiry_facts": _skewed(spark), "client": _clients(spark), "temp_client": sample["temp_client"]}
+    enquiries = spark.sql(MAPPING["enquiry"], **inputs)
+    assert len(enquiries.collect()) == 60_000
+    assert "skew=true" in plan(enquiries, "simple")
+    assert enquiries.filter("client_type IS NULL").count() == 20_000
 
 
 def test_a_hot_client_enters_no_join_of_a_listing(spark, sample, no_broadcast):
