@@ -10,6 +10,7 @@ Pieces are dealt to groups of about GROUP by a hash. Groups are packed side by s
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -23,13 +24,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from .texts import pieces
+from .texts import in_small_batches, pieces
 
 GROUP = 8_192  # pieces packed together
+BYTES = 1_500_000  # of text split at once
 END = 0  # the id after each document
-SPACE, LETTER, DIGIT, OTHER, LINE = range(5)
+SPACE, LETTER, DIGIT, OTHER, LINE, CONTROL = range(6)
 CACHE = 1_000_000  # runs remembered in a task, at most, besides those of the texts at hand
 
 
@@ -66,9 +68,19 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # New runs are lower case already, stand between spaces, and no run comes twice: that needs no memory of the model's own.
+        with open(vocabulary, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        bpe = models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
+        self.splitting = Tokenizer(bpe)
+        self.splitting.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.kinds = np.array([self.kind(chr(i)) for i in range(0x20AD)], dtype=np.uint8)
+        self.kinds[[0, *range(0x1C, 0x20)]] = CONTROL
         self.forget()
 
     @staticmethod
@@ -88,7 +100,7 @@ class Words:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn(self, runs: list[str]) -> None:
-        ids = self.encode(" ".join(runs))
+        ids = np.array(self.splitting.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(runs):
             each = [self.encode(run) for run in runs]
@@ -103,23 +115,26 @@ class Words:
         """Runs of texts in lower case, a line end after each text."""
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
         kind = self.kinds[codes]
+        if kind.max(initial=0) == CONTROL:
+            raise ValueError("a control character")
         alone = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | (kind[1:] == LINE)
         spaced = np.full(len(codes) + np.count_nonzero(alone), 32, dtype=np.uint32)
-        spaced[np.append([0], np.cumsum(alone)) + np.arange(len(codes))] = np.where(kind == SPACE, 32, codes)
+        spaced[np.append(np.int32(0), np.cumsum(alone, dtype=np.int32)) + np.arange(len(codes), dtype=np.int32)] = np.where(kind == SPACE, 32, codes)
         return pc.split_pattern(pa.array([spaced.tobytes().decode("utf-32-le")]), " ").values
 
     def usual(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without odd characters; the end of the document follows each."""
         lower = [t.replace("\n", " ").lower() + "\n" for t in texts]
         if any("'" in t for t in lower):  # contractions are runs too
-            lower = ["\0".join(self.RUNS.findall(t)) if "'" in t else t for t in lower]
-            runs = pa.chunked_array(
-                [pc.split_pattern(pa.array([t]), "\0").values if "\0" in t else self.split([t]) for t in lower]
-            ).combine_chunks()
+            each = [
+                pc.split_pattern(pa.array(["\0".join(self.RUNS.findall(t))]), "\0").values if "'" in t else self.split([t])
+                for t in lower
+            ]
+            runs = pa.concat_arrays(each)
         else:
             runs = self.split(lower)
         runs = runs.dictionary_encode()
-        distinct = runs.dictionary.to_pylist()
+        distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > CACHE:
             self.forget()
         if new := [run for run in distinct if run not in self.known]:
@@ -131,11 +146,16 @@ class Words:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """All ids of each text, and the end of the document, as little-endian 32-bit numbers."""
-        usual = [i for i, t in enumerate(texts) if t and not self.ODD.search(t)]
+        plain = [t and t.isascii() and "'" not in t for t in texts]
+        usual = [i for i, t in enumerate(texts) if t and (plain[i] or not self.ODD.search(t))]
+        try:
+            found = self.usual([texts[i] for i in usual]) if usual else []
+        except ValueError:  # some plain text has a control character, which is looked for only now
+            usual = [i for i in usual if not self.ODD.search(texts[i])]
+            found = self.usual([texts[i] for i in usual]) if usual else []
         out = [b""] * len(texts)
-        if usual:
-            for i, ids in zip(usual, self.usual([texts[i] for i in usual])):
-                out[i] = ids.tobytes()
+        for i, ids in zip(usual, found):
+            out[i] = ids.tobytes()
         end = np.array([END], dtype="<u4")
         for i in set(range(len(texts))).difference(usual):
             out[i] = np.append(self.encode(texts[i] or ""), end).astype("<u4").tobytes()
@@ -150,7 +170,7 @@ def cut(docs: DataFrame, vocabulary: str, tokens: int, id_col: str = "doc_id", t
         for batch in batches:
             rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, at = [], 0
-            for texts in pieces(batch.column(2)):
+            for texts in pieces(batch.column(2), BYTES):
                 for coded in words.ids(texts):
                     for k, start in enumerate(range(0, len(coded), 4 * tokens)):
                         part = coded[start : start + 4 * tokens]
@@ -161,7 +181,7 @@ def cut(docs: DataFrame, vocabulary: str, tokens: int, id_col: str = "doc_id", t
                 names=["row", "doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(
+    return in_small_batches(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     ).mapInArrow(cut_batches, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-BYTES = 4_000_000  # of text worked on at once; a longer text is a piece of its own
+BYTES = 500_000  # of text worked on at once; a longer text is a piece of its own
 
+ARROW_BATCH = "8m"  # of text that the JVM hands to a Python worker at once
 
-def pieces(texts: pa.Array) -> Iterator[list[str | None]]:
-    """The texts in order, in lists of at most BYTES of text, or of one text."""
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session that moves texts in small Arrow batches.
+
+    Batches of Spark's default size take hundreds of megabytes beside the heap of an executor when its tasks hand over texts. The
+    setting stays for the session, as the work is done later.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return df
+
+
+def pieces(texts: pa.Array, limit: int = BYTES) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of at most `limit` characters of text, or of one text."""
     piece, size = [], 0
     for x in texts:
         text = x.as_py()
         n = len(text) if text else 0
-        if piece and size + n > BYTES:
+        if piece and size + n > limit:
             yield piece
             piece, size = [], 0
         piece.append(text)
