@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import pieces
+from .texts import in_small_batches, pieces
 
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -205,4 +205,4 @@ def find_licences(docs: DataFrame, text_col: str = "text", as_col: str = "licenc
         for batch in batches:
             yield pa.array([scan(text, phrases) for texts in pieces(batch) for text in texts], kind)
 
-    return docs.withColumn(as_col, licences(F.col(text_col)))
+    return in_small_batches(docs).withColumn(as_col, licences(F.col(text_col)))

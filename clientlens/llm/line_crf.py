@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import pieces
+from .texts import in_small_batches, pieces
 
 SAMPLE = 5000  # labelled texts that are learned from, at most; the first by a hash of their ids
 SAMPLE_LINES = 300  # longer texts are not learned from, but scored like all others
 FITS, STEPS, RATE, RIDGE = 3, 120, 0.1, 1e-3
 THRESHOLD = 0.3
+BYTES = 2_000_000  # of text scored at once: forward-backward steps through all its texts together
 
 UPPER, LOWER, DIGIT, SPACE, STOP, MARK, OTHER = range(7)
 N_FEATURES = 13
@@ -247,7 +248,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", as_col:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kinds = _classes()
         for batch in batches:
-            scores = [model.score(*features([t or "" for t in texts], kinds)) for texts in pieces(batch)]
+            scores = [model.score(*features([t or "" for t in texts], kinds)) for texts in pieces(batch, BYTES)]
             yield pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
 
-    return docs.withColumn(as_col, score(F.col(text_col)))
+    return in_small_batches(docs).withColumn(as_col, score(F.col(text_col)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import pieces
+from .texts import in_small_batches, pieces
 
 BUCKETS = 1 << 15  # of hashed trigrams: the model is BUCKETS numbers a language
 SEGMENT = 24  # trigrams
@@ -181,5 +181,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     or has no letter gets `und` with score 0, and so does every text if nothing could be learned. It is learned from
     the rows that are not `held_out` and whose language is not null; a prediction sees nothing but the text.
     """
+    docs = in_small_batches(docs)
     langs, table = learn(docs.where(~held_out(id_col)), text_col, lang_col)
     return docs.withColumn(as_col, predictor(langs, table)(F.col(text_col)))

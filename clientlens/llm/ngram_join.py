@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import Scan, partition_sizes, stored
+from .texts import in_small_batches
 from .words import Hasher, batched, grams, mixed
 
 RUN = 5  # words
 SIMILARITY = 0.8
-RECALL = 0.9999  # of pairs that are just similar enough
-HASHES = 192  # MinHash values of a set, at most
+RECALL = 0.99999  # of pairs that are just similar enough
+HASHES = 240  # MinHash values of a set, at most
 BLOCK = 512  # sets compared at once; where more meet, blocks are compared with blocks
 AT_ONCE = 2048  # runs hashed or compared at once
 
@@ -166,7 +167,8 @@ def _comparer(similarity: float):
         block: list[dict] = []
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
+            rows = (row for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
+            for row in rows:
                 if block and any(row[c] != block[0][c] for c in ("band", "slot", "i", "j")):
                     found += compare(block)
                     block = []
@@ -185,6 +187,7 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows: row, part, place, mark, id, set (a digest), n (its size). Sets: set, node (the first of its rows), n_copies. Links: node, linked (how many
     documents), root (a node of the same class).
     """
+    docs = in_small_batches(docs)
     n_bands, values = bands(similarity, recall)
     scan = Scan(docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id")))
     rows = stored(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import pieces
+from .texts import in_small_batches, pieces
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -207,4 +207,4 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", as_col: str = "p
         for batch in batches:
             yield pa.array([row(text, anchors) for texts in pieces(batch) for text in texts], kind)
 
-    return docs.withColumn(as_col, personal(F.col(text_col)))
+    return in_small_batches(docs).withColumn(as_col, personal(F.col(text_col)))

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BYTES = 1_000_000  # hashed at once
+BYTES = 250_000  # hashed at once
 _RANDOM = np.random.default_rng(5)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _FACTORS = _RANDOM.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
