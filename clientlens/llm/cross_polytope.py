@@ -4,12 +4,14 @@ A table turns every vector by a fast pseudo-rotation (random signs and a Hadamar
 axis it then lies nearest to. A query looks under its nearest axes in each table, and all vectors found there are ranked by
 their exact inner product.
 
-Vectors get one more coordinate that makes all of them as long as the longest, and queries a zero there: the largest inner product
-is then the smallest angle, whatever the lengths of the vectors.
+Vectors are told apart by length, in ranges of a quarter octave. They get one more coordinate that makes all of a range as long as its
+longest, and queries a zero there: within a range the largest inner product is then the smallest angle. A query has the same
+axes for all ranges, so their vectors share buckets, and a few long vectors do not draw the others together.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 TABLES = 8
 PROBES = 28  # signed axes that a query looks under in each table, of twice the padded dimension
 BLOCK = 4096  # vectors compared at once; a larger bucket is split
+RANGES = 4  # of lengths in an octave
 AT_ONCE = 256  # queries compared at once
 SEED = 20
 
@@ -58,13 +61,14 @@ def matrix(vectors: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
 
 
-def lifted(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Unit vectors with the additional coordinate, padded by zeros."""
+def lifted(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
+    """Unit vectors with the additional coordinate, padded by zeros; `longest`: of each one's range, or None for queries."""
     out = np.zeros((len(x), padded(x.shape[1])))
-    if query:
+    if longest is None:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         out[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     else:
-        out[:, : x.shape[1]] = x / longest
+        out[:, : x.shape[1]] = x / longest[:, None]
         out[:, x.shape[1]] = np.sqrt(np.maximum(0.0, 1.0 - (out**2).sum(axis=1)))
     return out
 
@@ -75,14 +79,23 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def filed(vectors: DataFrame, longest: float, probes: int, query: bool, tables: int) -> DataFrame:
-    """`probes` rows for each vector and table: tab, axis, id, vector."""
+def length(vector: Column) -> Column:
+    """Of a usable vector; scaled, so that squares neither vanish nor overflow."""
+    most = F.array_max(F.transform(vector, F.abs))
+    return F.least(most * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))), F.lit(sys.float_info.max))
+
+
+def filed(vectors: DataFrame, longest: dict[int, float] | None, probes: int, tables: int) -> DataFrame:
+    """`probes` rows for each vector and table: tab, axis, id, vector.
+
+    `vectors`: id, vector and range. `longest`: the longest of each range, or None for queries.
+    """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = lifted(matrix(batch.column(1)), longest, query)
+            x = lifted(matrix(batch.column(1)), None if longest is None else np.array([longest[r] for r in batch.column(2).to_pylist()]))
             for table in range(tables):
                 found = axes(x, table, probes)
                 rows = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
@@ -136,11 +149,12 @@ def search(embeddings: DataFrame, queries: Column, k: int = 20, id_col: str = "v
     if common is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(usable(F.col("vector"), common.dim))
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    longest = float(rows.agg(F.max(F.sqrt(squares))).first()[0] or 1.0)
+    ranged = rows.withColumn("length", length(F.col("vector"))).withColumn("range", F.round(F.log2("length") * RANGES).cast("int"))
+    # Exponents of doubles bound the number of ranges.
+    longest = {r.range: r.longest for r in ranged.groupBy("range").agg(F.max("length").alias("longest")).collect()}
 
-    filed_rows = filed(rows.select("id", "vector"), longest, 1, False, tables)
-    asked = filed(rows.where("is_query").select("id", "vector"), longest, probes, True, tables)
+    filed_rows = filed(ranged.select("id", "vector", "range"), longest, 1, tables)
+    asked = filed(rows.where("is_query").select("id", "vector", F.lit(0).alias("range")), None, probes, tables)
     # One row for each table and axis: a bounded number.
     parts = F.broadcast(filed_rows.groupBy("tab", "axis").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
     blocks = filed_rows.join(parts, ["tab", "axis"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")

@@ -70,3 +70,25 @@ def test_unusable_vectors(spark, table):
     assert cp.search(empty, F.col("vec_id") % 20 == 0).collect() == []
     nothing = spark.createDataFrame([(1, [0.0]), (2, None)], "vec_id long, embedding array<float>")
     assert cp.search(nothing, F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("lengths", ["lognormal", "outlier"])
+def test_recall_with_mixed_lengths(table, lengths):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        x *= rng.lognormal(0, 0.5, (len(x), 1))
+    x[1] *= 100
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    want = exact(rows, lambda i: i % 20 == 0, 20)
+    got = found(cp.search(table("vec_id long, embedding array<double>", rows), F.col("vec_id") % 20 == 0))
+    recall = np.mean([len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) / 20 for q in want])
+    print("recall", lengths, recall)
+    assert recall >= 0.9
+
+
+def test_lengths_beyond_their_squares(table):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [0.0, 1e-200]), (3, [1.0, 2.0])]
+    got = found(cp.search(table("vec_id long, embedding array<double>", rows), F.col("vec_id") == 0, probes=8))
+    assert [i for i, _ in got[0]] == [3, 1, 2]
