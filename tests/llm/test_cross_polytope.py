@@ -92,3 +92,44 @@ def test_lengths_beyond_their_squares(table):
     rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [0.0, 1e-200]), (3, [1.0, 2.0])]
     got = found(cp.search(table("vec_id long, embedding array<double>", rows), F.col("vec_id") == 0, probes=8))
     assert [i for i, _ in got[0]] == [3, 1, 2]
+
+
+@pytest.mark.parametrize("n", [8, 15, 21])
+def test_few_vectors_are_all_found(table, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    rows = [(i, v) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist())]
+    got = found(cp.search(table("vec_id long, embedding array<double>", rows), F.lit(True)))
+    want = exact(rows, lambda i: True, 20)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+
+
+def test_queries_that_find_too_few_meet_all(table, monkeypatch):
+    monkeypatch.setattr(cp, "BLOCK", 16)  # several blocks of both
+    x = np.random.default_rng(3).normal(size=(60, 64))
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = found(cp.search(table("vec_id long, embedding array<double>", rows), F.col("vec_id") < 40, tables=1, probes=1))
+    want = exact(rows, lambda i: i < 40, 20)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+
+
+def test_many_rows_of_one_id_leave_room_for_others(table):
+    rows = [(0, [1.0, 0.0])] + [(1, [5.0, 0.1])] * 30 + [(i, [1.0, 0.1]) for i in range(2, 9)]
+    got = found(cp.search(table("vec_id long, embedding array<double>", rows), F.col("vec_id") == 0, k=5))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5]
+
+
+def test_probes_follow_the_dimension():
+    assert [cp.probes_for(d, 5000, 20, 8) / (2 * cp.padded(d)) > cp.LEAST_PROBES for d in (64, 256, 768)] == [True] * 3
+    rng = np.random.default_rng(5)
+    for size in (128, 512):  # every signed axis is among as many probes
+        assert sorted(cp.axes(rng.normal(size=(1, size)), 0, 2 * size)[0].tolist()) == list(range(2 * size))
+
+
+def test_recall_in_many_dimensions(table):
+    x = np.random.default_rng(6).normal(size=(1500, 256))
+    rows = [(i, v) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist())]
+    want = exact(rows, lambda i: i % 100 == 0, 20)
+    got = found(cp.search(table("vec_id long, embedding array<double>", rows), F.col("vec_id") % 100 == 0))
+    recall = np.mean([len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) / 20 for q in want])
+    print("recall256", recall)
+    assert recall >= 0.95
