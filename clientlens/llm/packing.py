@@ -56,7 +56,7 @@ class Words:
     """Ids of texts by a vocabulary whose tokenizer works on single words.
 
     In lower case, it takes runs of letters, single digits and runs of other characters each by itself. Texts of usual Latin
-    characters are split into these runs here; a run is given to the tokenizer when it is first met, all new ones in one call,
+    characters and without names of added tokens are split into these runs here; a run is given to the tokenizer when it is first met, all new ones in one call,
     where the vocabulary's word ends tell their ids apart. Any other text is given to the tokenizer as it is.
     """
 
@@ -64,10 +64,12 @@ class Words:
     ODD = regex.compile(r"[^\x01-\x1B\x20-\u012F\u0131-\u017F\u2010-\u2027\u2030-\u205E\u20AC]")
     RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: bool = False):
+        """`added`: names of added tokens in a text are these tokens, as for the tokenizer itself; else they are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         # New runs are lower case already, stand between spaces, and no run comes twice: that needs no memory of the model's own.
         with open(vocabulary, encoding="utf-8") as file:
             model = json.load(file)["model"]
@@ -146,8 +148,9 @@ class Words:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """All ids of each text, and the end of the document, as little-endian 32-bit numbers."""
+        named = [bool(t) and any(name in t.lower() for name in self.added) for t in texts]
         plain = [t and t.isascii() and "'" not in t for t in texts]
-        usual = [i for i, t in enumerate(texts) if t and (plain[i] or not self.ODD.search(t))]
+        usual = [i for i, t in enumerate(texts) if t and not named[i] and (plain[i] or not self.ODD.search(t))]
         try:
             found = self.usual([texts[i] for i in usual]) if usual else []
         except ValueError:  # some plain text has a control character, which is looked for only now
@@ -166,7 +169,7 @@ def cut(docs: DataFrame, vocabulary: str, tokens: int, id_col: str = "doc_id", t
     """Pieces of documents: row, doc_id, piece, start, length, ids_crc32."""
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary)
+        words = Words(vocabulary, added=True)
         for batch in batches:
             rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, at = [], 0

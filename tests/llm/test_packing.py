@@ -94,3 +94,14 @@ def test_several_groups(table, tokenizer, monkeypatch):
 def test_capacity_must_take_a_piece(awkward):
     with pytest.raises(ValueError):
         packing.pack_documents(awkward, VOCABULARY, packing.Capacity(attention=5))
+
+
+def test_added_tokens_are_those_of_the_plain_tokenizer(table):
+    plain = Tokenizer.from_file(VOCABULARY)
+    assert plain.encode("end <|endoftext|> of", add_special_tokens=False).ids == [806, 49407, 539]
+    rows = [(1, "end <|endoftext|> of"), (2, "<|startoftext|>" * 3 + " don't"), (3, "end <|ENDOFTEXT|> of"), (4, "<|endoftext"), (5, "中<|endoftext|>")]
+    check(rows, packing.pack_documents(table("doc_id long, text string", rows), VOCABULARY).collect(), plain)
+    rng, words = random.Random(7), packing.Words(VOCABULARY, added=True)
+    for _ in range(300):
+        text = "".join(rng.choice([*BITS, "<|startoftext|>", "<|", "|>"]) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END], repr(text)
