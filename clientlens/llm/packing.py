@@ -5,7 +5,7 @@ document, and attention cost (the square of its length). Pieces go, longest firs
 has room in every dimension and is left with the smallest weighted norm of what remains (or has the largest weighted
 dot-product of room and size); where none has room, a sequence is opened.
 
-Pieces are dealt to groups of about GROUP by a hash. Groups are packed side by side, and each leaves at most a few sequences unfilled.
+Full pieces are sequences by themselves. The others are dealt to groups of about GROUP by a hash. Groups are packed side by side, and each leaves at most a few sequences unfilled.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from .rows import stored
 from .texts import in_small_batches, pieces
 
 GROUP = 8_192  # pieces packed together
@@ -243,5 +244,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: Capacity = Capaci
     """
     if capacity.documents < 1 or capacity.attention < capacity.tokens**2:
         raise ValueError("a full piece must fit into an empty sequence")
-    n_groups = max(1, -(-docs.count() // GROUP))
-    return pack(cut(docs, vocabulary, capacity.tokens, id_col, text_col), n_groups, capacity)
+    parts = stored(cut(docs, vocabulary, capacity.tokens, id_col, text_col), "pieces")
+    is_full = F.col("length") == capacity.tokens
+    n_groups = max(1, -(-parts.where(~is_full).count() // GROUP))
+    own = F.monotonically_increasing_id() + F.lit(n_groups * 2**32)  # beyond the sequences of all groups
+    full = parts.where(is_full).drop("row").withColumn("sequence_id", own).withColumn("offset", F.lit(0).cast("long"))
+    return pack(parts.where(~is_full), n_groups, capacity).unionByName(full)

@@ -105,3 +105,18 @@ def test_added_tokens_are_those_of_the_plain_tokenizer(table):
     for _ in range(300):
         text = "".join(rng.choice([*BITS, "<|startoftext|>", "<|", "|>"]) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END], repr(text)
+
+
+def test_groups_follow_pieces(table, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    counts = []
+    real = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda parts, n, capacity: counts.append((parts.count(), n)) or real(parts, n, capacity))
+    # Few documents of many pieces, and many short ones: only pieces that are not full are dealt to groups.
+    rows = [(i, "alpha beta " * 500) for i in range(3)] + [(i, "alpha " * (i % 9)) for i in range(3, 103)]
+    limit = packing.Capacity(tokens=32, documents=8, attention=32 * 32)
+    got = packing.pack_documents(table("doc_id long, text string", rows), VOCABULARY, limit).collect()
+    check(rows, got, tokenizer, 32)
+    assert counts == [(103, 6)]
+    full = [r for r in got if r.length == 32]
+    assert len(full) == 3 * 31 and {r.offset for r in full} == {0} and len({r.sequence_id for r in full}) == len(full)
