@@ -29,10 +29,13 @@ KINDS = (*BASE_KINDS, "account", "secret", "url")
 # Words before which an account number or a secret is likely.
 CUES = {
     "account": ("account", "acct", "iban", "passport", "ssn"),
-    "secret": ("api_key", "apikey", "password", "secret", "token"),
+    "secret": ("api_key", "api-key", "api key", "apikey", "password", "secret", "token"),
 }
 GAP = frozenset(" \t:=#\"'.")  # between a cue and its value
 GAP_MOST = 6
+JOINING = frozenset(("number", "no", "nr", "num", "is", "key"))  # words that may stand there, too
+JOINING_MOST = 3
+IBAN_LENGTHS = range(15, 35)
 VALUE = LETTERS | DIGITS | frozenset("-_")
 ACCOUNT_DIGITS, SECRET_LENGTH = 6, 12  # a value with fewer is none
 
@@ -119,12 +122,35 @@ def url(text: str, at: int, floor: int) -> tuple[int, int] | None:
 
 
 def value_after(text: str, at: int) -> tuple[int, int]:
-    """The value that follows a cue which ends before `at`."""
-    start = at
-    while start < min(len(text), at + GAP_MOST) and text[start] in GAP:
-        start += 1
-    end = run(text, start, VALUE)
-    return (start, end) if start > at else (at, at)
+    """The value that follows a cue which ends before `at`, behind words that join the two."""
+    for joining in range(JOINING_MOST + 1):
+        start = at
+        while start < min(len(text), at + GAP_MOST) and text[start] in GAP:
+            start += 1
+        if start == at:
+            return at, at
+        at = run(text, start, LETTERS)
+        if joining == JOINING_MOST or text[start:at].lower() not in JOINING or text[at : at + 1] not in GAP:
+            break
+    return start, run(text, start, VALUE)
+
+
+def iban(text: str, start: int) -> int | None:
+    """The end of the longest valid IBAN from `start` on, with at most one space between two characters."""
+    if not (text[start : start + 2].isalpha() and set(text[start + 2 : start + 4]) <= DIGITS):
+        return None
+    at, found, chars = start, None, ""
+    while at < len(text) and len(chars) < IBAN_LENGTHS[-1]:
+        if text[at] == " " and text[at - 1] != " ":
+            at += 1
+            continue
+        if text[at] not in LETTERS and text[at] not in DIGITS:
+            break
+        chars, at = chars + text[at].upper(), at + 1
+        if len(chars) in IBAN_LENGTHS and text[at : at + 1] not in VALUE:
+            if int("".join(str(int(c, 36)) for c in chars[4:] + chars[:4])) % 97 == 1:
+                found = at
+    return found
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -133,7 +159,7 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(key, (kind, len(key)))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
+            for form in {cue, cue.capitalize(), cue.upper(), cue.replace("api", "API")}:
                 a.add_word(form, (kind, len(form)))
     a.make_automaton()
     return a
@@ -172,12 +198,18 @@ def scan(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
                 past["url"] = found[1]
         else:
             start, end = value_after(text, last + 1)
+            if start < past[kind]:
+                continue
             value = text[start:end]
-            if start >= past[kind] and (
-                sum(c in DIGITS for c in value) >= ACCOUNT_DIGITS
-                if kind == "account"
-                else len(value) >= SECRET_LENGTH and any(c in DIGITS for c in value)
-            ):
+            if kind == "account":
+                whole = iban(text, start)
+                end = whole or end
+                # What is called an IBAN must be one.
+                valid = whole or (text[at : last + 1].lower() != "iban" and sum(c in DIGITS for c in value) >= ACCOUNT_DIGITS)
+            else:
+                told = any(c in ":=" for c in text[last + 1 : start])
+                valid = len(value) >= SECRET_LENGTH and (told or any(c in DIGITS for c in value))
+            if valid:
                 spans[kind].append((start, end))
                 past[kind] = end
     return [(kind, *span) for kind in KINDS for span in spans[kind]]

@@ -54,3 +54,19 @@ def test_awkward_rows(table, awkward, empty):
             assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
             assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in want) for k in pii.BASE_KINDS]
     assert pii.find_personal_data(empty).collect() == []
+
+
+def test_usual_spellings_of_accounts_and_secrets():
+    for text, kind, value in (
+        ("Account number: 12345678", "account", "12345678"),
+        ("account no. 12345678 is closed", "account", "12345678"),
+        ("IBAN: DE89 3704 0044 0532 0130 00, please", "account", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN is GB82 WEST 1234 5698 7654 32 and more", "account", "GB82 WEST 1234 5698 7654 32"),
+        ("API key: a8f5f167f44f4964e6c9", "secret", "a8f5f167f44f4964e6c9"),
+        ("password is b7db7aa4a5fcc78305", "secret", "b7db7aa4a5fcc78305"),
+        ("password: correcthorsebattery", "secret", "correcthorsebattery"),
+    ):
+        found = [(k, text[a:b]) for k, a, b in pii.scan(text, pii.automaton()) if k in ("account", "secret")]
+        assert found == [(kind, value)], text
+    for text in ("IBAN: DE88 3704 0044 0532 0130 00", "the secret organisation", "account no", "account number"):
+        assert not [k for k, *_ in pii.scan(text, pii.automaton()) if k in ("account", "secret")], text
