@@ -10,7 +10,6 @@ Full pieces are sequences by themselves. The others are dealt to groups of about
 
 from __future__ import annotations
 
-import json
 import os
 import unicodedata
 import zlib
@@ -24,16 +23,17 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .rows import stored
 from .texts import in_small_batches, pieces
 
 GROUP = 8_192  # pieces packed together
-BYTES = 1_500_000  # of text split at once
+BYTES = 500_000  # of text split at once
 END = 0  # the id after each document
 SPACE, LETTER, DIGIT, OTHER, LINE, CONTROL = range(6)
-CACHE = 1_000_000  # runs remembered in a task, at most, besides those of the texts at hand
+CACHE = 16_000_000  # bytes of runs remembered in a task, at most, besides those of the texts at hand
+RUN_COST = 230  # bytes that a remembered run takes beside its characters and ids
 
 
 @dataclass(frozen=True)
@@ -72,11 +72,9 @@ class Words:
         self.tokenizer.encode_special_tokens = not added
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         # New runs are lower case already, stand between spaces, and no run comes twice: that needs no memory of the model's own.
-        with open(vocabulary, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        bpe = models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
-        self.splitting = Tokenizer(bpe)
+        # The two share one model, so the vocabulary is held once.
+        self.tokenizer.model._resize_cache(0)
+        self.splitting = Tokenizer(self.tokenizer.model)
         self.splitting.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
@@ -98,6 +96,7 @@ class Words:
         """Only the end of a text is known, which is that of the document, and nothing at all."""
         self.known = {"\n": 0, "": 1}
         self.flat, self.starts, self.sizes = np.array([END], dtype="<u4"), np.array([0, 0]), np.array([1, 0])
+        self.held = 0
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -113,6 +112,7 @@ class Words:
         self.starts = np.append(self.starts, len(self.flat) + ends - sizes)
         self.sizes = np.append(self.sizes, sizes)
         self.flat = np.append(self.flat, ids)
+        self.held += RUN_COST * len(runs) + sum(map(len, runs)) + 4 * len(ids)
 
     def split(self, texts: list[str]) -> pa.Array:
         """Runs of texts in lower case, a line end after each text."""
@@ -138,7 +138,7 @@ class Words:
             runs = self.split(lower)
         runs = runs.dictionary_encode()
         distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) + len(distinct) > CACHE:
+        if self.held > CACHE:
             self.forget()
         if new := [run for run in distinct if run not in self.known]:
             self.learn(new)
