@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 
+SAMPLE = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE_VIEWS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 

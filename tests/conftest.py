@@ -8,12 +8,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from compare import SAMPLE  # noqa: E402
+
 from clientlens.plans.mapping import SampleTables, SnapshotTables, extract  # noqa: E402
 from clientlens.session import local_session  # noqa: E402
 from clientlens.sources.workdir import shared_folder  # noqa: E402
 
-SAMPLE = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():

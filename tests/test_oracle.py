@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from compare import SAMPLE_VIEWS, duckdb_table, spark_table
-from conftest import SAMPLE
+from compare import SAMPLE, SAMPLE_VIEWS, duckdb_table, spark_table
 
 from clientlens.plans.catalog import BUILDERS, CATALOG
 from clientlens.plans.oracle import ORACLE
