@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii, rlz
+from . import cross_polytope, delta_kmeans, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii, rlz
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,6 +64,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.remove_repeats(table(spark, sf_dir, "documents")).drop("factors")
 
 
+def op11_delta_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES = {
         op8_source_mixing,
         op9_cross_polytope,
         op10_substring_dedup,
+        op11_delta_kmeans,
     )
 }
 
@@ -115,4 +120,5 @@ ORACLE = {
         done AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS kept FROM covered GROUP BY doc_id)
       SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
       FROM t LEFT JOIN done USING (doc_id)""",
+    "op11_delta_kmeans": delta_kmeans.cluster_sql(),
 }
