@@ -9,9 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, delta_kmeans, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii, rlz
+from . import cross_polytope, delta_kmeans, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii, rlz, token_alignment
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,10 @@ def op11_delta_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES = {
         op9_cross_polytope,
         op10_substring_dedup,
         op11_delta_kmeans,
+        op13_token_alignment,
     )
 }
 
