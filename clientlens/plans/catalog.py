@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +115,34 @@ def _(t):
     )
 
 
+@query("s1_merge_by_key")
+def _(t):
+    """Invoices, into which changes are merged by key: a year that goes, rows that move to other years, changed and new rows."""
+    folder, number, year = f"{_run_folder(t.spark)}/invoice", F.col("trans_no"), F.year("tran_date")
+    rows = t["invoice"].select("trans_no", "trans_type", "tran_date", "ov_amount")
+    snapshots.write_snapshot(rows, folder, "tran_date", key=schemas.KEY["invoice"])
+    gone = year == CHANGED_YEAR
+    moved = (number % 50 == 0) & ~gone & (year != CHANGED_YEAR - 1)
+    changes = rows.filter(gone | moved | (number % 50 == 1)).withColumns(
+        {
+            "tran_date": F.when(moved, F.add_months("tran_date", 12)).otherwise(F.col("tran_date")),
+            "ov_amount": (F.col("ov_amount") * 2).cast("decimal(18,4)"),
+            "deleted": gone,
+        }
+    )
+    new = rows.filter((number % 50 == 2) & ~gone).withColumns({"trans_type": F.lit(11), "deleted": F.lit(False)})
+    snapshots.merge_snapshot(changes.unionByName(new), folder, deleted="deleted")
+    return (
+        snapshots.read_snapshot(t.spark, folder)
+        .groupBy(F.col("tran_date_year").alias("year"), "trans_type")
+        .agg(
+            F.count("*").alias("invoices"),
+            F.count_distinct("trans_no").alias("numbers"),
+            report_money(F.sum("ov_amount")).alias("amount"),
+        )
+    )
+
+
 def _source_form(df: DataFrame, table: str) -> DataFrame:
     """A logical table as its source would give it: its names, texts, times of day and junk dates."""
     names = schemas.schema(table).fieldNames()
@@ -216,6 +245,22 @@ def _(t):
     return state.read_state(t.spark, folder, schemas.schema("idle_clients_tracking"))
 
 
+@query("s6_two_writers")
+def _(t):
+    """Three runs at once, each of which adds a division's clients to one state: none is lost."""
+    folder, declared = f"{_run_folder(t.spark)}/inactive_tracking", schemas.schema("inactive_tracking")
+    logged = F.lit(f"{STATE_DAY} 06:00:00").cast("timestamp")
+    tracked = _tracked(t).withColumn("logged_at", logged).select(*declared.fieldNames())
+
+    def add(division: int) -> int:
+        own = tracked.filter(F.col("division_id") == division)
+        return state.update_state(t.spark, folder, declared, lambda known: known.unionByName(own))
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(add, (225, 3, 10)))
+    return state.read_state(t.spark, folder, declared)
+
+
 def _a_year_ago(t, day: str) -> SampleTables:
     """The tables with the activity that was known on an earlier day."""
     before = SampleTables(t.spark, t.directory)

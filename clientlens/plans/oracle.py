@@ -746,6 +746,22 @@ QUERIES = {
         SELECT CAST(YEAR(tran_date) AS INTEGER) AS year, COUNT(*) AS invoices,
                {money("SUM(CASE WHEN YEAR(tran_date) = 1996 THEN 2 ELSE 1 END * ov_amount)")} AS amount
         FROM g_invoice GROUP BY 1""",
+    "s1_merge_by_key": f"""
+        WITH merged AS (
+            SELECT trans_no, 10 AS trans_type, tran_date, ov_amount FROM g_invoice
+            WHERE YEAR(tran_date) <> 1996 AND (trans_no % 50 > 1 OR trans_no % 50 = 0 AND YEAR(tran_date) = 1995)
+            UNION ALL SELECT trans_no, 10, tran_date, 2 * ov_amount FROM g_invoice
+            WHERE YEAR(tran_date) <> 1996 AND trans_no % 50 = 1
+            UNION ALL SELECT trans_no, 10, CAST(tran_date + INTERVAL 12 MONTH AS DATE), 2 * ov_amount FROM g_invoice
+            WHERE YEAR(tran_date) NOT IN (1995, 1996) AND trans_no % 50 = 0
+            UNION ALL SELECT trans_no, 11, tran_date, ov_amount FROM g_invoice
+            WHERE YEAR(tran_date) <> 1996 AND trans_no % 50 = 2)
+        SELECT CAST(YEAR(tran_date) AS INTEGER) AS year, trans_type, COUNT(*) AS invoices,
+               COUNT(DISTINCT trans_no) AS numbers, {money("SUM(ov_amount)")} AS amount
+        FROM merged GROUP BY 1, 2""",
+    "s6_two_writers": f"""
+        SELECT debtor_no, division_id, last_job_date, TIMESTAMP '2000-11-04 06:00:00' AS logged_at
+        FROM ({inactive(ACTIVE_FROM, f"job_date <= {ACTIVE_FROM}")}) WHERE division_id IN (225, 3, 10)""",
     "s6_state_round_trip": JULY,
     "s7_update_tracking": f"""
         WITH tracked AS (SELECT debtor_no, division_id, last_job_date FROM ({inactive(ACTIVE_FROM, f"job_date <= {ACTIVE_FROM}")})),

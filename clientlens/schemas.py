@@ -142,6 +142,28 @@ KEEP_DAY = {"client": ("added_date",), "dimension": ("added_date",)}
 # Fact snapshots are laid out by year of this column, so date windows prune whole folders.
 YEAR_OF = {**FLOOR_COLUMN, "payment_allocation": "date_alloc"}
 
+# The columns that tell the rows of a source table apart.
+KEY = {
+    "client": ("debtor_no",),
+    "temp_client": ("temp_clients_id",),
+    "sales_order": ("order_no",),
+    "sales_order_reference": ("sales_order_reference_id",),
+    "payment_allocation": ("id",),
+    "client_status": ("id",),
+    "client_type": ("id",),
+    "credit_period": ("debtor_no",),
+    "country": ("id",),
+    "region": ("id",),
+    "dimension": ("id",),
+    "enquiry": ("client_enquiry_id",),
+    "invoice": ("trans_no", "trans_type"),
+    "credit_note": ("trans_no", "type"),
+    "client_activity": ("id",),
+    "activity_code_activity": ("id",),
+    "job_activity": ("id",),
+    "enquiry_job_activity": ("id",),
+}
+
 
 def schema(table: str) -> StructType:
     """Struct type of a table; needs a running Spark context to parse the declaration."""

@@ -1,4 +1,4 @@
-"""Source tables in, Parquet snapshots out, snapshots back in."""
+"""Source tables in, Parquet snapshots out, changes merged into snapshots, snapshots back in."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from clientlens import schemas
 from clientlens.functions import midnight_date
 from clientlens.operators.slices import year_folder
-from clientlens.sources.state import complete
+from clientlens.sources import commits
 
 
 def read_relational(
@@ -27,7 +27,7 @@ def read_relational(
     partitions: int,
     properties: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """A source table over JDBC, read in parallel by ranges of a numeric key."""
+    """A source table over JDBC, read in parallel by ranges of a numeric key of equal width."""
     return spark.read.jdbc(
         url,
         table,
@@ -39,6 +39,40 @@ def read_relational(
     )
 
 
+def equal_depth(known: DataFrame, key: str, partitions: int, error: float = 0.001) -> list[float]:
+    """Bounds that cut the keys of a table into ranges of about as many rows each.
+
+    `known`: the last snapshot of the table, which has nearly the keys that its source has. `error`: by what share of all rows
+    a bound may be off. Keys that hold more than a range's rows make fewer, larger ranges.
+    """
+    cuts = [i / partitions for i in range(1, partitions)]
+    return sorted(set(known.select(F.col(key).cast("double").alias(key)).approxQuantile(key, cuts, error))) if cuts else []
+
+
+def key_ranges(key: str, bounds: Iterable[float]) -> list[str]:
+    """Conditions that every row meets one of: below the first bound or without key, between two, from the last on."""
+    shown = [str(int(b)) if float(b).is_integer() else repr(float(b)) for b in sorted(set(bounds))]
+    if not shown:
+        return ["1 = 1"]
+    between = [f"{key} >= {low} AND {key} < {high}" for low, high in zip(shown, shown[1:])]
+    return [f"{key} < {shown[0]} OR {key} IS NULL", *between, f"{key} >= {shown[-1]}"]
+
+
+def read_relational_ranges(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    key: str,
+    bounds: Iterable[float],
+    properties: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """A source table over JDBC, a task for each range of its key.
+
+    Ranges of equal width put a dense stretch of keys into one task; with the bounds of `equal_depth` each gets as many rows.
+    """
+    return spark.read.jdbc(url, table, predicates=key_ranges(key, bounds), properties=dict(properties or {}))
+
+
 def _typed(df: DataFrame, field: T.StructField, keep_day: bool) -> Column:
     col, kind = F.col(field.name), df.schema[field.name].dataType
     if kind == field.dataType:
@@ -99,69 +133,211 @@ def extract_table(df: DataFrame, table: str, floor: date | None = None) -> DataF
     )
 
 
-# A snapshot is a folder of versions: v000001 is a whole table, p000002-2023-2024 new rows for these years. A version
-# counts once it is complete, so readers never see a table half written, and a failed write changes nothing.
-_WHOLE, _YEARS = "v", "p"
+# A snapshot is a folder of committed manifests (see `commits`). A manifest holds the schema and, of each year, which write holds its rows, how
+# many they are, and the range of their key. Writes are folders that never change: rows/write=<name>/<year folder>.
+# Readers never see a table half written, and a failed write changes nothing.
+_ROWS, _WRITE, _NO_YEAR = "rows", "write", "__HIVE_DEFAULT_PARTITION__"
+
+
+def _year_name(year: int | None) -> str:
+    return _NO_YEAR if year is None else str(year)
 
 
-def _number(name: str) -> int:
-    return int(name[1:].split("-")[0])
+def _write_rows(df: DataFrame, path: str, year_of: str | None) -> str:
+    """Write rows to a folder of their own, by year if there is a date to go by; returns its name."""
+    name = commits.fresh("w")
+    target = f"{path}/{_ROWS}/{_WRITE}={name}"
+    if year_of is None:
+        df.write.parquet(target)
+        return name
+    year = year_folder(year_of)
+    (
+        df.withColumn(year, F.year(year_of))
+        .hint("rebalance", F.col(year))
+        .sortWithinPartitions(year, year_of)
+        .write.partitionBy(year)
+        .parquet(target)
+    )
+    return name
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    names = [n for n in complete(spark, path) if n[:1] in (_WHOLE, _YEARS) and n[1:].replace("-", "").isdigit()]
-    return sorted(names, key=_number)
+def _with_year(schema: T.StructType, year_of: str | None) -> T.StructType:
+    year = [T.StructField(year_folder(year_of), T.IntegerType())] if year_of else []
+    return T.StructType([*(f for f in schema if not year or f.name != year[0].name), *year])
+
+
+def _read_parts(
+    spark: SparkSession, path: str, parts: Mapping[str, Mapping], schema: T.StructType, year_of: str | None
+) -> DataFrame:
+    """The rows of some parts of a manifest, as one scan whose year folders Spark can prune."""
+    full = _with_year(schema, year_of)
+    if not parts:
+        return spark.createDataFrame([], full)
+    within = (lambda name: f"/{year_folder(year_of)}={name}") if year_of else (lambda name: "")
+    folders = [f"{path}/{_ROWS}/{_WRITE}={part[_WRITE]}{within(name)}" for name, part in parts.items()]
+    typed = T.StructType([*full, T.StructField(_WRITE, T.StringType())])
+    return spark.read.schema(typed).option("basePath", f"{path}/{_ROWS}").parquet(*folders).select(*full.fieldNames())
+
+
+def _parts(spark: SparkSession, path: str, name: str, schema: T.StructType, year_of: str | None, key: list[str]) -> dict[str, dict]:
+    """The parts of one write: number of rows and, of a whole-numbered first key column, the range, for each year."""
+    target = f"{path}/{_ROWS}/{_WRITE}={name}"
+    full = _with_year(schema, year_of)
+    rows = spark.read.schema(full).parquet(target)
+    ranged = bool(key) and isinstance(schema[key[0]].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    least, most = (F.min(key[0]), F.max(key[0])) if ranged else (F.lit(None), F.lit(None))
+    by = [F.col(year_folder(year_of)).alias("_year")] if year_of else []
+    found = rows.groupBy(*by).agg(F.count("*").alias("_rows"), least.alias("_least"), most.alias("_most")).collect()
+    return {
+        _year_name(r["_year"]) if year_of else "": {_WRITE: name, "rows": r["_rows"], "least": r["_least"], "most": r["_most"]}
+        for r in found
+    }
+
+
+def _manifest(schema: T.StructType, year_of: str | None, key: list[str], parts: Mapping[str, Mapping]) -> dict:
+    return {"schema": schema.jsonValue(), "year_of": year_of, "key": key, "parts": dict(parts)}
 
 
 def write_snapshot(
-    df: DataFrame, path: str, year_of: str | None = None, years: Iterable[int] | None = None
-) -> None:
-    """The next version of a snapshot; with `year_of`, one folder per year of that date column.
+    df: DataFrame, path: str, year_of: str | None = None, years: Iterable[int] | None = None, key: Iterable[str] = ()
+) -> int:
+    """The next version of a snapshot, which is returned; with `year_of`, one folder per year of that date column.
+
+    With `years`, only rows of these years are written, and they replace those of the earlier version, also where there are none any more; all
+    other years stay as they are. With a `key` besides, rows of other years whose key is written go too: they moved. Without one, a
+    row that moved into the years stands in its old year as well, unless that is named too.
 
-    With `years`, only rows of these years are written, and they replace those of the earlier versions; all other years stay
-    as they are. The rebalance hint lets AQE split a year that holds most of the rows over many tasks and files, and merge small
+    The rebalance hint lets AQE split a year that holds most of the rows over many tasks and files, and merge small
     ones. Rows are sorted by date inside each file, so that the Parquet statistics prune row groups within a year.
     """
-    known = _versions(df.sparkSession, path)
-    number = (_number(known[-1]) if known else 0) + 1
+    spark, key = df.sparkSession, list(key)
+    if year_of is None or years is None:
+        name = _write_rows(df, path, year_of)
+        parts = _parts(spark, path, name, df.schema, year_of, key)
+        return commits.commit(spark, path, lambda number, entry: _manifest(df.schema, year_of, key, parts))
+    years = sorted(set(years))
+    rows = df.filter(F.year(year_of).isin(*years))
+    if key and commits.numbers(spark, path):
+        return merge_snapshot(rows, path, key, years=years)
+    name = _write_rows(rows, path, year_of)
+    parts = _parts(spark, path, name, df.schema, year_of, key)
+
+    def manifest(number: int, entry: dict | None) -> dict:
+        kept = {y: part for y, part in (entry or {"parts": {}})["parts"].items() if y not in map(str, years)}
+        return _manifest(df.schema, year_of, key, {**kept, **parts})
+
+    return commits.commit(spark, path, manifest)
+
+
+def merge_snapshot(
+    changes: DataFrame,
+    path: str,
+    key: Iterable[str] | None = None,
+    deleted: str | None = None,
+    years: Iterable[int] = (),
+    tries: int = commits.TRIES,
+) -> int:
+    """Put changed and new rows into a snapshot and take deleted ones out, by key; returns the version.
+
+    `changes` has the snapshot's columns and, with `deleted`, a boolean of that name: such rows only name a key that goes. A row replaces all rows
+    with its key, in whatever year they stand, so one whose date moved to another year counts once. Only years that lose or get rows
+    are written again. All rows of `years` go, but for those in `changes`. `key`: by default the one the snapshot was written with.
+
+    Where a changed key stands now is looked up in years whose key range holds a changed key, reading the key alone. Null keys
+    and keys that `changes` holds twice are an error. If another writer commits meanwhile, the merge is worked out again on that version.
+    """
+    spark = changes.sparkSession
+    if not commits.numbers(spark, path):
+        raise ValueError(f"there is no snapshot in {path}")
+    staged = f"{path}/{commits.fresh('_staged')}"
+    changes.write.parquet(staged)
+    changes = spark.read.schema(changes.schema).parquet(staged)
+    try:
+        for _ in range(tries):
+            number, entry = commits.latest(spark, path)
+            by = list(key or entry["key"])
+            if not by:
+                raise ValueError("a merge needs a key")
+            _check_keys(changes, by)
+            made = _merged(changes, path, entry, by, deleted, {str(y) for y in years})
+            if made is None:
+                return number
+            if commits.try_commit(spark, path, number + 1, made):
+                return number + 1
+            for write in {part[_WRITE] for part in made["parts"].values()} - {part[_WRITE] for part in entry["parts"].values()}:
+                commits.discard(spark, f"{path}/{_ROWS}/{_WRITE}={write}")
+        raise commits.Conflict(f"{tries} times another writer was faster in {path}")
+    finally:
+        commits.discard(spark, staged)
+
+
+def _check_keys(changes: DataFrame, key: list[str]) -> None:
+    missing = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+    twice = changes.groupBy(*key).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) | missing).limit(1).collect()
+    if twice:
+        raise ValueError(f"the changes hold {[twice[0][k] for k in key]} as {key} {twice[0]['_n']} times; a key must be there once and not be null")
+
+
+def _merged(
+    changes: DataFrame, path: str, entry: Mapping, key: list[str], deleted: str | None, emptied: set[str]
+) -> dict | None:
+    """The manifest after a merge, its new rows written; None if nothing changes."""
+    spark, year_of = changes.sparkSession, entry["year_of"]
+    schema, parts = T.StructType.fromJson(entry["schema"]), entry["parts"]
+    keys = changes.select(*key)
+    live = changes if deleted is None else changes.filter(~F.coalesce(F.col(deleted), F.lit(False)))
+    live = live.select(*schema.fieldNames())
+
+    ranges = {name: F.max(F.col(key[0]).between(p["least"], p["most"])) for name, p in parts.items() if p["least"] is not None}
+    inside = keys.agg(F.count("*").alias("_n"), *[c.alias(f"_in_{name}") for name, c in ranges.items()]).first()
+    if not inside["_n"] and not emptied & parts.keys():
+        return None
+    maybe = {n: p for n, p in parts.items() if n not in emptied and (inside[f"_in_{n}"] if n in ranges else inside["_n"] and p["rows"])}
     if year_of is None:
-        df.write.mode("overwrite").parquet(f"{path}/{_WHOLE}{number:06d}")
-        return
-    year, name = year_folder(year_of), f"{_WHOLE}{number:06d}"
-    if years is not None:
-        years = sorted(set(years))
-        name = "-".join([f"{_YEARS}{number:06d}", *map(str, years)])
-        df = df.filter(F.year(year_of).isin(*years))
-    (
-        df.withColumn(year, F.year(year_of))
-        .hint("rebalance", F.col(year))
-        .sortWithinPartitions(year, year_of)
-        .write.mode("overwrite")
-        .partitionBy(year)
-        .parquet(f"{path}/{name}")
-    )
+        touched = {""}
+    else:
+        year = F.col(year_folder(year_of))
+        held = _read_parts(spark, path, maybe, schema, year_of).select(*key, year.alias("_year")).join(keys, key, "left_semi")
+        moved_in = live.select(F.year(year_of).alias("_year"))
+        # One row for each year.
+        touched = emptied | {_year_name(r["_year"]) for r in held.select("_year").unionAll(moved_in).distinct().collect()}
+    stay = {n: p for n, p in parts.items() if n in touched and n not in emptied and p["rows"]}
+    survivors = _read_parts(spark, path, stay, schema, year_of).select(*schema.fieldNames()).join(keys, key, "left_anti")
+    name = _write_rows(survivors.select(*schema.fieldNames()).unionByName(live), path, year_of)
+    written = _parts(spark, path, name, schema, year_of, key)
+    return _manifest(schema, year_of, entry["key"] or key, {**{n: p for n, p in parts.items() if n not in touched}, **written})
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, year_of: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    year_of: str | None = None,
+    version: int | None = None,
 ) -> DataFrame:
-    """The newest whole version, with the years that later versions replaced."""
-    known = _versions(spark, path)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    whole = [n for n in known if n[0] == _WHOLE]
-    if not known:
-        return reader.parquet(path)
-    later = [n for n in known if n[0] == _YEARS and (not whole or _number(n) > _number(whole[-1]))]
-    replaced: set[int] = set()
-    parts = []
-    for name in reversed([*whole[-1:], *later]):
-        part = reader.parquet(f"{path}/{name}")
-        if replaced and year_of is not None:
-            year = F.col(year_folder(year_of))
-            part = part.filter(year.isNull() | ~year.isin(*sorted(replaced)))
-        parts.append(part)
-        replaced |= {int(y) for y in name.split("-")[1:]}
-    return reduce(DataFrame.unionByName, parts)
+    """The newest version, or the one asked for; a folder of plain Parquet files is read as it is.
+
+    The columns are those of `schema`, by default of the snapshot itself, and the year where it is laid out by year.
+    """
+    entry = commits.latest(spark, path)[1] if version is None else commits.record(spark, path, version)
+    if entry is None:
+        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+    return _read_parts(spark, path, entry["parts"], schema or T.StructType.fromJson(entry["schema"]), entry["year_of"])
+
+
+def clean_up(spark: SparkSession, path: str, keep: int = 2, idle_hours: float = 24) -> list[str]:
+    """Remove the writes that no version but the last `keep` needs; returns their names.
+
+    Writes into which something was written within `idle_hours` stay, since they may be about to be committed.
+    """
+    known = commits.numbers(spark, path)
+    needed = {part[_WRITE] for n in known[-keep:] for part in commits.record(spark, path, n)["parts"].values()}
+    idle = {name.removeprefix(f"{_WRITE}="): hours for name, hours in commits.children(spark, f"{path}/{_ROWS}").items()}
+    old = sorted(name for name, hours in idle.items() if name not in needed and hours >= idle_hours)
+    commits.forget(spark, path, known[: max(0, len(known) - keep)])
+    for name in old:
+        commits.discard(spark, f"{path}/{_ROWS}/{_WRITE}={name}")
+    return old
 
 
 def write_snapshots(
@@ -177,12 +353,25 @@ def write_snapshots(
 
     def write(name: str) -> None:
         year_of = schemas.YEAR_OF.get(name)
-        write_snapshot(tables[name], f"{directory}/{name}", year_of, years if year_of else None)
+        key = [k for k in schemas.KEY.get(name, ()) if k in tables[name].columns]
+        key = key if len(key) == len(schemas.KEY.get(name, ())) else []
+        write_snapshot(tables[name], f"{directory}/{name}", year_of, years if year_of else None, key)
 
     with ThreadPoolExecutor(concurrent) as pool:
         list(pool.map(write, tables))
 
 
+def merge_snapshots(changes: Mapping[str, DataFrame], directory: str, deleted: str | None = None, concurrent: int = 4) -> None:
+    """`merge_snapshot` of every table by its declared key; `deleted`: as there, in tables that have such a column."""
+
+    def merge(name: str) -> None:
+        df = changes[name]
+        merge_snapshot(df, f"{directory}/{name}", schemas.KEY[name], deleted if deleted in df.columns else None)
+
+    with ThreadPoolExecutor(concurrent) as pool:
+        list(pool.map(merge, changes))
+
+
 def load_tables(
     spark: SparkSession,
     directory: str,

@@ -1,37 +1,33 @@
 """State tables that one run leaves for the next.
 
-A state is a folder of numbered version folders. A run reads the latest complete version and
-writes the next number, so a path being read is never overwritten, and a run that fails half
-way leaves the previous version in place.
+A state is a folder of versions. A run reads the latest one, writes its rows to a folder of their own, and then commits that
+folder as the next version. A path being read is never overwritten, of two runs at once each gets a version of its own, and a run that fails
+before its commit leaves everything as it was.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_PREFIX = "v"
-
+from clientlens.sources import commits
+from clientlens.sources.commits import Conflict
 
-def complete(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in `path` that were written to their end, in order."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(status.getPath().getName())
-    return sorted(found)
+_DATA = "data"
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, oldest first."""
-    names = complete(spark, path)
-    return sorted(int(n[len(_PREFIX):]) for n in names if n.startswith(_PREFIX) and n[len(_PREFIX):].isdigit())
+    """Numbers of the committed versions, oldest first."""
+    return commits.numbers(spark, path)
+
+
+def _rows(spark: SparkSession, path: str, entry: dict | None, schema: StructType | str, seed: DataFrame | None) -> DataFrame:
+    if entry is not None:
+        return spark.read.schema(schema).parquet(f"{path}/{entry[_DATA]}")
+    return seed if seed is not None else spark.createDataFrame([], schema)
 
 
 def read_state(
@@ -39,20 +35,66 @@ def read_state(
     path: str,
     schema: StructType | str,
     seed: DataFrame | None = None,
+    version: int | None = None,
 ) -> DataFrame:
-    """The latest version; where there is none, the seed, or no rows."""
-    known = versions(spark, path)
-    if known:
-        return spark.read.schema(schema).parquet(f"{path}/{_PREFIX}{known[-1]:06d}")
-    return seed if seed is not None else spark.createDataFrame([], schema)
+    """The latest version, or the one asked for; where there is none, the seed, or no rows."""
+    entry = commits.latest(spark, path)[1] if version is None else commits.record(spark, path, version)
+    return _rows(spark, path, entry, schema, seed)
+
+
+def replace_state(df: DataFrame, path: str, based_on: int | None = None) -> int:
+    """Commit the next version, after the report of this run is out; returns its number.
+
+    `based_on`: the version that `df` was worked out from (0 for none). If another one has been committed since, this is a
+    Conflict and nothing changes; `update_state` works it out again then.
+    """
+    spark, name = df.sparkSession, commits.fresh(_DATA)
+    df.write.parquet(f"{path}/{name}")
+    if based_on is None:
+        return commits.commit(spark, path, lambda number, entry: {_DATA: name})
+    if commits.latest(spark, path)[0] == based_on and commits.try_commit(spark, path, based_on + 1, {_DATA: name}):
+        return based_on + 1
+    commits.discard(spark, f"{path}/{name}")
+    raise Conflict(f"{path} went on from version {based_on}")
 
 
-def replace_state(df: DataFrame, path: str) -> int:
-    """Write the next version, after the report of this run is out; returns its number."""
-    known = versions(df.sparkSession, path)
-    number = (known[-1] if known else 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/{_PREFIX}{number:06d}")
-    return number
+def update_state(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str,
+    change: Callable[[DataFrame], DataFrame],
+    seed: DataFrame | None = None,
+    tries: int = commits.TRIES,
+) -> int:
+    """The next version is `change` of the latest one, whatever other runs commit in between; returns its number.
+
+    Where another run was faster, `change` is asked again with that run's version, so no run's change is lost.
+    """
+    for _ in range(tries):
+        number, entry = commits.latest(spark, path)
+        try:
+            return replace_state(change(_rows(spark, path, entry, schema, seed)), path, number)
+        except Conflict:
+            continue
+    raise Conflict(f"{tries} times another run was faster in {path}")
+
+
+def clean_up(spark: SparkSession, path: str, keep: int = 2, idle_hours: float = 24) -> list[str]:
+    """Remove what no version but the last `keep` needs; returns the removed folders' names.
+
+    Folders in which something was written within `idle_hours` stay, since their run may be about to commit them.
+    """
+    known = commits.numbers(spark, path)
+    needed = {commits.record(spark, path, n)[_DATA] for n in known[-keep:]}
+    old = [
+        name
+        for name, hours in commits.children(spark, path).items()
+        if name.startswith(f"{_DATA}-") and name not in needed and hours >= idle_hours
+    ]
+    commits.forget(spark, path, known[: max(0, len(known) - keep)])
+    for name in old:
+        commits.discard(spark, f"{path}/{name}")
+    return sorted(old)
 
 
 def update_tracking(
