@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from clientlens.functions import exact_money, exact_rate
 from clientlens.model import EXCLUDED_SECTOR, NO_SLICE, Slice, Windows
+from clientlens.operators.cardinality import one_row_each
 from clientlens.operators.slices import VIEW_COLUMNS, slice_by
 
+DIRECTORY = "the directory of clients"
+
 
 def _number(col: Column) -> Column:
     """Text ids may be blank; a plain cast would fail under ANSI rules."""
@@ -221,13 +224,19 @@ def client_activity(
     return with_sector_names(named, client_type).drop("home_country", "home_sector")
 
 
-def with_directory(df: DataFrame, client: DataFrame, temp_client: DataFrame) -> DataFrame:
-    """Name, status, home country and sector, and readable ids for rows keyed by `client_ref`."""
+def with_directory(
+    df: DataFrame, client: DataFrame, temp_client: DataFrame, key: tuple[str, ...] = ("client_ref",)
+) -> DataFrame:
+    """Name, status, home country and sector, and readable ids for rows that are one for each `key`.
+
+    A directory that makes them more is an error.
+    """
     ref = F.col("client_ref")
     directory = client_directory(client, temp_client).withColumnsRenamed(
         {"country_id": "home_country", "client_type": "home_sector"}
     )
-    return df.join(directory, "client_ref", "left").withColumns(
+    named = one_row_each(df.join(directory, "client_ref", "left"), *key, of=DIRECTORY)
+    return named.withColumns(
         {
             "debtor_no": F.when(ref > 0, ref),
             "temp_client_id": F.when(ref < 0, -ref).otherwise(F.lit(0).cast("bigint")),

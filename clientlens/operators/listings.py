@@ -2,7 +2,8 @@
 
 The roll-ups reduce the facts to one row per client before any name, country or sector is
 joined: the fact tables are scanned once with their own filters pushed down, aggregated
-map-side, and only those small rows meet the client directory, once per listing.
+map-side, and only those small rows meet the client directory, once per listing. A directory that holds a client or country twice
+would double its money; the listing fails then and names it (see `cardinality`).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from clientlens.functions import report_money, sql
 from clientlens.model import CANCELLED, EXCLUDED_SECTOR, LOST, NO_SLICE, Slice, Windows
 from clientlens.operators import conform
+from clientlens.operators.cardinality import one_row_each
 from clientlens.operators.clean import zero_fill
 from clientlens.operators.kpis import client_last_activity, is_idle, last_activity
 from clientlens.operators.slices import (
@@ -92,7 +94,8 @@ def _in_place(
 ) -> DataFrame:
     """Reduced rows with country and region of their client, inside the slice's place."""
     placed = df.join(directory, key).filter(F.col("client_type") != EXCLUDED_SECTOR)
-    placed = slice_by(placed, part.only("country", "sector"))
+    placed = one_row_each(slice_by(placed, part.only("country", "sector")), key, of=conform.DIRECTORY)
+    country = one_row_each(country, "id", of="the table of countries")
     return slice_by(conform.attach_country(placed, country, region), part.only("region"))
 
 
@@ -282,6 +285,10 @@ def _with_business(
     return conform.with_sector_names(finished, tables["client_type"])
 
 
+def _one_row_a_country(listing: DataFrame) -> DataFrame:
+    return one_row_each(listing, "country_id", of="the table of countries")
+
+
 def sort_by_name(
     df: DataFrame,
     name: str | None,
@@ -345,6 +352,7 @@ def country_listing(
     listing = listed_countries(tables, w, kind, part).join(
         _country_business(tables, part, start, end), "country_id", "left"
     )
+    listing = _one_row_a_country(listing)
     ordered = sort_by_name(listing, order_by, descending, default=_default_sort(kind))
     return zero_fill(ordered.select("country_id", "country_name", "region_name", *METRICS))
 
@@ -371,6 +379,7 @@ def idle_country_listing(
     named = conform.attach_country(idle, t["country"], t["region"])
     elsewhere = _country_business(t, part, start, end, other=True)
     listing = named.join(elsewhere, "country_id", "left")
+    listing = _one_row_a_country(listing)
     ordered = sort_by_name(listing, order_by, descending, default=_default_sort(kind))
     return zero_fill(ordered.select("country_id", "country_name", "region_name", *METRICS))
 
@@ -484,7 +493,7 @@ def idle_snapshot_all_divisions(
     """
     t = tables
     idle = idle_in_divisions(t, w, divisions, kind)
-    named = conform.with_directory(idle, t["client"], t["temp_client"])
+    named = conform.with_directory(idle, t["client"], t["temp_client"], ("client_ref", "division_id"))
     business = (
         _business_facts(t, NO_SLICE, None, None, other=False)
         .filter(F.col("client_ref") > 0)

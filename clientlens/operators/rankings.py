@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clientlens.functions import report_money
 from clientlens.model import EXCLUDED_SECTOR, GCC_COUNTRIES, NO_SLICE, Slice, Windows
 from clientlens.operators import conform
+from clientlens.operators.cardinality import one_row_each
 from clientlens.operators.listings import enquiry_facts
 from clientlens.operators.slices import (
     ENQUIRY_COLUMNS,
@@ -40,6 +41,7 @@ def scaled(total: Column, scale: int) -> Column:
 def _placed(df: DataFrame, t: Mapping[str, DataFrame], part: Slice) -> DataFrame:
     directory = conform.client_directory(t["client"], t["temp_client"]).drop("status_id")
     known = slice_by(df.join(directory, "client_ref", "left"), part.only("country", "sector"))
+    known = one_row_each(known, "client_ref", of=conform.DIRECTORY)
     return slice_by(
         conform.attach_country(known, t["country"], t["region"]), part.only("region")
     )

@@ -870,7 +870,7 @@ def _(t):
     divisions = tuple(DIVISION_NAMES)
     before = conform.with_directory(
         listings.idle_in_divisions(_a_year_ago(t, "enquiry_date"), W, divisions),
-        t["client"], t["temp_client"],
+        t["client"], t["temp_client"], ("client_ref", "division_id"),
     )
     now = listings.idle_in_divisions(t, W, divisions)
     return reports.idle_improvements(before, now).select(

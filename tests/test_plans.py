@@ -29,7 +29,7 @@ def plan(df, mode="formatted") -> str:
 
 def scanned(df) -> list[str]:
     """Snapshot names that the plan scans, one entry per scan."""
-    return re.findall(r"Location: InMemoryFileIndex \[\S*/(\w+)/v\d+\]", plan(df))
+    return re.findall(r"Location: InMemoryFileIndex ?(?:\(\d+ paths\))?\[\S*?/(\w+)/rows/write=", plan(df))
 
 
 @pytest.fixture
