@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, delta_kmeans, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii, rlz, token_alignment
+from . import cross_polytope, delta_kmeans, exact_dedup, licenses, line_crf, mixing, mixture_language, ngram_join, packing, pii, rlz, shard_suffixes, token_alignment
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -69,6 +69,10 @@ def op11_delta_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_shard_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
 
@@ -87,6 +91,7 @@ QUERIES = {
         op9_cross_polytope,
         op10_substring_dedup,
         op11_delta_kmeans,
+        op12_shard_suffixes,
         op13_token_alignment,
     )
 }
@@ -127,4 +132,5 @@ ORACLE = {
       SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
       FROM t LEFT JOIN done USING (doc_id)""",
     "op11_delta_kmeans": delta_kmeans.cluster_sql(),
+    "op12_shard_suffixes": shard_suffixes.repeats_sql(),
 }

@@ -6,7 +6,8 @@ each row the answer that was sent to it. Only the answers are shuffled, never th
 
 The table must be one that gives its rows in the same order when it is read again: files, or a
 checkpoint. Each answer carries the row's mark (any hash of its content), and a mismatch fails the job instead
-of giving wrong rows.
+of giving wrong rows. Files are cut into partitions by a number that Spark else takes from the cores alive at the time: it is fixed with
+the first scan, so that executors lost or won between two scans do not cut them anew.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.sources.workdir import shared_folder
@@ -29,6 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fix_splits(spark: SparkSession) -> None:
+    """Let all scans of this session cut files alike, however many cores are alive."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 PLACE_BITS = 33  # monotonically_increasing_id() is the partition's number and 33 bits of place
 
 
@@ -36,6 +43,7 @@ class Scan:
     """The rows of a table with a mark, which is any hash of a row's content; `row` numbers them."""
 
     def __init__(self, df: DataFrame, mark: str = "mark"):
+        fix_splits(df.sparkSession)
         self.df = df.withColumn("row", F.monotonically_increasing_id())
         self.mark, self.at = mark, df.columns.index(mark)
 

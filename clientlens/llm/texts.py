@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,3 +35,16 @@ def pieces(texts: pa.Array, limit: int = BYTES) -> Iterator[list[str | None]]:
         size += n
     if piece:
         yield piece
+
+
+def in_lists(sized: Iterable[tuple[int, object]], limit: int) -> Iterator[list]:
+    """Things, given with their sizes, in lists whose sizes add up to the limit at most, or of one."""
+    held, size = [], 0
+    for n, x in sized:
+        if held and size + n > limit:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += n
+    if held:
+        yield held
