@@ -11,6 +11,7 @@ a block and pair, not one for a document and pair, and each block gets back the
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from .rows import stored
-from .texts import in_small_batches
+from .texts import in_lists, in_small_batches
 
 BLOCK = 4_000_000  # bytes of text in a block; a longer text is a block of its own
 AT_ONCE = 200_000  # bytes of text encoded at once
@@ -58,21 +61,52 @@ class Bytes:
 
 
 class First:
-    """A byte-level vocabulary; a text is encoded with a space before it."""
+    """A byte-level vocabulary; a text is encoded with a space before it.
+
+    Where ids follow the order of the merges, as is usual, the merges need no list of their own, and texts of usual characters are encoded by ranks
+    alone. Any other text is given to the vocabulary's own tokenizer, as the two may know different versions of Unicode.
+    """
+
+    # How such a vocabulary cuts a text before it merges bytes. Fixed value: the pattern is part of the format.
+    CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    # Latin, Greek, Cyrillic, usual punctuation, Hebrew, Arabic, Japanese, Chinese and Korean letters: of one kind since long ago.
+    ODD = regex.compile(
+        r"[^\t\n\r\x20-\x7E\u00A0-\u024F\u0391-\u03A1\u03A3-\u03CE\u0400-\u052F\u05D0-\u05EA\u0621-\u064A"
+        r"\u2010-\u2027\u2030-\u205E\u20AC\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]"
+    )
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         of, names = byte_level(), self.tokenizer.get_vocab(with_added_tokens=True)
+        added = set(self.tokenizer.get_added_tokens_decoder())
         tokens = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
-            tokens[i] = bytes(of[c] for c in name) if all(c in of for c in name) else name.encode()
+            tokens[i] = name.encode() if i in added else bytes(of[c] for c in name)
         self.bytes = Bytes(tokens)
+        self.ranked = self.by_ranks(path, {t: i for i, t in enumerate(tokens) if t and i not in added})
+
+    def by_ranks(self, path: str, ranks: dict[bytes, int]) -> tiktoken.Encoding | None:
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in described["model"]["merges"]]
+        ids = [described["model"]["vocab"]["".join(m)] for m in merges]
+        plain = described["normalizer"] is None and described["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
+        }
+        if not plain or ids != sorted(ids) or not all(bytes([b]) in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=self.CUTS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.int64) for x in found]
+        odd = [i for i, t in enumerate(texts) if self.ranked is None or self.ODD.search(t)]
+        found = self.tokenizer.encode_batch_fast([" " + texts[i] for i in odd], add_special_tokens=False) if odd else []
+        by_itself = {i: np.array(x.ids, dtype=np.int64) for i, x in zip(odd, found)}
+        return [
+            by_itself[i] if i in by_itself else self.ranked.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64)
+            for i, t in enumerate(texts)
+        ]
 
 
 class Second:
@@ -103,7 +137,7 @@ def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Behind the last token of each group, in both lists: where the cumulative ends of both agree."""
     index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
     index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
+    common = sorted(filter(index_a.__contains__, index_b))
     stop = lambda index: np.fromiter(map(index.__getitem__, common), dtype=np.int64, count=len(common))
     return stop(index_a), stop(index_b)
 
@@ -154,19 +188,6 @@ def align(text: bytes, a: np.ndarray, b: np.ndarray, one: Bytes, two: Bytes, sho
     return Aligned(len(a), len(b), len(stop_a), hashlib.sha256(groups.encode()).hexdigest(), pairs, times)
 
 
-def _in_lists(sized: Iterator[tuple[int, object]], limit: int) -> Iterator[list]:
-    """Things in lists whose sizes add up to the limit at most, or of one."""
-    held, size = [], 0
-    for n, x in sized:
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append(x)
-        size += n
-    if held:
-        yield held
-
-
 _PER_DOCUMENT = {"ids": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "shas": "string", "sizes": "int"}
 _PER_PAIR = {"pairs": "long", "holders": "int"}  # of the block
 _PER_DOCUMENT_AND_PAIR = {"places": "int", "times": "int"}
@@ -179,7 +200,7 @@ def _blocks(first: str, second: str):
 
     def aligned(rows: list[tuple[int | None, bytes]]) -> Iterator[Aligned]:
         one, two, shown = vocabularies(first, second)
-        for some in _in_lists(((len(t), t) for _, t in rows), AT_ONCE):
+        for some in in_lists(((len(t), t) for _, t in rows), AT_ONCE):
             # Malformed bytes are replaced here, and then differ from what the tokens hold.
             texts = [t.decode("utf-8", "replace") for t in some]
             full = [i for i, t in enumerate(texts) if t]
@@ -194,7 +215,7 @@ def _blocks(first: str, second: str):
             for batch in batches
             for i, text in zip(batch.column(0).to_pylist(), (x.as_py() or b"" for x in batch.column(1)))
         )
-        for block in _in_lists(rows, BLOCK):
+        for block in in_lists(rows, BLOCK):
             docs = list(aligned(block))
             pairs, places, holders = np.unique(np.concatenate([d.pairs for d in docs]), return_inverse=True, return_counts=True)
             lists = {

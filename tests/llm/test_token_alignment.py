@@ -5,11 +5,14 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer, pre_tokenizers
 
 from awkward_rows import AWKWARD, COLUMNS, LONG
 from clientlens.llm import token_alignment
+from clientlens.llm.token_alignment import First, vocabularies
 from clientlens.llm.queries import BYTE_LEVEL, PIECES
 
 
@@ -119,5 +122,24 @@ def test_pair_counts(table, spark):
     assert [(r.documents, r.best) for r in counts if r.a == tokens[0]] == [(2, 1)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"])), max_size=5), st.lists(st.text("ab's t're 1²½\n\t .ÄéЖ中가\u00a0", max_size=40), max_size=5))
+def test_ids_are_those_of_the_vocabularys_tokenizer(strange, usual):
+    first, own = vocabularies(BYTE_LEVEL, PIECES)[0], Tokenizer.from_file(BYTE_LEVEL)
+    own.encode_special_tokens = True
+    assert first.ranked is not None
+    for texts in (strange, usual, ["<|endoftext|>", "x <|endoftext|>y"]):
+        assert [x.tolist() for x in first.encode(texts)] == [own.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_each_usual_character_is_encoded_alike():
+    first, own = vocabularies(BYTE_LEVEL, PIECES)[0], Tokenizer.from_file(BYTE_LEVEL)
+    usual = [c for c in map(chr, range(0xD800)) if not First.ODD.search(c)]
+    assert len(usual) > 30_000
+    for some in (usual[i : i + 500] for i in range(0, len(usual), 500)):
+        text = " ".join(f"a{c}1{c}.{c} {c}{c}" for c in some)
+        assert first.encode([text])[0].tolist() == own.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_vocabularies_are_parameters():
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_LEVEL
