@@ -45,13 +45,13 @@ def _sum_if(condition: str, value: str, name: str) -> Column:
     return F.expr(f"coalesce(sum(CASE WHEN {condition} THEN {value} END), 0)").alias(name)
 
 
-def _counts(**predicates: str) -> list[Column]:
+def counts(**predicates: str) -> list[Column]:
     return [F.expr(f"count_if({test})").alias(name) for name, test in predicates.items()]
 
 
-def _lifecycle(day: str, w: Windows, prefix: str, where: str = "true") -> list[Column]:
+def lifecycle(day: str, w: Windows, prefix: str, where: str = "true") -> list[Column]:
     tests = {"total": has_history, "active": is_active, "inactive": is_inactive, "lost": is_lost}
-    return _counts(**{f"{prefix}_{n}": f"{where} AND {test(day, w)}" for n, test in tests.items()})
+    return counts(**{f"{prefix}_{n}": f"{where} AND {test(day, w)}" for n, test in tests.items()})
 
 
 # ---- counts -----------------------------------------------------------------------------
@@ -61,35 +61,35 @@ def country_lifecycle_counts(countries: DataFrame, w: Windows) -> DataFrame:
     """K1, from `country_activity`."""
     return countries.agg(
         F.count("*").alias("countries"),
-        *_lifecycle("enquiry_date", w, "enquiry"),
-        *_lifecycle("job_date", w, "job"),
+        *lifecycle("enquiry_date", w, "enquiry"),
+        *lifecycle("job_date", w, "job"),
     )
 
 
 def client_lifecycle_counts(clients: DataFrame, w: Windows) -> DataFrame:
     """K2, from `client_activity`: registered and temporary clients are counted alike."""
     return clients.filter(has_history("enquiry_date", w)).agg(
-        *_lifecycle("enquiry_date", w, "enquiry"),
-        *_lifecycle("job_date", w, "job"),
+        *lifecycle("enquiry_date", w, "enquiry"),
+        *lifecycle("job_date", w, "job"),
     )
 
 
 def activity_code_lifecycle_counts(codes: DataFrame, w: Windows) -> DataFrame:
     """K3, from `activity_code_summary`; codes without an enquiry since the floor are out."""
     return codes.filter(F.col("enquiry_date") >= F.lit(w.floor)).agg(
-        *_lifecycle("enquiry_date", w, "enquiry"),
-        *_lifecycle("job_date", w, "job"),
+        *lifecycle("enquiry_date", w, "enquiry"),
+        *lifecycle("job_date", w, "job"),
     )
 
 
-def _status_counts(
+def status_counts(
     enquiry: str, job: str, w: Windows, blacklisted: Iterable[int], closed: Iterable[int]
 ) -> list[Column]:
     with_enquiry = has_history(enquiry, w)
     with_job = f"{with_enquiry} AND {has_history(job, w)}"
     black = f"status_id IN ({sql.ids(blacklisted)})"
     shut = f"status_id IN ({sql.ids(closed)})"
-    return _counts(
+    return counts(
         enquiry_blacklisted=f"{black} AND {with_enquiry}",
         enquiry_closed=f"{shut} AND {with_enquiry}",
         job_blacklisted=f"{black} AND {with_job}",
@@ -104,7 +104,12 @@ def client_status_counts(
     closed: Iterable[int] = CLOSED_STATUS,
 ) -> DataFrame:
     """K4, from `client_activity`."""
-    return clients.agg(*_status_counts("enquiry_date", "job_date", w, blacklisted, closed))
+    return clients.agg(*status_counts("enquiry_date", "job_date", w, blacklisted, closed))
+
+
+def live_activity(activity: DataFrame) -> DataFrame:
+    """Activity with a country, outside the excluded sector."""
+    return activity.filter((F.col("country_id") > 0) & (F.col("client_type") != EXCLUDED_SECTOR))
 
 
 def last_activity(activity: DataFrame, key: str, within: Slice, here: Slice) -> DataFrame:
@@ -113,10 +118,7 @@ def last_activity(activity: DataFrame, key: str, within: Slice, here: Slice) ->
     One aggregate gives both sides of the idle question, where an anti join would scan and
     shuffle the activity twice. Keys that are null are left out.
     """
-    history = slice_by(
-        activity.filter((F.col("country_id") > 0) & (F.col("client_type") != EXCLUDED_SECTOR)),
-        within,
-    ).filter(F.col(key).isNotNull())
+    history = slice_by(live_activity(activity), within).filter(F.col(key).isNotNull())
     seen = inside(here)
     return history.groupBy(key).agg(
         F.max("enquiry_date").alias("enquiry_all"),
@@ -151,9 +153,9 @@ def client_last_activity(
 
 def idle_counts(activity: DataFrame, w: Windows, part: Slice) -> DataFrame:
     """Idle countries and idle registered clients, as rows (entity, enquiry, job)."""
-    counts = _counts(idle_enquiry=is_idle("enquiry", w), idle_job=is_idle("job", w))
-    countries = last_activity(activity, "country_id", *_around(part)).agg(*counts)
-    clients = client_last_activity(activity, w, *_around(part)).filter("client_ref > 0").agg(*counts)
+    idle = counts(idle_enquiry=is_idle("enquiry", w), idle_job=is_idle("job", w))
+    countries = last_activity(activity, "country_id", *_around(part)).agg(*idle)
+    clients = client_last_activity(activity, w, *_around(part)).filter("client_ref > 0").agg(*idle)
     return countries.select(F.lit("countries").alias("entity"), "*").unionByName(
         clients.select(F.lit("clients").alias("entity"), "*")
     )
@@ -162,10 +164,10 @@ def idle_counts(activity: DataFrame, w: Windows, part: Slice) -> DataFrame:
 def country_board(activity: DataFrame, w: Windows, part: Slice = NO_SLICE) -> DataFrame:
     """K1 and the country half of K11 as one row, from one scan of the activity."""
     return last_activity(activity, "country_id", *_around(part)).agg(
-        *_counts(countries="seen_here"),
-        *_lifecycle("enquiry_here", w, "enquiry"),
-        *_lifecycle("job_here", w, "job"),
-        *_counts(idle_enquiry=is_idle("enquiry", w), idle_job=is_idle("job", w)),
+        *counts(countries="seen_here"),
+        *lifecycle("enquiry_here", w, "enquiry"),
+        *lifecycle("job_here", w, "job"),
+        *counts(idle_enquiry=is_idle("enquiry", w), idle_job=is_idle("job", w)),
     )
 
 
@@ -182,10 +184,10 @@ def client_board(
         client_last_activity(activity, w, *_around(part))
         .join(statuses, "client_ref", "left")
         .agg(
-            *_lifecycle("enquiry_here", w, "enquiry", since),
-            *_lifecycle("job_here", w, "job", since),
-            *_status_counts("enquiry_here", "job_here", w, BLACKLISTED_STATUS, CLOSED_STATUS),
-            *_counts(
+            *lifecycle("enquiry_here", w, "enquiry", since),
+            *lifecycle("job_here", w, "job", since),
+            *status_counts("enquiry_here", "job_here", w, BLACKLISTED_STATUS, CLOSED_STATUS),
+            *counts(
                 idle_enquiry=f"client_ref > 0 AND {is_idle('enquiry', w)}",
                 idle_job=f"client_ref > 0 AND {is_idle('job', w)}",
             ),
@@ -212,6 +214,36 @@ def _place(
     return placed
 
 
+def enquiry_sums(enquiry: DataFrame, w: Windows, *keys: Column | str) -> DataFrame:
+    """Amounts of the three periods of `enquiry_totals`, by some keys."""
+    day, status = F.col("enquiry_date"), F.coalesce(F.col("enq_status"), F.lit(0))
+    kept = status != TRANSFERRED
+    value = amount(F.col("aprox_amount"), F.col("rate"))
+    previous = (day >= F.lit(w.previous_from)) & (day < F.lit(w.inactive_to))
+    current = (day > F.lit(w.active_from)) & (day < F.lit(w.active_to))
+    facts = between_dates(enquiry, "enquiry_date", w.previous_from, w.active_to)
+    return facts.groupBy(*keys).agg(
+        F.sum(F.when(previous & kept, value)).alias("previous"),
+        F.sum(F.when(current & kept, value)).alias("current"),
+        F.sum(F.when(F.expr(is_active("enquiry_date", w)), value)).alias("active"),
+    )
+
+
+def invoice_sums(invoice: DataFrame, w: Windows, *keys: Column | str) -> DataFrame:
+    """Amounts of the two periods of `invoice_totals`, by some keys."""
+    day = F.col("tran_date")
+    previous = day.between(F.lit(w.previous_job_from), F.lit(w.previous_job_to))
+    current = day.between(F.lit(w.job_from), F.lit(w.job_to))
+    facts = gross_net_amounts(between_dates(invoice, "tran_date", w.previous_job_from, w.job_to))
+    net, gross = F.col("net_amount"), F.col("gross_amount")
+    return facts.groupBy(*keys).agg(
+        F.sum(F.when(previous, net)).alias("previous_net"),
+        F.sum(F.when(current, net)).alias("current_net"),
+        F.sum(F.when(previous, gross)).alias("previous_gross"),
+        F.sum(F.when(current, gross)).alias("current_gross"),
+    )
+
+
 def enquiry_totals(
     enquiry: DataFrame,
     client: DataFrame,
@@ -225,20 +257,10 @@ def enquiry_totals(
     active window with transfers. The sector is the enquiry's own; country and region are
     those of the registered client.
     """
-    day, status = F.col("enquiry_date"), F.coalesce(F.col("enq_status"), F.lit(0))
-    kept = status != TRANSFERRED
-    value = amount(F.col("aprox_amount"), F.col("rate"))
-    previous = (day >= F.lit(w.previous_from)) & (day < F.lit(w.inactive_to))
-    current = (day > F.lit(w.active_from)) & (day < F.lit(w.active_to))
     facts = slice_by(enquiry, part.only("division", "subdivision", "sector"), ENQUIRY_COLUMNS)
-    facts = between_dates(facts, "enquiry_date", w.previous_from, w.active_to)
     located = part.country is not None or part.region is not None
     keys = (["debtor_no"] if located else []) + ["division", "client_type"]
-    sums = facts.groupBy(*keys).agg(
-        F.sum(F.when(previous & kept, value)).alias("previous"),
-        F.sum(F.when(current & kept, value)).alias("current"),
-        F.sum(F.when(F.expr(is_active("enquiry_date", w)), value)).alias("active"),
-    )
+    sums = enquiry_sums(facts, w, *keys)
     if not located:
         return sums
     placed = slice_by(
@@ -255,18 +277,8 @@ def invoice_totals(
     part: Slice = NO_SLICE,
 ) -> DataFrame:
     """Net and gross invoice amounts per division and sector, previous and current period."""
-    day = F.col("tran_date")
-    previous = day.between(F.lit(w.previous_job_from), F.lit(w.previous_job_to))
-    current = day.between(F.lit(w.job_from), F.lit(w.job_to))
     facts = slice_by(invoice, part.only("division", "subdivision"), INVOICE_COLUMNS)
-    facts = gross_net_amounts(between_dates(facts, "tran_date", w.previous_job_from, w.job_to))
-    net, gross = F.col("net_amount"), F.col("gross_amount")
-    sums = facts.groupBy("debtor_no", F.col("dimension2_id").alias("division")).agg(
-        F.sum(F.when(previous, net)).alias("previous_net"),
-        F.sum(F.when(current, net)).alias("current_net"),
-        F.sum(F.when(previous, gross)).alias("previous_gross"),
-        F.sum(F.when(current, gross)).alias("current_gross"),
-    )
+    sums = invoice_sums(facts, w, "debtor_no", F.col("dimension2_id").alias("division"))
     placed = _place(sums, client, country, part, sector=True).filter(
         F.col("client_type") != EXCLUDED_SECTOR
     )
@@ -339,9 +351,10 @@ def _shares(prefix: str, value: str, total: str, groups: Mapping[str, str]) -> F
 
 
 def enquiry_share_figures(
-    divisions: Mapping[int, str] = DIVISION_NAMES, include_transfers: bool = True
+    divisions: Mapping[int, str] = DIVISION_NAMES, include_transfers: bool = True, source: str | None = None
 ) -> Figures:
-    source = "active" if include_transfers else "current"
+    """`source`: the column that is shared out, where it is neither of the two that `include_transfers` chooses from."""
+    source = source or ("active" if include_transfers else "current")
     groups = {
         name: f"division = {sql.ids([number])} AND client_type != {EXCLUDED_SECTOR}"
         for number, name in divisions.items()

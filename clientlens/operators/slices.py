@@ -43,7 +43,8 @@ JOB_KINDS = (
 )
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
+def as_number(df: DataFrame, name: str) -> Column:
+    """A key column as a number; text that is none becomes null."""
     if isinstance(df.schema[name].dataType, T.StringType):
         return F.nullif(F.trim(F.col(name)), F.lit("")).try_cast("bigint")
     return F.col(name)
@@ -56,7 +57,7 @@ def slice_by(
     for dimension, name in columns.items():
         wanted = getattr(part, dimension)
         if wanted is not None:
-            df = df.filter(_as_number(df, name) == F.lit(wanted))
+            df = df.filter(as_number(df, name) == F.lit(wanted))
     return df
 
 
@@ -72,7 +73,7 @@ def exclude_other_slice(
     """
     for dimension, unwanted in (("division", division), ("subdivision", subdivision)):
         if unwanted is not None:
-            df = df.filter(_as_number(df, columns[dimension]) != F.lit(unwanted))
+            df = df.filter(as_number(df, columns[dimension]) != F.lit(unwanted))
     return df
 
 

@@ -18,6 +18,7 @@ from clientlens.operators import clean, conform, kpis, listings, rankings, repor
 from clientlens.operators.numbering import numbered
 from clientlens.plans.board import kpi_metrics, whole_board
 from clientlens.plans.mapping import AS_OF, FLOOR, WINDOWS, SampleTables
+from clientlens.plans.sliced_boards import sliced_boards
 from clientlens.sources import snapshots, state
 from clientlens.sources.workdir import shared_folder
 
@@ -612,6 +613,12 @@ def _(t):
     return whole_board(t, W, PLACE)
 
 
+@query("k13_sliced_boards")
+def _(t):
+    """The boards of the company and of every slice of one or two keys."""
+    return sliced_boards(t, W)
+
+
 # ---- listings ---------------------------------------------------------------------------
 
 

@@ -460,6 +460,103 @@ def board(long: str) -> str:
     return f"SELECT {columns} FROM ({long})"
 
 
+SLICED_KEYS = {"division": "division", "subdivision": "sub_division", "country": "country_id", "region": "region_id", "sector": "client_type"}
+
+
+def sliced_boards() -> str:
+    """Boards of all slices of up to two keys: every slice meets every row that it holds."""
+    keys = tuple(SLICED_KEYS)
+    rows = {
+        "act": f"SELECT {', '.join(f'{c} AS s_{k}' for k, c in SLICED_KEYS.items())}, country_id AS entity, enquiry_date, job_date FROM live",
+        "cli": f"""SELECT {', '.join(f'k.{c} AS s_{k}' for k, c in SLICED_KEYS.items())}, client_ref AS entity, enquiry_date, job_date,
+            d.client_status AS status_id FROM keyed k LEFT JOIN g_client d ON k.client_ref = d.debtor_no WHERE client_ref IS NOT NULL""",
+        "cod": """SELECT DISTINCT ja.division_id AS s_division, ja.sub_division_id AS s_subdivision, c.country_id AS s_country, d.region_id AS s_region,
+            c.client_type AS s_sector, c.activity_code AS entity, c.enquiry_date, c.job_date
+            FROM g_job_activity ja JOIN g_code_activity c ON c.activity_code = ja.activity_code LEFT JOIN g_country d ON c.country_id = d.id
+            WHERE ja.activity_code <> '' AND c.client_type <> 5 AND ja.status = 1""",
+        "enq": f"""SELECT division AS s_division, subdivision AS s_subdivision, registered_country AS s_country, region_id AS s_region,
+            client_type AS s_sector, division, client_type, amount, enq_status, enquiry_date FROM e_registered
+            WHERE enquiry_date BETWEEN {PREVIOUS_FROM} AND {AS_OF}""",
+        "inv": f"""SELECT division AS s_division, sub_division AS s_subdivision, country_id AS s_country, region_id AS s_region,
+            client_type AS s_sector, division, client_type, net, gross, tran_date FROM {INVOICES}
+            WHERE tran_date BETWEEN {PREVIOUS_FROM} AND {AS_OF}""",
+    }
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+    shown = [(), *[(k,) for k in keys], *pairs]
+    listed = " UNION ".join(
+        f"SELECT {', '.join(f's_{k}' if k in own else f'NULL AS s_{k}' for k in keys)} FROM (SELECT s_division, s_subdivision, s_country, s_region, s_sector FROM {name})"
+        + (f" WHERE {' AND '.join(f's_{k} IS NOT NULL' for k in own)}" if own else "")
+        for own in shown
+        for name in rows
+    )
+    slice_of = ", ".join(f"sl.s_{k}" for k in keys)
+    held = " AND ".join(f"(sl.s_{k} IS NULL OR sl.s_{k} = x.s_{k})" for k in keys)
+    same_place = " AND ".join(f"sl.s_{k} IS NOT DISTINCT FROM p.s_{k}" for k in ("country", "region", "sector"))
+    same = " AND ".join(f"sl.s_{k} IS NOT DISTINCT FROM q.s_{k}" for k in keys)
+    figures, parts = [], []
+
+    def figure(part: str, column: str, name: str) -> None:
+        figures.append(f"""COALESCE(CAST({part}."{column}" AS DOUBLE), 0) AS "{name}" """)
+
+    cycle = [f"{p}_{n}" for p in ("enquiry", "job") for n in ("total", "active", "inactive", "lost")]
+    for name, prefix, where, more in (
+        ("act", "country", "TRUE", "COUNT(*) AS countries"),
+        ("cli", "client", f"enquiry_date > {FLOOR}", f"""
+            COUNT(*) FILTER (WHERE status_id = 6 AND enquiry_date > {FLOOR}) AS enquiry_blacklisted,
+            COUNT(*) FILTER (WHERE status_id IN (2,4,11,12) AND enquiry_date > {FLOOR}) AS enquiry_closed,
+            COUNT(*) FILTER (WHERE status_id = 6 AND enquiry_date > {FLOOR} AND job_date > {FLOOR}) AS job_blacklisted,
+            COUNT(*) FILTER (WHERE status_id IN (2,4,11,12) AND enquiry_date > {FLOOR} AND job_date > {FLOOR}) AS job_closed"""),
+        ("cod", "activity", f"enquiry_date >= {FLOOR}", "COUNT(*) AS codes"),
+    ):
+        status = ", ANY_VALUE(status_id) AS status_id" if name == "cli" else ""
+        last = f"SELECT {slice_of}, entity, MAX(enquiry_date) AS enquiry_date, MAX(job_date) AS job_date{status} FROM sl JOIN {name} x ON {held} GROUP BY ALL"
+        seen = ", ".join(
+            f"COUNT(*) FILTER (WHERE {day} > {FLOOR}{' AND entity > 0' if name == 'cli' else ''}) AS seen_{kind}"
+            for kind, day in (("enquiry", "enquiry_date"), ("job", "job_date"))
+        )
+        seen = f", {seen}" if name != "cod" else ""
+        parts.append((f"q_{name}", f"SELECT {slice_of.replace('sl.', '')}, {more}, {lifecycle(where)}{seen} FROM ({last}) GROUP BY ALL"))
+        extra = {"act": ["countries"], "cli": ["enquiry_blacklisted", "enquiry_closed", "job_blacklisted", "job_closed"], "cod": []}[name]
+        for column in [*extra, *cycle]:
+            figure(f"q_{name}", column, f"{prefix}_{column}")
+        if name != "cod":
+            for kind in ("enquiry", "job"):
+                figures.append(
+                    f"""CAST(COALESCE((SELECT p.seen_{kind} FROM q_{name} p WHERE {same_place} AND p.s_division IS NULL AND p.s_subdivision IS NULL), 0)
+                    - COALESCE(q_{name}.seen_{kind}, 0) AS DOUBLE) AS {prefix}_idle_{kind}"""
+                )
+    company = " AND ".join(f"sl.s_{k} IS NULL" for k in keys)
+    kept = f"{CURRENT} AND {KEPT}"
+    shares = {"I&M": "division = 225", "ONE": "division = 3", "Non Marine": "division NOT IN (3, 225)"}
+    sectors = {1: "industrial", 2: "marine", 3: "oilgas", 6: "offshore", 10: "petrochemical", 12: "renewable"}
+    sums = [f"{total('amount', f'{PREVIOUS} AND {KEPT}')} AS p", f"{total('amount', kept)} AS c"]
+    sums += [f"""{total("amount", f"{shares[g]} AND client_type <> 5 AND (({company}) AND {ACTIVE} OR NOT ({company}) AND {kept})")} AS "{g}" """
+             for g in ("I&M", "ONE")]
+    sums += [f"{total('amount', f'client_type = {i} AND {ACTIVE}')} AS {n}" for i, n in sectors.items()]
+    outer = f"{growth('enquiry', 'p', 'c', 1)}, " + ", ".join(f""" "{g}", {percent(f'"{g}"', 'c')} AS "{g}_percent" """ for g in ("I&M", "ONE"))
+    outer += ", " + ", ".join(sectors.values())
+    parts.append(("q_enq", f"SELECT {slice_of.replace('sl.', '')}, {outer} FROM (SELECT {slice_of}, {', '.join(sums)} FROM sl JOIN enq x ON {held} GROUP BY {slice_of})"))
+    sums = [f"{total(a, t)} AS {n}" for n, a, t in (("np", "net", INV_BEFORE), ("nc", "net", INV_NOW), ("gp", "gross", INV_BEFORE), ("gc", "gross", INV_NOW))]
+    sums += [f"""{total("net", f"{test} AND {INV_NOW}")} AS "{g}" """ for g, test in shares.items()]
+    sums += [f"{total('net', f'client_type = {i} AND {INV_NOW}')} AS {n}" for i, n in sectors.items()]
+    outer = f"{growth('net', 'np', 'nc', 2)}, {growth('gross', 'gp', 'gc', 2)}, "
+    outer += ", ".join(f""" "{g}", {percent(f'"{g}"', 'nc')} AS "{g}_percent" """ for g in shares) + ", " + ", ".join(sectors.values())
+    parts.append(("q_inv", f"SELECT {slice_of.replace('sl.', '')}, {outer} FROM (SELECT {slice_of}, {', '.join(sums)} FROM sl JOIN inv x ON {held} GROUP BY {slice_of})"))
+    for part, prefix, names in (("q_enq", "enquiry", ("enquiry",)), ("q_inv", "invoice", ("net", "gross"))):
+        for n in names:
+            for column in ("previous", "current", "growth", "growth_percent"):
+                figure(part, f"{n}_{column}", f"amount_{n}_{column}")
+        for g in shares if prefix == "invoice" else ("I&M", "ONE"):
+            figure(part, g, f"amount_{prefix}_{g}_amount")
+            figure(part, f"{g}_percent", f"amount_{prefix}_{g}_percent")
+        for n in sectors.values():
+            figure(part, n, f"amount_{prefix}_{n}")
+    withs = ", ".join(f"{name} AS MATERIALIZED ({text})" for name, text in [*rows.items(), ("sl", listed), *parts])
+    joins = " ".join(f"LEFT JOIN {name} ON {same.replace('q.', f'{name}.')}" for name, _ in parts)
+    columns = ", ".join(f"CAST(sl.s_{k} AS BIGINT) AS {k}" for k in keys)
+    return f"SELECT * FROM (WITH {withs} SELECT {columns}, {', '.join(figures)} FROM sl {joins})"
+
+
 def status_counts(where: str) -> str:
     black, closed = "status_id = 6", "status_id IN (2,4,11,12)"
     job = f"job_date > {FLOOR}"
@@ -865,6 +962,7 @@ QUERIES = {
     "k13_kpi_metrics": metrics({}, True),
     "k13_kpi_metrics_sliced": metrics({"division": 3, "subdivision": 107}, False),
     "k13_kpi_board": board(metrics({}, True)),
+    "k13_sliced_boards": sliced_boards(),
     "k13_kpi_board_sliced": board(metrics({"country": 6, "sector": 2}, False)),
     "l1_country_listing": country_rows(country_activity("TRUE"), "country_id IS NOT NULL", "TRUE"),
     "l1_country_listing_sliced": country_rows(
