@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from clientlens import schemas
 from clientlens.functions import compact_amount, report_money, safe_divide, safe_percent
 from clientlens.model import DIVISION_NAMES, GCC_COUNTRIES, NO_SLICE, OTHER_GROUP, Slice, Windows
-from clientlens.operators import clean, conform, kpis, listings, rankings, reports, slices
+from clientlens.operators import bitmaps, clean, conform, kpis, listings, rankings, reports, slices
 from clientlens.operators.numbering import numbered
 from clientlens.plans.board import kpi_metrics, whole_board
 from clientlens.plans.mapping import AS_OF, FLOOR, WINDOWS, SampleTables
@@ -619,6 +619,25 @@ def _(t):
     return sliced_boards(t, W)
 
 
+def _stored_sets(t) -> DataFrame:
+    """The bitmaps of the clients, written once and read back."""
+    folder = f"{_run_folder(t.spark)}/client_sets"
+    snapshots.write_snapshot(bitmaps.client_sets(t["client_activity"], t["client"], W), folder)
+    return snapshots.read_snapshot(t.spark, folder)
+
+
+@query("k2_client_counts_from_bitmaps")
+def _(t):
+    """K2, K4 and idle clients of the company and of all slices of one key, from one stored table."""
+    return bitmaps.sliced_counts(_stored_sets(t), W, [(), *[(key,) for key in bitmaps.KEYS]])
+
+
+@query("l8_listing_counts_from_bitmaps")
+def _(t):
+    """How many clients the listings of each kind have in one division."""
+    return bitmaps.listing_sizes(_stored_sets(t), W, DIVISION)
+
+
 # ---- listings ---------------------------------------------------------------------------
 
 

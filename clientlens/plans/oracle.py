@@ -963,6 +963,15 @@ QUERIES = {
     "k13_kpi_metrics_sliced": metrics({"division": 3, "subdivision": 107}, False),
     "k13_kpi_board": board(metrics({}, True)),
     "k13_sliced_boards": sliced_boards(),
+    "k2_client_counts_from_bitmaps": f"""
+        SELECT division, country, region, sector, COLUMNS('client_(.*)') AS '\\1' FROM ({sliced_boards()})
+        WHERE subdivision IS NULL AND (division IS NOT NULL)::INT + (country IS NOT NULL)::INT + (region IS NOT NULL)::INT + (sector IS NOT NULL)::INT <= 1
+        AND EXISTS (SELECT 1 FROM keyed WHERE client_ref IS NOT NULL AND coalesce(keyed.division = division, TRUE)
+            AND coalesce(country_id = country, TRUE) AND coalesce(region_id = region, TRUE) AND coalesce(client_type = sector, TRUE))""",
+    "l8_listing_counts_from_bitmaps": " UNION ALL ".join(
+        f"SELECT '{kind or 'every'}' AS kind, COUNT(*) AS entities FROM ({client_activity(DIVISION)}) WHERE {test}"
+        for kind, test in SEGMENTS.items() if kind not in ("idle_enq", "idle_job")
+    ),
     "k13_kpi_board_sliced": board(metrics({"country": 6, "sector": 2}, False)),
     "l1_country_listing": country_rows(country_activity("TRUE"), "country_id IS NOT NULL", "TRUE"),
     "l1_country_listing_sliced": country_rows(
