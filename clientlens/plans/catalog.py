@@ -19,7 +19,7 @@ from clientlens.operators.numbering import numbered
 from clientlens.plans.board import kpi_metrics, whole_board
 from clientlens.plans.mapping import AS_OF, FLOOR, WINDOWS, SampleTables
 from clientlens.plans.sliced_boards import sliced_boards
-from clientlens.sources import snapshots, state
+from clientlens.sources import bucketed, rollups, snapshots, state
 from clientlens.sources.workdir import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,7 @@ WEEK_DAY = date(2001, 7, 20)
 STATE_DAY = date(2000, 11, 4)
 LOGGED_AT = "2001-11-04 06:00:00"
 CHANGED_YEAR = 1996
+BUCKETS = 8
 FLOOR_DAY = date(1900, 1, 1)
 JOB_WINDOWS = Windows(as_of=AS_OF, floor=WINDOWS.floor, job_day=date(2000, 6, 30), job_months=6)
 GROUPS = (*DIVISION_NAMES.values(), OTHER_GROUP)
@@ -396,6 +397,44 @@ def _(t):
     return conform.last_activity_by_division(t["client_activity"])
 
 
+def _kept(t, table: str, rollup: rollups.Rollup) -> DataFrame:
+    """A rollup of a snapshot, brought up to date after the jobs of one year were written again, a month later each."""
+    folder = _run_folder(t.spark)
+    source, target = f"{folder}/{table}", f"{folder}/{table}-rollup"
+    snapshots.write_snapshot(t[table], source, "enquiry_date")
+    rollups.refresh(t.spark, source, target, rollup)
+    later = t[table].withColumn("job_date", F.date_add("job_date", 30))
+    snapshots.write_snapshot(later, source, "enquiry_date", years=[CHANGED_YEAR])
+    assert rollups.refresh(t.spark, source, target, rollup) == [str(CHANGED_YEAR)]
+    return rollups.read_rollup(t.spark, target)
+
+
+@query("c4_country_activity_kept")
+def _(t):
+    """C4 from a rollup of which one year was worked out again."""
+    return conform.country_activity(_kept(t, "client_activity", rollups.activity_rollup(W.floor)), t["country"], t["region"])
+
+
+@query("c5_client_activity_kept")
+def _(t):
+    """C5 from a rollup of which one year was worked out again."""
+    kept = {"client_activity": _kept(t, "client_activity", rollups.activity_rollup(W.floor))}
+    return _client_activity({**{n: t[n] for n in ("client", "temp_client", "client_type")}, **kept})
+
+
+@query("c6_activity_codes_kept")
+def _(t):
+    """C6 from a rollup of which one year was worked out again."""
+    kept = {"activity_code_activity": _kept(t, "activity_code_activity", rollups.CODE_ROLLUP)}
+    return _activity_codes({**{n: t[n] for n in ("job_activity", "country", "region")}, **kept})
+
+
+@query("c7_last_activity_by_division_kept")
+def _(t):
+    """C7 from a rollup of which one year was worked out again."""
+    return conform.last_activity_by_division(_kept(t, "client_activity", rollups.activity_rollup(W.floor)))
+
+
 @query("c8_gross_net_amounts")
 def _(t):
     names = ("gross_amount", "net_amount", "outstanding")
@@ -967,6 +1006,29 @@ def _(t):
     )
 
 
+def _by_invoice(t) -> dict[str, DataFrame]:
+    """The tables, invoices and payments in buckets by number and type of the invoice."""
+    folder = _run_folder(t.spark)
+    paid = t["payment_allocation"].select("trans_no_to", "trans_type_to", "trans_type_from", "date_alloc", "alloc_amount")
+    billed = t["invoice"].select("trans_no", "trans_type", "debtor_no", "dimension2_id", "rate")
+    bucketed.write_bucketed(paid, f"{folder}/payment_allocation", ["trans_no_to", "trans_type_to"], BUCKETS, "date_alloc")
+    bucketed.write_bucketed(billed, f"{folder}/invoice", ["trans_no", "trans_type"], BUCKETS)
+    dealt = {n: bucketed.read_bucketed(t.spark, f"{folder}/{n}") for n in ("payment_allocation", "invoice")}
+    return {**{n: t[n] for n in ("client", "dimension")}, **dealt}
+
+
+@query("r19_monthly_revenue_bucketed")
+def _(t):
+    """R19 on tables in buckets, which meet without a shuffle."""
+    return reports.monthly_revenue(_by_invoice(t), LAST_MONTH)
+
+
+@query("r20_revenue_drop_bucketed")
+def _(t):
+    """R20 on tables in buckets, which meet without a shuffle."""
+    return reports.revenue_drop_from_payments(_by_invoice(t), THIS_MONTH)
+
+
 @query("r20_revenue_drop_in_one_pass")
 def _(t):
     return reports.revenue_drop_from_payments(t, THIS_MONTH)

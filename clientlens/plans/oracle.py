@@ -1201,5 +1201,20 @@ def _complete(sql: str) -> str:
 QUERIES["r20_revenue_drop_in_one_pass"] = QUERIES["r20_revenue_drop"]
 QUERIES["s1_extract_declared"] = QUERIES["l1_country_listing"]
 QUERIES["s6_idle_state_round_trip"] = QUERIES["r11_idle_snapshot_all_divisions"]
+QUERIES["r19_monthly_revenue_bucketed"] = QUERIES["r19_monthly_revenue"]
+QUERIES["r20_revenue_drop_bucketed"] = QUERIES["r20_revenue_drop"]
+
+# Activity as it stands after the jobs of one year were written again, a month later each.
+LATER = {
+    name: f"SELECT * REPLACE (CASE WHEN YEAR(enquiry_date) = 1996 THEN job_date + 30 ELSE job_date END AS job_date) FROM ({CTES[name]})"
+    for name in ("g_activity", "g_code_activity")
+}
+KEPT_UP = {
+    "c4_country_activity_kept": "c4_country_activity",
+    "c5_client_activity_kept": "c5_client_activity",
+    "c6_activity_codes_kept": "c6_activity_code_summary",
+    "c7_last_activity_by_division_kept": "c7_last_activity_by_division",
+}
 
 ORACLE = {name: _complete(sql) for name, sql in QUERIES.items()}
+ORACLE |= {name: _with(QUERIES[of], LATER) for name, of in KEPT_UP.items()}

@@ -143,10 +143,14 @@ def _year_name(year: int | None) -> str:
     return _NO_YEAR if year is None else str(year)
 
 
-def _write_rows(df: DataFrame, path: str, year_of: str | None) -> str:
+def write_folder(path: str, name: str) -> str:
+    return f"{path}/{_ROWS}/{_WRITE}={name}"
+
+
+def write_rows(df: DataFrame, path: str, year_of: str | None) -> str:
     """Write rows to a folder of their own, by year if there is a date to go by; returns its name."""
     name = commits.fresh("w")
-    target = f"{path}/{_ROWS}/{_WRITE}={name}"
+    target = write_folder(path, name)
     if year_of is None:
         df.write.parquet(target)
         return name
@@ -166,22 +170,23 @@ def _with_year(schema: T.StructType, year_of: str | None) -> T.StructType:
     return T.StructType([*(f for f in schema if not year or f.name != year[0].name), *year])
 
 
-def _read_parts(
+def read_parts(
     spark: SparkSession, path: str, parts: Mapping[str, Mapping], schema: T.StructType, year_of: str | None
 ) -> DataFrame:
     """The rows of some parts of a manifest, as one scan whose year folders Spark can prune."""
     full = _with_year(schema, year_of)
+    parts = {name: part for name, part in parts.items() if part["rows"] or not year_of}
     if not parts:
         return spark.createDataFrame([], full)
     within = (lambda name: f"/{year_folder(year_of)}={name}") if year_of else (lambda name: "")
-    folders = [f"{path}/{_ROWS}/{_WRITE}={part[_WRITE]}{within(name)}" for name, part in parts.items()]
+    folders = [f"{write_folder(path, part[_WRITE])}{within(name)}" for name, part in parts.items()]
     typed = T.StructType([*full, T.StructField(_WRITE, T.StringType())])
     return spark.read.schema(typed).option("basePath", f"{path}/{_ROWS}").parquet(*folders).select(*full.fieldNames())
 
 
-def _parts(spark: SparkSession, path: str, name: str, schema: T.StructType, year_of: str | None, key: list[str]) -> dict[str, dict]:
+def parts_of(spark: SparkSession, path: str, name: str, schema: T.StructType, year_of: str | None, key: list[str]) -> dict[str, dict]:
     """The parts of one write: number of rows and, of a whole-numbered first key column, the range, for each year."""
-    target = f"{path}/{_ROWS}/{_WRITE}={name}"
+    target = write_folder(path, name)
     full = _with_year(schema, year_of)
     rows = spark.read.schema(full).parquet(target)
     ranged = bool(key) and isinstance(schema[key[0]].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
@@ -194,7 +199,7 @@ def _parts(spark: SparkSession, path: str, name: str, schema: T.StructType, year
     }
 
 
-def _manifest(schema: T.StructType, year_of: str | None, key: list[str], parts: Mapping[str, Mapping]) -> dict:
+def manifest(schema: T.StructType, year_of: str | None, key: list[str], parts: Mapping[str, Mapping]) -> dict:
     return {"schema": schema.jsonValue(), "year_of": year_of, "key": key, "parts": dict(parts)}
 
 
@@ -212,21 +217,21 @@ def write_snapshot(
     """
     spark, key = df.sparkSession, list(key)
     if year_of is None or years is None:
-        name = _write_rows(df, path, year_of)
-        parts = _parts(spark, path, name, df.schema, year_of, key)
-        return commits.commit(spark, path, lambda number, entry: _manifest(df.schema, year_of, key, parts))
+        name = write_rows(df, path, year_of)
+        parts = parts_of(spark, path, name, df.schema, year_of, key)
+        return commits.commit(spark, path, lambda number, entry: manifest(df.schema, year_of, key, parts))
     years = sorted(set(years))
     rows = df.filter(F.year(year_of).isin(*years))
     if key and commits.numbers(spark, path):
         return merge_snapshot(rows, path, key, years=years)
-    name = _write_rows(rows, path, year_of)
-    parts = _parts(spark, path, name, df.schema, year_of, key)
+    name = write_rows(rows, path, year_of)
+    parts = parts_of(spark, path, name, df.schema, year_of, key)
 
-    def manifest(number: int, entry: dict | None) -> dict:
+    def with_others(number: int, entry: dict | None) -> dict:
         kept = {y: part for y, part in (entry or {"parts": {}})["parts"].items() if y not in map(str, years)}
-        return _manifest(df.schema, year_of, key, {**kept, **parts})
+        return manifest(df.schema, year_of, key, {**kept, **parts})
 
-    return commits.commit(spark, path, manifest)
+    return commits.commit(spark, path, with_others)
 
 
 def merge_snapshot(
@@ -265,7 +270,7 @@ def merge_snapshot(
             if commits.try_commit(spark, path, number + 1, made):
                 return number + 1
             for write in {part[_WRITE] for part in made["parts"].values()} - {part[_WRITE] for part in entry["parts"].values()}:
-                commits.discard(spark, f"{path}/{_ROWS}/{_WRITE}={write}")
+                commits.discard(spark, write_folder(path, write))
         raise commits.Conflict(f"{tries} times another writer was faster in {path}")
     finally:
         commits.discard(spark, staged)
@@ -297,15 +302,15 @@ def _merged(
         touched = {""}
     else:
         year = F.col(year_folder(year_of))
-        held = _read_parts(spark, path, maybe, schema, year_of).select(*key, year.alias("_year")).join(keys, key, "left_semi")
+        held = read_parts(spark, path, maybe, schema, year_of).select(*key, year.alias("_year")).join(keys, key, "left_semi")
         moved_in = live.select(F.year(year_of).alias("_year"))
         # One row for each year.
         touched = emptied | {_year_name(r["_year"]) for r in held.select("_year").unionAll(moved_in).distinct().collect()}
     stay = {n: p for n, p in parts.items() if n in touched and n not in emptied and p["rows"]}
-    survivors = _read_parts(spark, path, stay, schema, year_of).select(*schema.fieldNames()).join(keys, key, "left_anti")
-    name = _write_rows(survivors.select(*schema.fieldNames()).unionByName(live), path, year_of)
-    written = _parts(spark, path, name, schema, year_of, key)
-    return _manifest(schema, year_of, entry["key"] or key, {**{n: p for n, p in parts.items() if n not in touched}, **written})
+    survivors = read_parts(spark, path, stay, schema, year_of).select(*schema.fieldNames()).join(keys, key, "left_anti")
+    name = write_rows(survivors.select(*schema.fieldNames()).unionByName(live), path, year_of)
+    written = parts_of(spark, path, name, schema, year_of, key)
+    return manifest(schema, year_of, entry["key"] or key, {**{n: p for n, p in parts.items() if n not in touched}, **written})
 
 
 def read_snapshot(
@@ -322,7 +327,7 @@ def read_snapshot(
     entry = commits.latest(spark, path)[1] if version is None else commits.record(spark, path, version)
     if entry is None:
         return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
-    return _read_parts(spark, path, entry["parts"], schema or T.StructType.fromJson(entry["schema"]), entry["year_of"])
+    return read_parts(spark, path, entry["parts"], schema or T.StructType.fromJson(entry["schema"]), entry["year_of"])
 
 
 def clean_up(spark: SparkSession, path: str, keep: int = 2, idle_hours: float = 24) -> list[str]:
@@ -336,7 +341,7 @@ def clean_up(spark: SparkSession, path: str, keep: int = 2, idle_hours: float =
     old = sorted(name for name, hours in idle.items() if name not in needed and hours >= idle_hours)
     commits.forget(spark, path, known[: max(0, len(known) - keep)])
     for name in old:
-        commits.discard(spark, f"{path}/{_ROWS}/{_WRITE}={name}")
+        commits.discard(spark, write_folder(path, name))
     return old
 
 

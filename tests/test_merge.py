@@ -74,8 +74,8 @@ def test_only_touched_years_are_written(spark, frame, where):
 def test_years_whose_keys_are_out_of_range_are_not_scanned(spark, frame, where, monkeypatch):
     snapshots.write_snapshot(frame(DDL, *[(i, date(1990 + i // 10, 1, 1), "a") for i in range(60)]), where, "day", key=["id"])
     asked = []
-    read = snapshots._read_parts
-    monkeypatch.setattr(snapshots, "_read_parts", lambda s, p, parts, *a: asked.append(set(parts)) or read(s, p, parts, *a))
+    read = snapshots.read_parts
+    monkeypatch.setattr(snapshots, "read_parts", lambda s, p, parts, *a: asked.append(set(parts)) or read(s, p, parts, *a))
     snapshots.merge_snapshot(frame(DDL, (31, date(1993, 5, 5), "b"), (700, date(1993, 6, 6), "new")), where)
     assert asked == [{"1993"}, {"1993"}]
 
