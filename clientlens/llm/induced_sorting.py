@@ -14,6 +14,12 @@ from __future__ import annotations
 import numpy as np
 
 FEW = 256  # names that are symbols by themselves
+DISTINCT = 0.4  # share of names from which on pairs are sorted
+
+
+def symbols(buckets: int) -> type:
+    """The smallest type that holds numbers below `buckets`; small ones sort in fewer steps."""
+    return np.uint8 if buckets <= 256 else np.uint16 if buckets <= 65_536 else np.uint32
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -101,6 +107,20 @@ def named(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.nd
     return names[lms], int(numbers[-1]) + 1
 
 
+def by_pairs(names: np.ndarray) -> np.ndarray:
+    """The suffix array of numbers of which most are there once: ranks of pairs of neighbours, then of pairs of pairs."""
+    rank, reach = names.astype(np.int64) + 1, 1
+    while True:
+        pair = rank * (len(rank) + 2)
+        pair[:-reach] += rank[reach:]
+        order = np.argsort(pair)
+        new = np.append(True, pair[order[1:]] != pair[order[:-1]])
+        rank[order] = np.cumsum(new)
+        if new.all():
+            return order
+        reach *= 2
+
+
 def suffix_array(text: np.ndarray, buckets: int) -> np.ndarray:
     """The starts of all suffixes in order; `text` holds numbers below `buckets`, of which 0 stands at the end and only there."""
     if len(text) == 1:
@@ -113,11 +133,13 @@ def suffix_array(text: np.ndarray, buckets: int) -> np.ndarray:
     ordered = roughly[is_lms[roughly]]
     names, n = named(text, lms, ordered)
     if n < len(lms):
-        if n <= FEW:
-            ordered = lms[suffix_array(names.astype(np.uint16), n)]
+        if n >= DISTINCT * len(lms):
+            ordered = lms[by_pairs(names)]
+        elif n <= FEW:
+            ordered = lms[suffix_array(names.astype(symbols(n)), n)]
         else:
             base = int(np.ceil(n**0.5))
-            digits = np.zeros(2 * len(names) + 1, dtype=np.uint16)
+            digits = np.zeros(2 * len(names) + 1, dtype=symbols(base + 1))
             digits[:-1:2], digits[1::2] = names // base + 1, names % base + 1
             found = suffix_array(digits, base + 1)
             ordered = lms[found[(found % 2 == 0) & (found < len(digits) - 1)] // 2]
