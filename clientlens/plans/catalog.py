@@ -19,7 +19,7 @@ from clientlens.operators.numbering import numbered
 from clientlens.plans.board import kpi_metrics, whole_board
 from clientlens.plans.mapping import AS_OF, FLOOR, WINDOWS, SampleTables
 from clientlens.plans.sliced_boards import sliced_boards
-from clientlens.sources import bucketed, rollups, snapshots, state
+from clientlens.sources import bucket_state, bucketed, rollups, snapshots, state
 from clientlens.sources.workdir import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,6 +299,20 @@ def _(t):
     return state.update_tracking(tracked, recovered, current, F.lit(LOGGED_AT).cast("timestamp"))
 
 
+@query("s7_update_tracking_by_buckets")
+def _(t):
+    """S7 on a state in buckets, of which only those with recovered or new clients are written again."""
+    path, key = f"{_run_folder(t.spark)}/inactive_tracking", ["debtor_no", "division_id"]
+    logged = F.lit(f"{STATE_DAY} 06:00:00").cast("timestamp")
+    bucket_state.replace_buckets(_tracked(t).withColumn("logged_at", logged), path, key)
+    tracked = bucket_state.read_buckets(t.spark, path)
+    current = reports.inactive_clients(t, AS_OF).select("debtor_no", "division_id", "last_job_date")
+    recovered = reports.recovered_clients(tracked, t, AS_OF)
+    updated = state.update_tracking(tracked, recovered, current, F.lit(LOGGED_AT).cast("timestamp"))
+    bucket_state.replace_buckets(updated, path, key)
+    return bucket_state.read_buckets(t.spark, path)
+
+
 @query("s8_zero_fill")
 def _(t):
     key = F.col("o_orderkey")
@@ -943,6 +957,23 @@ def _(t):
     )
 
 
+@query("r10_idle_improvements_by_buckets")
+def _(t):
+    """R10 against a stored state: only buckets with other clients than a year ago are read and compared."""
+    divisions, key = tuple(DIVISION_NAMES), ["division_id", "client_ref"]
+    before = conform.with_directory(
+        listings.idle_in_divisions(_a_year_ago(t, "enquiry_date"), W, divisions),
+        t["client"], t["temp_client"], ("client_ref", "division_id"),
+    )
+    path = f"{_run_folder(t.spark)}/idle"
+    bucket_state.replace_buckets(before.select(*key, "client_name"), path, key, of=key)
+    now = listings.idle_in_divisions(t, W, divisions)
+    changed = bucket_state.changed_buckets(now, path)
+    return reports.idle_improvements(
+        bucket_state.read_buckets(t.spark, path, changed), bucket_state.in_buckets(now, path, changed)
+    ).select("division_id", "client_ref", "client_name")
+
+
 @query("r11_idle_snapshot_all_divisions")
 def _(t):
     return listings.idle_snapshot_all_divisions(t, W, tuple(DIVISION_NAMES))

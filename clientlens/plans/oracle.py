@@ -1201,6 +1201,8 @@ def _complete(sql: str) -> str:
 QUERIES["r20_revenue_drop_in_one_pass"] = QUERIES["r20_revenue_drop"]
 QUERIES["s1_extract_declared"] = QUERIES["l1_country_listing"]
 QUERIES["s6_idle_state_round_trip"] = QUERIES["r11_idle_snapshot_all_divisions"]
+QUERIES["r10_idle_improvements_by_buckets"] = QUERIES["r10_idle_improvements"]
+QUERIES["s7_update_tracking_by_buckets"] = QUERIES["s7_update_tracking"]
 QUERIES["r19_monthly_revenue_bucketed"] = QUERIES["r19_monthly_revenue"]
 QUERIES["r20_revenue_drop_bucketed"] = QUERIES["r20_revenue_drop"]
 
