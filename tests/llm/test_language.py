@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from clientlens.llm import mixture_language as ml
 
+import plain_language
+from awkward_rows import AWKWARD
+
 SAMPLE = "/root/testdata/sf0.01"
 
 
@@ -53,3 +56,39 @@ def test_language_of_held_out_rows_is_not_read(spark):
     other = docs.withColumn("lang", F.when(ml.held_out(), F.lit("xx")).otherwise(F.col("lang")))
     one, two = (sorted(map(tuple, ml.identify(d).select("doc_id", "language.lang_pred", "language.score").collect())) for d in (docs, other))
     assert one == two
+
+
+def assert_plain(found, rows):
+    model = plain_language.learned([(i, text, lang) for i, text, lang in rows])
+    wanted = sorted(((i, text), plain_language.mixture(text, model)) for i, text, _ in rows)
+    got = sorted((((r.doc_id, r.text), r) for r in found), key=lambda x: x[0])
+    assert len(got) == len(wanted)
+    for (key, r), (wanted_key, share) in zip(got, wanted):
+        assert key == wanted_key
+        if not share:
+            assert (r.lang_pred, r.score, r.mixture) == (ml.UNKNOWN, 0.0, "")
+            continue
+        assert r.lang_pred == max(share, key=share.get) and r.n_languages == len(share)
+        assert abs(r.score - max(share.values())) < 0.005
+        for lang, s in share.items():
+            assert abs(float(dict(x.split(":") for x in r.mixture.split(","))[lang]) - s) < 0.005
+
+
+def test_equals_plain_mixtures(spark):
+    """Trigrams, segments, expectation-maximisation and penalties counted one by one, over a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert_plain(ml.identify(docs).select("doc_id", "text", "language.*").collect(), [(r.doc_id, r.text, r.lang) for r in docs.collect()])
+
+
+def test_awkward_rows_equal_plain_mixtures(table):
+    rows = [(i, text, lang) for i, text, lang, _ in AWKWARD if i is not None and text is not None]
+    df = table("doc_id long, text string, lang string", rows, ("language_of", "score", "a.b"))
+    assert_plain(ml.identify(df).select("doc_id", "text", "language.*").collect(), rows)
+
+
+def test_a_column_of_the_results_name_is_replaced(spark):
+    """`as_col` names the result; a column that is called so goes."""
+    docs = spark.createDataFrame([(1, "the thing and the other", "en", "mine")], "doc_id long, text string, lang string, language string")
+    assert ml.identify(docs).select("language.lang_pred").first()[0] == "en"
+    kept = ml.identify(docs, as_col="found").select("language", "found.lang_pred").first()
+    assert tuple(kept) == ("mine", "en")

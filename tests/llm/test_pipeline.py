@@ -1,9 +1,20 @@
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+import plain_language
+from awkward_rows import AWKWARD
+from clientlens.llm import mixing
+from clientlens.llm.queries import VOCABULARY
 from clientlens.llm.rows import stored
+from clientlens.sources.workdir import shared_folder
 
 SAMPLE = "/root/testdata/sf0.001"
 
@@ -38,9 +49,79 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in kept[-1].where("piece = 0").collect()) == ids[4]
 
 
-def test_awkward_rows(spark, awkward, empty):
-    for docs in (awkward, empty):
-        rows = docs
-        for _, stage in cp.STAGES:
-            rows = stored(stage(spark, rows, SAMPLE), "test")
-        assert rows.count() <= docs.count() * 100
+def copies(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def plain_language_stage(rows):
+    model = plain_language.learned([(i, text, lang) for i, text, lang, _ in rows])
+    kept = []
+    for row in rows:
+        share = plain_language.mixture(row[1], model)
+        if share and max(share.values()) >= cp.LEAST_SHARE:
+            kept.append(row)
+    return Counter(kept)
+
+
+def plain_mix(spark, docs):
+    """How often each document is taken, by the SQL of the operator."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    rows = con.sql(f"SELECT doc_id, sum(copies) FROM ({mixing.mix_sql(cp.MIX)}) GROUP BY ALL").fetchall()
+    return Counter({i: int(n) for i, n in rows if n})
+
+
+def plain_pieces(docs):
+    tokenizer, out = Tokenizer.from_file(VOCABULARY), Counter()
+    for i, text in ((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            out[(i, piece, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    return out
+
+
+def assert_gapless(packed):
+    by_sequence = defaultdict(list)
+    for r in packed.collect():
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for own in by_sequence.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_each_stage_equals_a_plain_version(spark, awkward):
+    """On a sample table and on awkward rows; the two stages of copies are compared pair by pair in `test_stages`."""
+    stages = dict(cp.STAGES)
+    for docs in (spark.read.parquet(f"{SAMPLE}/documents.parquet"), awkward):
+        columns = ("doc_id", "text", "lang", "source")
+        known = stored(stages["language"](spark, docs, SAMPLE), "test")
+        assert copies(known, *columns) == plain_language_stage([tuple(r) for r in docs.select(*columns).collect()])
+        taken = stored(stages["mix"](spark, known, SAMPLE), "test")
+        assert Counter({i: n for (i,), n in copies(taken, "doc_id").items()}) == plain_mix(spark, known.select(*columns))
+        packed = stored(stages["pack"](spark, taken, SAMPLE), "test")
+        assert copies(packed, "doc_id", "piece", "start", "length", "ids_crc32") == plain_pieces(taken)
+        assert_gapless(packed)
+
+
+def test_awkward_rows_go_through(spark, awkward, empty):
+    """Texts with no letter go; of equal texts, and of rows that are equal, one stays; everything else is packed."""
+    rows, ids = awkward, []
+    for name, stage in cp.STAGES:
+        rows = stored(stage(spark, rows, SAMPLE), "test")
+        ids.append(sorted((r.doc_id is None, r.doc_id) for r in rows.select("doc_id").collect()))
+    lettered = [i for i, text, _, _ in AWKWARD if any(c.isalpha() for c in text or "")]
+    assert ids[0] == sorted((i is None, i) for i in lettered)
+    # 1, 2, 2, 3 and a row without id have one text but for case; 7 and 8 have one
+    assert [i for _, i in ids[1]] == [3, 8, 9, 10]
+    assert ids[2] == ids[1]
+    assert set(ids[4]) == set(ids[3]) <= set(ids[2])
+    nothing = empty
+    for _, stage in cp.STAGES:
+        nothing = stored(stage(spark, nothing, SAMPLE), "test")
+    assert nothing.count() == 0
