@@ -192,7 +192,8 @@ def find_licences(docs: DataFrame, text_col: str = "text", as_col: str = "licenc
     n_words: the words of the text. n_base, first_word, last_word, base_labels: places of base phrases. labels: base
     labels, those of notices, and the licences that tagged expressions leave, distinct and sorted. score: how sure
     it is that the text carries a licence, 0 without any find. expressions: those after tags that could be parsed; others
-    give no label. terms: the tightest that apply, null without a licence. A null text is an empty one.
+    give no label. terms: the tightest that apply, null without a licence. A null text is an empty one. Texts of any length are scanned whole,
+    each row by itself, repeated ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
     """
     kind = pa.struct(
         [(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")]

@@ -215,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from at most `sample` labelled documents that are not held out.
 
     Which ones depends on a hash of their ids alone. The sample of ids is bounded, so it can go to every task and no text is
-    shuffled to meet it. Without labelled rows every score is 0.5.
+    shuffled to meet it. Several labels of one id count as the larger of them, several documents of one id each by itself. Without labelled
+    rows every score is 0.5.
     """
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("quality"))
@@ -242,7 +243,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "score") -> DataFrame:
-    """The documents with one more column, `as_col`: the probability of label 1. A null or empty text is one empty line."""
+    """The documents with one more column, `as_col`: the probability of label 1.
+
+    A null or empty text is one empty line. Every line of a text counts, however many there are; each row is scored by itself, repeated
+    ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
+    """
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

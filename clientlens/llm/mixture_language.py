@@ -179,7 +179,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     It has the likeliest language (the first by name of equal ones), its proportion, and the whole mixture. A text that is null
     or has no letter gets `und` with score 0, and so does every text if nothing could be learned. It is learned from
-    the rows that are not `held_out` and whose language is not null; a prediction sees nothing but the text.
+    the rows that are not `held_out` and whose language is not null; a prediction sees nothing but the text. Texts of any length are read
+    whole, each row by itself, repeated ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
     """
     docs = in_small_batches(docs)
     langs, table = learn(docs.where(~held_out(id_col)), text_col, lang_col)

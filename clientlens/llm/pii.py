@@ -39,7 +39,7 @@ IBAN_LENGTHS = range(15, 35)
 VALUE = LETTERS | DIGITS | frozenset("-_")
 ACCOUNT_DIGITS, SECRET_LENGTH = 6, 12  # a value with fewer is none
 
-RESULT = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string>"
+RESULT = f"struct<{','.join(f'n_{kind}:long' for kind in KINDS)},n_spans:long,base_sha256:string,spans:string>"
 
 
 def run(text: str, at: int, allowed: frozenset) -> int:
@@ -218,17 +218,19 @@ def scan(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, in
 def find_personal_data(docs: DataFrame, text_col: str = "text", as_col: str = "personal") -> DataFrame:
     """The documents with one more column, `as_col`, of type `RESULT`.
 
-    n_email, n_ip, n_card, n_phone: how many of each. spans: all, as kind:start:end by kind, then start, joined by commas;
-    positions count code points, ends are exclusive. base_sha256: of the same string of these four kinds alone.
-    Beyond them the method marks account numbers and secrets after their cues, and URLs. A null text is an empty one.
+    n_email, n_ip, n_card, n_phone, n_account, n_secret, n_url: how many of each, n_spans of all. spans: all, as kind:start:end by kind,
+    then start, joined by commas; positions count code points, ends are exclusive. base_sha256: of the same string of the first four kinds alone.
+    Beyond these the method marks account numbers and secrets after their cues, and URLs. A null text is an empty one. Texts of any length are
+    scanned whole, each row by itself, repeated ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
     """
-    kind = pa.struct([(f"n_{k}", pa.int64()) for k in BASE_KINDS] + [("base_sha256", pa.string()), ("spans", pa.string())])
+    kind = pa.struct([(f"n_{k}", pa.int64()) for k in (*KINDS, "spans")] + [("base_sha256", pa.string()), ("spans", pa.string())])
 
     def row(text: str | None, anchors: ahocorasick.Automaton) -> dict:
         spans = scan(text, anchors)
         base = [s for s in spans if s[0] in BASE_KINDS]
         joined = lambda some: ",".join(f"{k}:{a}:{b}" for k, a, b in some)
-        return {f"n_{k}": sum(s[0] == k for s in base) for k in BASE_KINDS} | {
+        return {f"n_{k}": sum(s[0] == k for s in spans) for k in KINDS} | {
+            "n_spans": len(spans),
             "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(),
             "spans": joined(spans),
         }

@@ -20,32 +20,39 @@ MIX = mixing.Mix(percent=90, epochs=1)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: without a letter, or with no language that holds LEAST_SHARE of a text, it goes."""
-    found = mixture_language.identify(docs, as_col="found_language")
-    known = (F.col("found_language.lang_pred") != mixture_language.UNKNOWN) & (F.col("found_language.score") >= LEAST_SHARE)
-    return found.where(known).select(*(found[f"`{c}`"] for c in docs.columns))
+    """Documents with a language: without a letter, or with no language that holds LEAST_SHARE of a text, it goes.
+
+    Where `lang` is null it becomes the language that was found, so that the mix knows it. Null and empty texts go; repeated rows are judged alike.
+    """
+    name = "found_language"
+    while name in docs.columns:
+        name += "_"
+    found = mixture_language.identify(docs, as_col=name)
+    known = (F.col(f"{name}.lang_pred") != mixture_language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SHARE)
+    filled = {c: F.coalesce(found[f"`{c}`"], F.col(f"{name}.lang_pred")).alias(c) if c == "lang" else found[f"`{c}`"] for c in docs.columns}
+    return found.where(known).select(*filled.values())
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; of rows with one id and text a single one."""
     found = stored(exact_dedup.find_duplicates(docs).select("part", "place", "mark", "kept"), "copies")
     mark = F.xxhash64(exact_dedup.normalised(F.col("text")))
     return without(docs, mark, found.where("not kept").drop("kept"), partition_sizes(found))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by similar sets of five-word runs, the one with the smallest id."""
+    """Of documents that are linked by similar sets of five-word runs, the one with the smallest id; texts without words stay."""
     found = stored(ngram_join.near_duplicates(docs).select("part", "place", "mark", "kept"), "classes")
     return without(docs, F.xxhash64("text"), found.where("not kept").drop("kept"), partition_sizes(found))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that fill the target mix."""
+    """The documents that fill the target mix, each once at most; a null source is a node without name."""
     return mixing.mixed(docs, MIX)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences; rows with one id are packed each by itself."""
     return packing.pack_documents(docs, VOCABULARY)
 
 

@@ -70,3 +70,16 @@ def test_usual_spellings_of_accounts_and_secrets():
         assert found == [(kind, value)], text
     for text in ("IBAN: DE88 3704 0044 0532 0130 00", "the secret organisation", "account no", "account number"):
         assert not [k for k, *_ in pii.scan(text, pii.automaton()) if k in ("account", "secret")], text
+
+
+def test_counts_are_those_of_the_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for r in pii.find_personal_data(docs).select("personal.*").collect():
+        kinds = [x.split(":")[0] for x in r.spans.split(",")] if r.spans else []
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [kinds.count(k) for k in pii.KINDS] and r.n_spans == len(kinds)
+
+
+def test_a_column_of_the_results_name_is_replaced(spark):
+    docs = spark.createDataFrame([("a@b.co", "mine")], "text string, personal string")
+    assert pii.find_personal_data(docs).select("personal.n_email").first()[0] == 1
+    assert tuple(pii.find_personal_data(docs, as_col="found").select("personal", "found.n_email").first()) == ("mine", 1)

@@ -59,7 +59,7 @@ def plain_language_stage(rows):
     for row in rows:
         share = plain_language.mixture(row[1], model)
         if share and max(share.values()) >= cp.LEAST_SHARE:
-            kept.append(row)
+            kept.append((*row[:2], row[2] or max(share, key=share.get), row[3]))
     return Counter(kept)
 
 
@@ -125,3 +125,12 @@ def test_awkward_rows_go_through(spark, awkward, empty):
     for _, stage in cp.STAGES:
         nothing = stored(stage(spark, nothing, SAMPLE), "test")
     assert nothing.count() == 0
+
+
+def test_a_missing_language_is_filled_in(spark):
+    docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").selectExpr(
+        "doc_id", "text", "IF(doc_id % 4 = 0, NULL, lang) AS lang", "source", "'mine' AS found_language", "lang AS true_lang"
+    )
+    rows = cp.language(spark, docs, SAMPLE).collect()
+    assert {r.found_language for r in rows} == {"mine"} and len(rows) == docs.count()
+    assert sum(r.lang == r.true_lang for r in rows) >= 0.98 * len(rows)
