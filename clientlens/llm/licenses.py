@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import in_small_batches, pieces
+from .texts import in_small_batches, pieces, valid
 
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -193,7 +193,7 @@ def find_licences(docs: DataFrame, text_col: str = "text", as_col: str = "licenc
     labels, those of notices, and the licences that tagged expressions leave, distinct and sorted. score: how sure
     it is that the text carries a licence, 0 without any find. expressions: those after tags that could be parsed; others
     give no label. terms: the tightest that apply, null without a licence. A null text is an empty one. Texts of any length are scanned whole,
-    each row by itself, repeated ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
+    each row by itself, repeated ones too; malformed UTF-8 is read with replacement characters. An empty table gives no rows. A column that is called `as_col` is replaced.
     """
     kind = pa.struct(
         [(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")]
@@ -206,4 +206,4 @@ def find_licences(docs: DataFrame, text_col: str = "text", as_col: str = "licenc
         for batch in batches:
             yield pa.array([scan(text, phrases) for texts in pieces(batch) for text in texts], kind)
 
-    return in_small_batches(docs).withColumn(as_col, licences(F.col(text_col)))
+    return in_small_batches(docs).withColumn(as_col, licences(valid(F.col(text_col))))

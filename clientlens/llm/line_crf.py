@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import in_small_batches, pieces
+from .texts import in_small_batches, pieces, valid
 
 SAMPLE = 5000  # labelled texts that are learned from, at most; the first by a hash of their ids
 SAMPLE_LINES = 300  # longer texts are not learned from, but scored like all others
@@ -230,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "id")
         .where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]+", "")) < SAMPLE_LINES)
-        .select("quality", F.coalesce("text", F.lit("")).alias("text"))
+        .select("quality", valid(F.coalesce("text", F.lit(""))).alias("text"))
         .mapInArrow(_described, "quality int, x binary, lengths binary")
         .toArrow()
     )
@@ -246,7 +246,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", as_col:
     """The documents with one more column, `as_col`: the probability of label 1.
 
     A null or empty text is one empty line. Every line of a text counts, however many there are; each row is scored by itself, repeated
-    ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
+    ones too. Malformed UTF-8 is read with replacement characters. An empty table gives no rows. A column that is called `as_col` is replaced.
     """
 
     @F.arrow_udf("double")
@@ -256,4 +256,4 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", as_col:
             scores = [model.score(*features([t or "" for t in texts], kinds)) for texts in pieces(batch, BYTES)]
             yield pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
 
-    return in_small_batches(docs).withColumn(as_col, score(F.col(text_col)))
+    return in_small_batches(docs).withColumn(as_col, score(valid(F.col(text_col))))

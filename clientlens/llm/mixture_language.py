@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import in_small_batches, pieces
+from .texts import in_small_batches, pieces, valid
 
 BUCKETS = 1 << 15  # of hashed trigrams: the model is BUCKETS numbers a language
 SEGMENT = 24  # trigrams
@@ -78,8 +78,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     and bucket. Rows whose text or language is null teach nothing.
     """
     counts = (
-        labelled.select(F.col(lang_col).cast("string"), F.col(text_col))
-        .where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+        labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+        .select(valid(F.col(lang_col).cast("string")), valid(F.col(text_col)))
         .mapInArrow(count_trigrams, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
@@ -180,8 +180,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     It has the likeliest language (the first by name of equal ones), its proportion, and the whole mixture. A text that is null
     or has no letter gets `und` with score 0, and so does every text if nothing could be learned. It is learned from
     the rows that are not `held_out` and whose language is not null; a prediction sees nothing but the text. Texts of any length are read
-    whole, each row by itself, repeated ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
+    whole, each row by itself, repeated ones too; malformed UTF-8 is read with replacement characters. An empty table gives no rows. A column that is called `as_col` is replaced.
     """
     docs = in_small_batches(docs)
     langs, table = learn(docs.where(~held_out(id_col)), text_col, lang_col)
-    return docs.withColumn(as_col, predictor(langs, table)(F.col(text_col)))
+    return docs.withColumn(as_col, predictor(langs, table)(valid(F.col(text_col))))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import Scan, partition_sizes, stored
-from .texts import in_small_batches
+from .texts import in_small_batches, valid
 from .words import Hasher, batched, grams, mixed
 
 RUN = 5  # words
@@ -189,7 +189,7 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = in_small_batches(docs)
     n_bands, values = bands(similarity, recall)
-    scan = Scan(docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id")))
+    scan = Scan(docs.select(F.xxhash64(text_col).alias("mark"), valid(F.col(text_col)).alias("text"), F.col(id_col).cast("long").alias("id")))
     rows = stored(
         scan.places("id", "text").mapInArrow(
             _sketcher(n_bands, values), "row long, part int, place long, mark long, id long, set binary, n long, bands array<long>"
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id: the smallest id among all documents linked with it, directly or not. n_links: how many other documents
     are similar enough to it, copies included. n_copies: how many have the same set. kept: one document of each class, the one with the smallest
-    id. A text without words (null counts as one) is alone. Null ids come last; of rows with one id, one is kept. Other columns are
+    id. A text without words (null counts as one) is alone. Malformed UTF-8 is read with replacement characters. Null ids come last; of rows with one id, one is kept. Other columns are
     not read. An empty table gives no rows.
     """
     rows, nodes, links = linked_sets(docs, id_col, text_col, similarity, recall)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .rows import stored
-from .texts import in_small_batches, pieces
+from .texts import in_small_batches, pieces, valid
 
 GROUP = 8_192  # pieces packed together
 BYTES = 500_000  # of text split at once
@@ -186,7 +186,7 @@ def cut(docs: DataFrame, vocabulary: str, tokens: int, id_col: str = "doc_id", t
             )
 
     return in_small_batches(docs).select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), valid(F.col(text_col)).alias("text")
     ).mapInArrow(cut_batches, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -238,8 +238,8 @@ def pack(parts: DataFrame, n_groups: int, capacity: Capacity) -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is one piece that holds only the end of the document. Rows with one id are packed each by itself. Other
-    columns are not read. An empty table gives no rows. Capacities must let any single piece in.
+    A null or empty text is one piece that holds only the end of the document. Malformed UTF-8 is read with replacement
+    characters. Rows with one id are packed each by itself. Other columns are not read. An empty table gives no rows. Capacities must let any single piece in.
     `vocabulary`: path of the tokenizer's file, which every executor has.
     """
     if capacity.documents < 1 or capacity.attention < capacity.tokens**2:

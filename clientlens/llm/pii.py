@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import in_small_batches, pieces
+from .texts import in_small_batches, pieces, valid
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -221,7 +221,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", as_col: str = "p
     n_email, n_ip, n_card, n_phone, n_account, n_secret, n_url: how many of each, n_spans of all. spans: all, as kind:start:end by kind,
     then start, joined by commas; positions count code points, ends are exclusive. base_sha256: of the same string of the first four kinds alone.
     Beyond these the method marks account numbers and secrets after their cues, and URLs. A null text is an empty one. Texts of any length are
-    scanned whole, each row by itself, repeated ones too. An empty table gives no rows. A column that is called `as_col` is replaced.
+    scanned whole, each row by itself, repeated ones too; malformed UTF-8 is read with replacement characters. An empty table gives no rows. A column that is called `as_col` is replaced.
     """
     kind = pa.struct([(f"n_{k}", pa.int64()) for k in (*KINDS, "spans")] + [("base_sha256", pa.string()), ("spans", pa.string())])
 
@@ -241,4 +241,4 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", as_col: str = "p
         for batch in batches:
             yield pa.array([row(text, anchors) for texts in pieces(batch) for text in texts], kind)
 
-    return in_small_batches(docs).withColumn(as_col, personal(F.col(text_col)))
+    return in_small_batches(docs).withColumn(as_col, personal(valid(F.col(text_col))))

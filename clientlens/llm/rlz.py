@@ -154,8 +154,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_or_first = F.coalesce("id", F.lit(FIRST))
     rows = stored(Scan(base).places("id", "sha"), "rows")
     originals = rows.groupBy("sha").agg(F.count("*").alias("n"), F.min(id_or_first).alias("copy_of"), F.min_by("row", id_or_first).alias("original"))
+    originals = stored(originals.where("n > 1"), "originals")  # a shuffle of its own before the join, so that a text of many rows is split there
     copies = stored(
-        rows.join(originals.where("n > 1"), "sha").where(F.col("row") != F.col("original")).select("row", "part", "place", "mark", "copy_of"), "copies"
+        rows.join(originals, "sha").where(F.col("row") != F.col("original")).select("row", "part", "place", "mark", "copy_of"), "copies"
     )
     sizes = partition_sizes(rows)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BYTES = 500_000  # of text worked on at once; a longer text is a piece of its own
 
@@ -22,6 +23,11 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def valid(text: Column) -> Column:
+    """A text column that Python can decode: malformed UTF-8 becomes the replacement character, everything else stays as it is."""
+    return F.make_valid_utf8(text)
+
+
 def pieces(texts: pa.Array, limit: int = BYTES) -> Iterator[list[str | None]]:
     """The texts in order, in lists of at most `limit` characters of text, or of one text."""
     piece, size = [], 0
