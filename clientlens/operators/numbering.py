@@ -22,13 +22,15 @@ def numbered(
     the rows are range-partitioned by section and order and sorted inside their partitions, so every section spans as
     many partitions as it needs and lies in one piece in each. A row's number is its place in its partition, less that
     of the section's first row there, plus the section's rows in earlier partitions. The rows move once; they are
-    written to the shared folder, since counts and rows must agree on the place of every row even if an executor is lost.
+    written to the shared folder, since counts and rows must agree on the place of every row even if an executor is lost. They are
+    written as given before that, as the ranges are found from a sample: what they come from is worked out once.
     """
     spark, section = df.sparkSession, list(section)
     folder = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
     keys = [F.col(s) for s in section]
+    df.write.parquet(f"{folder}/given")
     (
-        df.repartitionByRange(*keys, *order)
+        spark.read.schema(df.schema).parquet(f"{folder}/given").repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_place", F.monotonically_increasing_id())
         .write.parquet(f"{folder}/rows")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,6 +175,29 @@ def _(t):
     return listings.country_listing(loaded, W)
 
 
+@query("s1_extract_all_tables")
+def _(t):
+    """All 18 source tables through the declared extract, snapshots and load: rows, sum of keys, days and texts of each."""
+    folder = _run_folder(t.spark)
+    extracted = {n: snapshots.extract_table(_source_form(t[n], n), n, FLOOR_DAY) for n in schemas.SOURCE_TABLES}
+    snapshots.write_snapshots(extracted, folder)
+    loaded = snapshots.load_tables(t.spark, folder, views=False)
+    day = {**schemas.YEAR_OF, "sales_order": "ord_date", "client_activity": "enquiry_date"}
+    shown = []
+    for name, df in loaded.items():
+        days = F.col(day[name]) if name in day else F.lit(None).cast("date")
+        shown.append(
+            df.agg(
+                F.lit(name).alias("table_name"),
+                F.count("*").alias("rows"),
+                F.coalesce(F.sum(F.col(schemas.KEY[name][0]).cast("bigint")), F.lit(0)).alias("key_sum"),
+                F.min(days).alias("first_day"),
+                F.max(days).alias("last_day"),
+            )
+        )
+    return reduce(DataFrame.unionByName, shown)
+
+
 @query("s2_normalize_dates")
 def _(t):
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")

@@ -152,6 +152,25 @@ MAPPING = {
                INT(100 + p_partkey % 97) AS sub_division_id,
                IF(p_partkey % 10 = 0, 0, 1) AS status
         FROM {part}""",
+    "sales_order": """
+        SELECT order_key AS order_no, 30 AS trans_type, INT(order_key % 4) AS job_type, cust_key + 1 AS debtor_no,
+               concat('SO', order_key) AS reference, order_date AS ord_date, company AS dimension_id,
+               division AS dimension2_id, subdivision AS dimension3_id, rate
+        FROM {sample_orders}""",
+    "sales_order_reference": """
+        SELECT order_key AS sales_order_reference_id, 30 AS trans_type, order_key AS trans_no, 10 AS ref_trans_type,
+               order_key AS ref_trans_no, concat('R', order_key) AS reference
+        FROM {sample_orders}""",
+    "credit_note": """
+        SELECT l.order_key AS trans_no, 11 AS type, o.cust_key + 1 AS debtor_no, l.tran_date, l.order_key AS order_,
+               CAST(CAST(l.cents AS DECIMAL(18,0)) * 0.01BD AS DECIMAL(18,4)) AS ov_amount, o.rate,
+               o.company AS dimension_id, o.division AS dimension2_id, o.subdivision AS dimension3_id, 0 AS is_write_off
+        FROM (SELECT l_orderkey AS order_key, max(DATE(l_shipdate)) AS tran_date, sum(BIGINT(rint(l_extendedprice * 100))) AS cents
+              FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey) l
+        JOIN {sample_orders} o ON l.order_key = o.order_key""",
+    "enquiry_job_activity": """
+        SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS client_enquiry_id, STRING(l_partkey) AS activity_code
+        FROM {lineitem}""",
     "credit_period": """
         SELECT o.cust_key + 1 AS debtor_no, INT(o.cust_key % 90) AS current_credit_period,
                date_sub(max(l.ship_date), INT(60 + o.cust_key % 700)) AS date_of_curr_pmnt

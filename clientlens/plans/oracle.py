@@ -1201,6 +1201,34 @@ def _complete(sql: str) -> str:
 QUERIES["r20_revenue_drop_in_one_pass"] = QUERIES["r20_revenue_drop"]
 QUERIES["s1_extract_declared"] = QUERIES["l1_country_listing"]
 QUERIES["s6_idle_state_round_trip"] = QUERIES["r11_idle_snapshot_all_divisions"]
+# Table -> its rows, their key and their day in the sample.
+EXTRACTS = {
+    "client": ("g_client", "debtor_no", None),
+    "temp_client": ("g_temp", "temp_clients_id", None),
+    "sales_order": ("g_orders", "k", "order_date"),
+    "sales_order_reference": ("g_orders", "k", None),
+    "payment_allocation": ("g_payment", "NULL", "date_alloc"),
+    "client_status": ("g_status", "id", None),
+    "client_type": ("g_sector", "id", None),
+    "credit_period": ("g_credit", "debtor_no", None),
+    "country": ("g_country", "id", None),
+    "region": ("g_region", "id", None),
+    "dimension": ("g_dimension", "id", None),
+    "enquiry": ("g_enquiry", "client_enquiry_id", "enquiry_date"),
+    "invoice": ("g_invoice", "trans_no", "tran_date"),
+    "credit_note": (
+        "(SELECT l_orderkey AS k, MAX(CAST(l_shipdate AS DATE)) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)", "k", "d"
+    ),
+    "client_activity": ("g_activity", "NULL", "enquiry_date"),
+    "activity_code_activity": ("g_code_activity", "NULL", None),
+    "job_activity": ("(SELECT p_partkey FROM part)", "p_partkey", None),
+    "enquiry_job_activity": ("lineitem", "l_orderkey * 10 + l_linenumber", None),
+}
+QUERIES["s1_extract_all_tables"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, COUNT(*) AS rows, CAST(COALESCE(SUM({key}), 0) AS BIGINT) AS key_sum,
+        CAST(MIN({day or 'NULL'}) AS DATE) AS first_day, CAST(MAX({day or 'NULL'}) AS DATE) AS last_day FROM {source}"""
+    for name, (source, key, day) in EXTRACTS.items()
+)
 QUERIES["r10_idle_improvements_by_buckets"] = QUERIES["r10_idle_improvements"]
 QUERIES["s7_update_tracking_by_buckets"] = QUERIES["s7_update_tracking"]
 QUERIES["r19_monthly_revenue_bucketed"] = QUERIES["r19_monthly_revenue"]
