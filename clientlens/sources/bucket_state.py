@@ -53,9 +53,19 @@ def replace_buckets(df: DataFrame, path: str, key: Iterable[str], buckets: int =
     """Commit `df` as the state; only buckets that differ from the committed one are written. Returns these buckets.
 
     Another key, number of buckets or set of columns writes all of them. If another run commits meanwhile, the comparison is made anew.
+    The rows are worked out once and staged, so that digests and rows agree.
     """
     spark, key, of = df.sparkSession, list(key), sorted(of or df.columns)
-    now = digests(df, key, buckets, of)
+    staged = f"{path}/{commits.fresh('_staged')}"
+    df.write.parquet(staged)
+    try:
+        return _replace(spark.read.schema(df.schema).parquet(staged), path, key, buckets, of, tries)
+    finally:
+        commits.discard(spark, staged)
+
+
+def _replace(df: DataFrame, path: str, key: list[str], buckets: int, of: list[str], tries: int) -> list[int]:
+    spark, now = df.sparkSession, digests(df, key, buckets, of)
     for _ in range(tries):
         number, entry = commits.latest(spark, path)
         alike = entry is not None and (entry["key"], entry["n"], entry["of"]) == (key, buckets, of)
