@@ -29,10 +29,10 @@ from .rows import stored
 from .texts import in_small_batches, pieces, valid
 
 GROUP = 8_192  # pieces packed together
-BYTES = 500_000  # of text split at once
+BYTES = 1_000_000  # of text split at once
 END = 0  # the id after each document
 SPACE, LETTER, DIGIT, OTHER, LINE, CONTROL = range(6)
-CACHE = 16_000_000  # bytes of runs remembered in a task, at most, besides those of the texts at hand
+CACHE = 32_000_000  # bytes of runs remembered in a task, at most, besides those of the texts at hand
 RUN_COST = 230  # bytes that a remembered run takes beside its characters and ids
 
 
