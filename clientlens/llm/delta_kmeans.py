@@ -184,8 +184,9 @@ def cluster_vectors(
         "centroid_sha256",
     )
     placed = stored(placed, "distances")
-    spread = placed.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    spread = spread.crossJoin(spread.agg(F.sum("cluster_inertia").alias("inertia")))  # one row for each centroid, and one
+    sums = {r["cluster"]: r["n"] for r in placed.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}  # one for each centroid
+    total = sum(sums.values())
+    spread = spark.createDataFrame([(j, n, total) for j, n in sums.items()], "cluster int, cluster_inertia long, inertia long")
     return placed.join(F.broadcast(spread), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )

@@ -115,6 +115,11 @@ def test_empty_table(empty):
     assert found(empty) == []
 
 
+def test_only_texts_without_tokens(table, plain):
+    rows = [(i, text, None, None) for i, text in enumerate([None, "", None, ""])]
+    assert found(table(COLUMNS, rows)) == plain([(i, t) for i, t, _, _ in rows])
+
+
 def test_pair_counts(table, spark):
     docs = table(COLUMNS, [(1, "the cat", None, None), (2, "the cat the cat", None, None), (3, "a dog", None, None)])
     counts = token_alignment.pair_counts(token_alignment.align_blocks(docs, BYTE_LEVEL, PIECES)).collect()
