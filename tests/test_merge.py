@@ -139,6 +139,17 @@ def test_one_writer_gets_a_number(spark, where):
     assert not [n for n in commits.children(spark, f"{where}/_commits") if not n.endswith(".json")]
 
 
+@pytest.mark.parametrize("move", ["_link", "_rename"])
+def test_what_stands_is_not_replaced(move, spark, where, monkeypatch):
+    """By a link as on this disk, and by a rename as on other file systems."""
+    monkeypatch.setattr(commits, "_link", getattr(commits, move))
+    assert commits.try_commit(spark, where, 1, {"by": "first"})
+    assert not commits.try_commit(spark, where, 1, {"by": "second"})
+    assert commits.try_commit(spark, where, 2, {"by": "second"})
+    assert commits.record(spark, where, 1) == {"by": "first"} and commits.latest(spark, where) == (2, {"by": "second"})
+    assert [n for n in commits.children(spark, f"{where}/_commits") if not n.endswith(".crc")] == ["000000001.json", "000000002.json"]
+
+
 def test_two_writers_of_a_state_make_two_versions(spark, frame, where):
     with ThreadPoolExecutor(2) as pool:
         done = list(pool.map(lambda i: state.replace_state(frame("k INT", (i,)), where), (1, 2)))
