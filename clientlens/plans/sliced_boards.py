@@ -2,8 +2,8 @@
 
 A board is made of figures over entities (countries, clients, activity codes) and of sums of amounts. Both have states that can be merged: the last
 date of an entity, and a sum. Facts are first reduced to one state per entity and cell, a cell being a combination of division, sub-division, country,
-region and sector. Grouping sets then merge cells into slices, and only what is left of a fact after the first reduction is
-multiplied by the number of sets.
+region and sector. Cells are then merged into slices, and only what is left of a fact after the first reduction is multiplied by the number of
+sets: by grouping sets where the cells are few, and inside tasks that hold all cells of an entity where there is no bound to the entities.
 
 Idle counts need no set of their own. What a slice has not seen but its place and sector have is the difference of two counts of history, that
 of the slice without its divisions less its own, since whoever has history in the slice has it around it too.
@@ -58,6 +58,22 @@ def _merged(cells: DataFrame, sets: Sets, entity: Iterable[str], states: list[Co
     return grouped.filter(named).drop(*[f"open_{c}" for c in _SLICE])
 
 
+def _merged_in_place(cells: DataFrame, sets: Sets, entity: str, states: list[Column]) -> DataFrame:
+    """The same for many entities. All cells of an entity are dealt to one task, so what the sets multiply is not moved.
+
+    Cells are small when they are dealt and many once multiplied, so there are more tasks than for other shuffles, and AQE, which knows the
+    cells alone, does not merge them.
+    """
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")) * max(1, len(sets) // 8)
+    # A set as a number, a bit for each key: a row is repeated for each and then loses the keys that the set leaves open.
+    numbers = sorted({sum(1 << i for i, key in enumerate(KEYS) if key in keys) for keys in sets})
+    taken = [F.col("of").bitwiseAND(1 << i) != 0 for i in range(len(KEYS))]
+    named = reduce(Column.__and__, [~held | F.col(c).isNotNull() for held, c in zip(taken, _SLICE)])
+    listed = cells.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(f'({n})' for n in numbers)} AS t(of)")
+    repeated = cells.repartition(tasks, entity).crossJoin(listed).filter(named)
+    return repeated.withColumns({c: F.when(held, F.col(c)) for held, c in zip(taken, _SLICE)}).groupBy(*_SLICE, entity).agg(*states)
+
+
 def _latest(*also: str) -> list[Column]:
     return [F.max(c).alias(c) for c in ("enquiry_date", "job_date", *also)]
 
@@ -95,12 +111,7 @@ def client_boards(activity: DataFrame, client: DataFrame, w: Windows, sets: Sets
     statuses = client.select(
         F.col("debtor_no").cast("bigint").alias("entity"), F.col("client_status").cast("int").alias("status_id")
     )
-    last = _merged(
-        cells.join(statuses, "entity", "left"),
-        sets,
-        ["entity"],
-        _latest("status_id"),
-    )
+    last = _merged_in_place(cells.join(statuses, "entity", "left"), sets, "entity", _latest("status_id"))
     since = has_history("enquiry_date", w)
     return _board_of(
         last,
@@ -129,7 +140,7 @@ def activity_code_boards(
     placed = reduced.join(live.distinct(), "activity_code").join(regions, "country_id", "left")
     columns = {**VIEW_COLUMNS, "division": "division_id", "subdivision": "sub_division_id"}
     cells = _last_days(placed.select("*", *_keys(placed, columns)), F.col("activity_code"))
-    last = _merged(cells, sets, ["entity"], _latest())
+    last = _merged_in_place(cells, sets, "entity", _latest())
     since = f"enquiry_date >= DATE'{w.floor}'"
     return _board_of(
         last, [*kpis.lifecycle("enquiry_date", w, "enquiry", since), *kpis.lifecycle("job_date", w, "job", since)]

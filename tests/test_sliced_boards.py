@@ -11,7 +11,7 @@ from test_plans import plan, scanned
 from clientlens.model import NO_SLICE, Slice
 from clientlens.plans.board import whole_board
 from clientlens.plans.mapping import WINDOWS
-from clientlens.plans.sliced_boards import KEYS, board_of, sliced_boards
+from clientlens.plans.sliced_boards import KEYS, UP_TO_TWO_KEYS, activity_code_boards, board_of, client_boards, sliced_boards
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,17 @@ def test_each_fact_is_scanned_once(snapshots):
     text = plan(sliced_boards(snapshots, WINDOWS), "simple")
     for below in text.split("Expand")[1:]:
         assert "HashAggregate" in below.split("FileScan")[0]
+
+
+def test_slices_of_many_entities_are_not_moved(spark, snapshots):
+    """Rows are dealt by entity, in a fixed number of tasks, before the sets multiply them; then only figures of slices move."""
+    t, sets = snapshots, UP_TO_TWO_KEYS
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for boards in (
+        client_boards(t["client_activity"], t["client"], WINDOWS, sets),
+        activity_code_boards(t["activity_code_activity"], t["job_activity"], t["country"], WINDOWS, sets),
+    ):
+        text = plan(boards, "simple")
+        assert "Expand" not in text
+        figures, dealt = text.split("REPARTITION_BY_NUM")[0].split("BroadcastNestedLoopJoin")
+        assert figures.count("Exchange") == 1 and "hashpartitioning(entity" in dealt and f", {2 * partitions})" in dealt
