@@ -23,6 +23,7 @@ from clientlens.model import BLACKLISTED_STATUS, CLOSED_STATUS, NO_SLICE, Slice,
 from clientlens.operators import conform, kpis
 from clientlens.operators.slices import VIEW_COLUMNS, as_number
 
+ROWS_PER_FILE = 4096  # 16 MB of bitmaps; they shrink many times in a file, and what a task reads in one split comes out again at full size
 KEYS = ("division", "country", "region", "sector")
 WHO = {"all": "true", "registered": "client_ref > 0", "blacklisted": None, "closed": None}
 
@@ -116,7 +117,8 @@ def client_sets(
 ) -> DataFrame:
     """The table: the keys, which set, bucket and bitmap of its clients.
 
-    The activity is reduced to one row per client and cell before its sets are told, and bitmaps are made in partial aggregates.
+    The activity is reduced to one row per client and cell before its sets are told. All cells of a bucket are made by one task, a cell after the
+    other: that is a bitmap for each set in memory, and rows of a bucket lie together where the table is written.
     """
     recent = kpis.live_activity(activity).filter(F.col("enquiry_date") >= F.lit(w.floor))
     recent = recent.withColumn("client_ref", conform.client_ref(F.col("debtor_no"), F.col("temp_client_id")))
@@ -130,18 +132,23 @@ def client_sets(
     )
     since = f"e >= DATE'{_after(w.floor)}'"
     who = {**WHO, "blacklisted": f"status_id IN ({sql.ids(blacklisted)})", "closed": f"status_id IN ({sql.ids(closed)})"}
-    tests = {}
+    number, tests = client_number(F.col("client_ref")), {}
     for of in _needed(w):
         whose, column, first = of
         met = {"e": f"e >= DATE'{first}'", "j": f"j >= DATE'{first}'", "u": f"(j >= DATE'{first}' OR {since})"}[column]
         tests[_name(of)] = f"{who[whose]} AND {met}"
-    held = ", ".join(f"IF({test}, {sql.text(name)}, NULL)" for name, test in tests.items())
-    number = client_number(F.col("client_ref"))
+    members = cells.join(statuses, "client_ref", "left").select(
+        *keys, F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("position"), "client_ref", "e", "j", "status_id"
+    )
+    bitmaps = [F.bitmap_construct_agg(F.expr(f"IF({test}, position, NULL)")).alias(name) for name, test in tests.items()]
+    held = [F.when(F.bitmap_count(name) > 0, F.struct(F.lit(name).alias("set"), F.col(name).alias("clients"))) for name in tests]
     return (
-        cells.join(statuses, "client_ref", "left")
-        .select(*keys, number.alias("number"), F.explode(F.expr(f"array_compact(array({held}))")).alias("set"))
-        .groupBy(*keys, "set", F.bitmap_bucket_number("number").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("clients"))
+        # Clients are dealt out before there are bitmaps: what is sorted is a row for a client and cell, and no bitmap is shuffled.
+        members.repartition("bucket")
+        .groupBy("bucket", *keys)
+        .agg(*bitmaps)
+        .select(*keys, "bucket", F.explode(F.array_compact(F.array(*held))).alias("held"))
+        .select(*keys, "held.set", "bucket", "held.clients")
     )
 
 

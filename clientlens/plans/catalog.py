@@ -699,7 +699,7 @@ def _(t):
 def _stored_sets(t) -> DataFrame:
     """The bitmaps of the clients, written once and read back."""
     folder = f"{_run_folder(t.spark)}/client_sets"
-    snapshots.write_snapshot(bitmaps.client_sets(t["client_activity"], t["client"], W), folder)
+    snapshots.write_snapshot(bitmaps.client_sets(t["client_activity"], t["client"], W), folder, rows_per_file=bitmaps.ROWS_PER_FILE)
     return snapshots.read_snapshot(t.spark, folder)
 
 

@@ -147,19 +147,21 @@ def write_folder(path: str, name: str) -> str:
     return f"{path}/{_ROWS}/{_WRITE}={name}"
 
 
-def write_rows(df: DataFrame, path: str, year_of: str | None) -> str:
+def write_rows(df: DataFrame, path: str, year_of: str | None, rows_per_file: int = 0) -> str:
     """Write rows to a folder of their own, by year if there is a date to go by; returns its name."""
     name = commits.fresh("w")
     target = write_folder(path, name)
+    limits = {"maxRecordsPerFile": rows_per_file} if rows_per_file else {}
     if year_of is None:
-        df.write.parquet(target)
+        df.write.options(**limits).parquet(target)
         return name
     year = year_folder(year_of)
     (
         df.withColumn(year, F.year(year_of))
         .hint("rebalance", F.col(year))
         .sortWithinPartitions(year, year_of)
-        .write.partitionBy(year)
+        .write.options(**limits)
+        .partitionBy(year)
         .parquet(target)
     )
     return name
@@ -204,7 +206,12 @@ def manifest(schema: T.StructType, year_of: str | None, key: list[str], parts: M
 
 
 def write_snapshot(
-    df: DataFrame, path: str, year_of: str | None = None, years: Iterable[int] | None = None, key: Iterable[str] = ()
+    df: DataFrame,
+    path: str,
+    year_of: str | None = None,
+    years: Iterable[int] | None = None,
+    key: Iterable[str] = (),
+    rows_per_file: int = 0,
 ) -> int:
     """The next version of a snapshot, which is returned; with `year_of`, one folder per year of that date column.
 
@@ -213,18 +220,19 @@ def write_snapshot(
     row that moved into the years stands in its old year as well, unless that is named too.
 
     The rebalance hint lets AQE split a year that holds most of the rows over many tasks and files, and merge small
-    ones. Rows are sorted by date inside each file, so that the Parquet statistics prune row groups within a year.
+    ones. Rows are sorted by date inside each file, so that the Parquet statistics prune row groups within a year. `rows_per_file`: of this
+    write, at most; by default the session's own limit, if it has one.
     """
     spark, key = df.sparkSession, list(key)
     if year_of is None or years is None:
-        name = write_rows(df, path, year_of)
+        name = write_rows(df, path, year_of, rows_per_file)
         parts = parts_of(spark, path, name, df.schema, year_of, key)
         return commits.commit(spark, path, lambda number, entry: manifest(df.schema, year_of, key, parts))
     years = sorted(set(years))
     rows = df.filter(F.year(year_of).isin(*years))
     if key and commits.numbers(spark, path):
         return merge_snapshot(rows, path, key, years=years)
-    name = write_rows(rows, path, year_of)
+    name = write_rows(rows, path, year_of, rows_per_file)
     parts = parts_of(spark, path, name, df.schema, year_of, key)
 
     def with_others(number: int, entry: dict | None) -> dict:

@@ -78,3 +78,21 @@ def test_a_slice_of_an_unknown_key_is_refused(sample):
 def test_counts_read_the_table_only(sets, sample):
     assert "Aggregate" in plan(bitmaps.listing_sizes(sets, WINDOWS), "simple")
     assert "Expand" not in plan(bitmaps.listing_sizes(sets, WINDOWS), "simple")  # no distinct count left
+
+
+def test_no_bitmap_is_shuffled_when_sets_are_made(sample):
+    """Clients are dealt by bucket once; what follows the first bitmaps is one task's."""
+    text = plan(bitmaps.client_sets(sample["client_activity"], sample["client"], WINDOWS), "simple")
+    made = text[: text.rindex("bitmap_construct_agg")]
+    assert "bitmap_construct_agg" in made and "Exchange" not in made
+
+
+def test_empty_sets_are_not_stored(spark):
+    activity = spark.sql(
+        "SELECT bigint(5) AS debtor_no, bigint(0) AS temp_client_id, 3 AS division, 1 AS sub_division, 1 AS country_id, 1 AS region_id, "
+        "2 AS client_type, DATE'1996-05-01' AS enquiry_date, CAST(NULL AS DATE) AS job_date"
+    )
+    client = spark.sql("SELECT bigint(5) AS debtor_no, 1 AS client_status")
+    found = bitmaps.client_sets(activity.unionAll(activity), client, WINDOWS, ("division",)).select("set", F.bitmap_count("clients").alias("n")).collect()
+    assert found and all(r["n"] == 1 for r in found) and len({r["set"] for r in found}) == len(found)
+    assert not [r for r in found if "_j_" in r["set"] or r["set"].startswith(("blacklisted", "closed"))]

@@ -241,3 +241,12 @@ def test_a_local_session_is_not_changed():
     session = FakeSession("local[2]", None)
     assert shared_folder(session) == shared_folder(session)
     assert session.sparkContext.getCheckpointDir() is None
+
+
+def test_rows_per_file_bound_the_files_of_a_snapshot(spark):
+    """A task that reads whole files holds no more rows than they have, however well they shrink."""
+    path = folder(spark)
+    snapshots.write_snapshot(spark.range(35, numPartitions=1), path, rows_per_file=10)
+    stored = snapshots.read_snapshot(spark, path)
+    per_file = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert sorted(per_file) == [5, 10, 10, 10] and rows(stored) == [(i,) for i in range(35)]
