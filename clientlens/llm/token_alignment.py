@@ -125,21 +125,24 @@ class Second:
 
 
 @lru_cache(maxsize=1)  # a worker goes on to further tasks
-def vocabularies(first: str, second: str) -> tuple[First, Second, list[str]]:
+def vocabularies(first: str, second: str) -> tuple[First, Second, np.ndarray]:
     one, two = First(first), Second(second)
     # Decimal ids with what may follow them: "," or "|" in the first list, "," or ";" in the second.
     n, m = len(one.bytes.sizes), len(two.bytes.sizes)
     shown = [f"{i}," for i in range(n)] + [f"{i}|" for i in range(n)] + [f"{i}," for i in range(m)] + [f"{i};" for i in range(m)]
-    return one, two, shown
+    return one, two, np.array(shown, dtype=np.bytes_)
 
 
 def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Behind the last token of each group, in both lists: where the cumulative ends of both agree."""
-    index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
-    index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(filter(index_a.__contains__, index_b))
-    stop = lambda index: np.fromiter(map(index.__getitem__, common), dtype=np.int64, count=len(common))
-    return stop(index_a), stop(index_b)
+    """Behind the last token of each group, in both lists: where the cumulative ends of both agree.
+
+    The dictionaries are direct: at each byte offset stands what is behind the last token that ends there, or 0.
+    """
+    size = max(ends_a[-1:].tolist() + ends_b[-1:].tolist() + [0]) + 1
+    index_a, index_b = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
+    index_a[ends_a], index_b[ends_b] = np.arange(1, len(ends_a) + 1), np.arange(1, len(ends_b) + 1)
+    common = np.flatnonzero((index_a > 0) & (index_b > 0))
+    return index_a[common].astype(np.int64), index_b[common].astype(np.int64)
 
 
 def links(stop_a: np.ndarray, stop_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +154,7 @@ def links(stop_a: np.ndarray, stop_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (stop_a - n_a)[of] + inside // n_b[of], (stop_b - n_b)[of] + inside % n_b[of]
 
 
-def written(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, shown: list[str], n: int, m: int) -> str:
+def written(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, shown: np.ndarray, n: int, m: int) -> str:
     """The groups as `a1,a2|b1;a3|b2,b3`."""
     code_a, code_b = a.copy(), b + 2 * n
     code_a[stop_a - 1] += n
@@ -160,7 +163,8 @@ def written(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray
     n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
     out[np.arange(len(a)) + np.repeat(stop_b - n_b, n_a)] = code_a
     out[np.arange(len(b)) + np.repeat(stop_a, n_b)] = code_b
-    return "".join(map(shown.__getitem__, out.tolist()))[:-1]
+    # entries are as wide as the widest one, filled up with zero bytes
+    return shown[out].tobytes().translate(None, b"\0")[:-1].decode()
 
 
 class Aligned(NamedTuple):
@@ -177,7 +181,7 @@ class Aligned(NamedTuple):
 NO_TOKENS = Aligned(0, 0, 0, "", np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
 
 
-def align(text: bytes, a: np.ndarray, b: np.ndarray, one: Bytes, two: Bytes, shown: list[str]) -> Aligned:
+def align(text: bytes, a: np.ndarray, b: np.ndarray, one: Bytes, two: Bytes, shown: np.ndarray) -> Aligned:
     spaced = b" " + text
     if one.joined(a) != spaced or two.joined(b) != spaced:
         return NO_TOKENS

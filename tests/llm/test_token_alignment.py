@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from awkward_rows import AWKWARD, COLUMNS, LONG
 from clientlens.llm import token_alignment
-from clientlens.llm.token_alignment import First, vocabularies
+from clientlens.llm.token_alignment import First, slices, vocabularies, written
 from clientlens.llm.queries import BYTE_LEVEL, PIECES
 
 
@@ -148,3 +149,25 @@ def test_each_usual_character_is_encoded_alike():
 
 def test_vocabularies_are_parameters():
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_LEVEL
+
+
+def test_groups_of_random_tokens():
+    """Offsets looked up in direct tables give the groups that dictionaries give, also with tokens of no bytes; ids are written from a table too."""
+    rng, shown = np.random.default_rng(3), vocabularies(BYTE_LEVEL, PIECES)[2]
+    n, m = (vocabularies(BYTE_LEVEL, PIECES)[k].bytes.sizes.size for k in (0, 1))
+    for _ in range(300):
+        sizes = [rng.integers(0, 4, rng.integers(0, 30)) for _ in range(2)]
+        for own, other in (sizes, sizes[::-1]):
+            sizes[0 if own is sizes[0] else 1] = np.append(own, max(0, other.sum() - own.sum()))
+        a, b = (rng.integers(0, k, len(x)) for k, x in zip((n, m), sizes))
+        ends = [np.cumsum(x) for x in sizes]
+        index = [dict(zip(x.tolist(), range(1, len(x) + 1))) for x in ends]
+        common = sorted(index[0].keys() & index[1].keys())
+        stops = slices(*ends)
+        assert [x.tolist() for x in stops] == [[i[c] for c in common] for i in index]
+        assert all(x.dtype == np.int64 for x in stops)
+        cut = [np.split(x, stop)[:-1] for x, stop in zip((a, b), stops)]
+        if all(len(x) for x in cut[0]) and all(len(x) for x in cut[1]):
+            plain = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in zip(*cut))
+            assert written(a, b, *stops, shown, n, m) == plain
+    assert shown.dtype.kind == "S"  # one table, not a list of strings
