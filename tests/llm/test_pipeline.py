@@ -134,3 +134,12 @@ def test_a_missing_language_is_filled_in(spark):
     rows = cp.language(spark, docs, SAMPLE).collect()
     assert {r.found_language for r in rows} == {"mine"} and len(rows) == docs.count()
     assert sum(r.lang == r.true_lang for r in rows) >= 0.98 * len(rows)
+
+
+def test_texts_are_judged_once(spark, table, capsys):
+    """A filter on the language found must not have Spark find it a second time, with two more workers a task."""
+    docs = table("doc_id long, text string, lang string, source string, n_chars long", [(i, f"words of a text {i}", "en", "s", 9) for i in range(8)])
+    found = cp.language(spark, docs, "")
+    found.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert found.count() == 8
