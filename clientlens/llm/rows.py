@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from clientlens.sources.workdir import shared_folder
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Written to the shared folder and read again: what follows does not depend on executors living on."""
+def stored(df: DataFrame, name: str, compression: str = "snappy", **options: object) -> DataFrame:
+    """Written to the shared folder, with options of the writer, and read again: what follows does not depend on executors living on."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

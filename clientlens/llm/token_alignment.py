@@ -5,7 +5,8 @@ lists of ids into groups, and within a group every token of the one is linked wi
 
 How many documents hold a pair of ids is a figure of the whole corpus. Documents are taken in blocks of about BLOCK bytes: a block keeps its
 documents' pairs as places in its own list of distinct pairs, and only these lists meet the others. So what is shuffled is a row for
-a block and pair, not one for a document and pair, and each block gets back the counts of its pairs.
+a block and pair, not one for a document and pair, and each block gets back the counts of its pairs. The documents' lists themselves are
+packed, since as arrays in rows of Spark they take several times a block's text in the memory of each step that holds them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .texts import in_lists, in_small_batches
 
 BLOCK = 4_000_000  # bytes of text in a block; a longer text is a block of its own
 AT_ONCE = 200_000  # bytes of text encoded at once
+ROWS = 8  # blocks in a row group of a file, which a task holds whole when it writes or reads it
 SHIFT = 32  # a pair of ids is the first one's 32 bits and the second one's
 
 
@@ -192,11 +194,23 @@ def align(text: bytes, a: np.ndarray, b: np.ndarray, one: Bytes, two: Bytes, sho
     return Aligned(len(a), len(b), len(stop_a), hashlib.sha256(groups.encode()).hexdigest(), pairs, times)
 
 
-_PER_DOCUMENT = {"ids": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "shas": "string", "sizes": "int"}
-_PER_PAIR = {"pairs": "long", "holders": "int"}  # of the block
-_PER_DOCUMENT_AND_PAIR = {"places": "int", "times": "int"}
-_LISTS = _PER_DOCUMENT | _PER_PAIR | _PER_DOCUMENT_AND_PAIR
-BLOCKS = ", ".join(["block long", *(f"{name} array<{kind}>" for name, kind in _LISTS.items())])
+BLOCKS = "block long, pairs array<long>, holders array<int>, documents binary"  # holders: how many of the block's documents hold a pair
+_LIST = pa.list_(pa.int32())
+_DOCUMENTS = pa.schema(
+    {"ids": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "shas": pa.string(), "places": _LIST, "times": _LIST}
+)
+
+
+def packed(docs: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as writer:
+        writer.write_batch(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: pa.Buffer) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data, options=pa.ipc.IpcReadOptions(use_threads=False)) as reader:
+        return reader.read_next_batch()
 
 
 def _blocks(first: str, second: str):
@@ -222,32 +236,25 @@ def _blocks(first: str, second: str):
         for block in in_lists(rows, BLOCK):
             docs = list(aligned(block))
             pairs, places, holders = np.unique(np.concatenate([d.pairs for d in docs]), return_inverse=True, return_counts=True)
-            lists = {
+            ends = np.cumsum([0, *(len(d.pairs) for d in docs)]).astype(np.int32)
+            columns = {
                 "ids": [i for i, _ in block],
                 "n_a": [d.n_a for d in docs],
                 "n_b": [d.n_b for d in docs],
                 "n_groups": [d.n_groups for d in docs],
                 "shas": [d.sha for d in docs],
-                "sizes": [len(d.pairs) for d in docs],
-                "pairs": pairs,
-                "holders": holders,
-                "places": places,
-                "times": np.concatenate([d.times for d in docs]),
+                # steps to the next place are small numbers, as a document's pairs are sorted
+                "places": pa.ListArray.from_arrays(ends, pa.array(np.diff(places, prepend=0), pa.int32())),
+                "times": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([d.times for d in docs]), pa.int32())),
             }
-            columns = [_one_list(pa.array(lists[name], _KINDS[kind])) for name, kind in _LISTS.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], names=["block", *_LISTS])
+            row = [[number], [pairs], [holders], [packed(pa.RecordBatch.from_pydict(columns, _DOCUMENTS))]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), _LIST, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, kinds)], names=["block", "pairs", "holders", "documents"])
             number += 1
 
     return run
 
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _one_list(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -255,23 +262,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the counts of their pairs become one row for each document."""
     for whole in batches:
         for at in range(whole.num_rows):
-            row = {name: whole.column(name).slice(at, 1).flatten() for name in whole.schema.names if name != "block"}
-            sizes, places = row["sizes"].to_numpy(), row["places"].to_numpy()
-            times = row["times"].to_numpy().astype(np.int64)
-            pair, documents, highest = (row["found"].field(f).to_numpy(zero_copy_only=False) for f in ("pair", "documents", "best"))
+            docs, found = unpacked(whole.column("documents")[at].as_buffer()), whole.column("found").slice(at, 1).flatten()
+            ends, places = docs["places"].offsets.to_numpy(), np.cumsum(docs["places"].values.to_numpy(), dtype=np.int64)
+            times = docs["times"].values.to_numpy().astype(np.int64)
+            pair, documents, highest = (found.field(f).to_numpy(zero_copy_only=False) for f in ("pair", "documents", "best"))
             order = np.argsort(pair)  # the block's own list is sorted too
             count, best = documents[order][places] * times, highest[order][places] * times
-            total = lambda x: np.diff(np.append(0, np.cumsum(x))[np.append(0, np.cumsum(sizes))])  # noqa: B023, E731
+            total = lambda x: np.diff(np.append(0, np.cumsum(x))[ends])  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [row["ids"], row["n_a"], row["n_b"], row["n_groups"], *[pa.array(total(x), pa.int64()) for x in (times, best, count)], row["shas"]],
+                [docs["ids"], docs["n_a"], docs["n_b"], docs["n_groups"], *[pa.array(total(x), pa.int64()) for x in (times, best, count)], docs["shas"]],
                 names=[c.split()[0] for c in RESULT.split(", ")],
             )
 
 
 def align_blocks(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in blocks: their figures, and their linked pairs as places in the block's list of distinct pairs."""
+    """The documents in blocks: their figures and their linked pairs as places in the block's list of distinct pairs, packed, and that list."""
     texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return stored(texts.mapInArrow(_blocks(first, second), BLOCKS), "aligned")
+    return stored(texts.mapInArrow(_blocks(first, second), BLOCKS), "aligned", **{"parquet.block.row.count.limit": ROWS})
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

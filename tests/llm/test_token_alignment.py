@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,3 +172,16 @@ def test_groups_of_random_tokens():
             plain = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in zip(*cut))
             assert written(a, b, *stops, shown, n, m) == plain
     assert shown.dtype.kind == "S"  # one table, not a list of strings
+
+
+def test_rows_of_blocks_are_smaller_than_their_text(spark, monkeypatch):
+    """As Spark holds them, and a file's row group, which a task holds whole, has few of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    monkeypatch.setattr(token_alignment, "BLOCK", 200_000)
+    blocks = token_alignment.align_blocks(docs, BYTE_LEVEL, PIECES)
+    rows, size = blocks.toArrow(), sum(len((r.text or "").encode()) for r in docs.collect())
+    assert rows.num_rows >= 10
+    assert rows.nbytes < 0.75 * size
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]
+    most = max(m.row_group(g).num_rows for m in groups for g in range(m.num_row_groups))
+    assert most <= 8
